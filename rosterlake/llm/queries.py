@@ -2,20 +2,43 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, line_dedup, simhash
+from . import bpe, exact_dedup, license_scan, line_dedup, packing, pii, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a secret that a deployment hands in; the queries need a fixed one to be repeatable.
+QUERY_KEY = b"rosterlake fixed key for repeatable queries"
+
+
+def op1_pii(spark, sf_dir):
+    out = pii.pseudonymise_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
+    return out.select("doc_id", F.size("pii_spans").alias("n_found"), "text", "pii_spans")
+
+
 def op2_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark, sf_dir):
+    out = toxicity.score_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "threshold", "rejected")
+
+
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_bpe(spark, sf_dir):
+    return bpe.bpe_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), digests=True)
+
+
 def op8_license_scan(spark, sf_dir):
     return license_scan.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +52,6 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op8_license_scan, op9_line_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_toxicity, op5_best_fit_packing, op7_bpe, op8_license_scan, op9_line_dedup, op10_simhash)}
 
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op9_line_dedup": line_dedup.SQL}
