@@ -1,8 +1,74 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: toxicity, exact dedup, SimHash near-dedup, PII, best-fit packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder
+named in spark.checkpoint.dir and hands the reread rows to the next one. Stages before the last return the
+columns of documents. Rows without an id stay in the stages that drop by id.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rosterlake.llm import common, exact_dedup, packing, pii, simhash, toxicity
+from rosterlake.llm.queries import QUERY_KEY
+
+
+def _without(docs: DataFrame, dropped: DataFrame, keys: list[str], row_bytes: int) -> DataFrame:
+    """docs less the rows whose keys are in dropped; broadcast only if dropped is counted small."""
+    return docs.join(common.broadcast_if_small(common.settle(dropped.select(*keys).distinct()), row_bytes), keys, "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects at the threshold of their language go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score_toxicity(docs, labels).where(~F.col("rejected")).select(*docs.columns)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lower-cased) the largest doc_id stays."""
+    verdicts = exact_dedup.exact_dedup(docs)
+    sha = F.sha2(common.ascii_lower(common.text_or_empty("text")), 256)
+    dropped = verdicts.where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("_sha"))
+    return _without(docs.withColumn("_sha", sha), dropped, ["doc_id", "_sha"], 160).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays, the smallest doc_id."""
+    verdicts = simhash.simhash_dedup(docs)
+    return _without(docs, verdicts.where(~F.col("kept")), ["doc_id"], 64).select(*docs.columns)
+
+
+def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Validated personal data become pseudonyms of the same format and length."""
+    return pii.pseudonymise_documents(docs, QUERY_KEY, spans_col="_pii_spans").select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("simhash near-dedup", drop_near_copies),
+    ("pii", pseudonymise),
+    ("best-fit packing", pack),
+]
+
+#: Training a classifier and tokenizing have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{common.ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

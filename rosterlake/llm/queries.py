@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embed_dedup, exact_dedup, license_scan, line_dedup, packing, pii, simhash, toxicity
+from . import bpe, embed_dedup, exact_dedup, license_scan, line_dedup, packing, pii, simhash, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_toxicity(spark, sf_dir):
     return out.select("doc_id", "held_out", "score", "predicted", "threshold", "rejected")
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,6 +60,6 @@ def op10_simhash(spark, sf_dir):
     return simhash.simhash_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_toxicity, op5_best_fit_packing, op6_embedding_dedup, op7_bpe, op8_license_scan, op9_line_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_exact_dedup, op3_toxicity, op4_suffix_dedup, op5_best_fit_packing, op6_embedding_dedup, op7_bpe, op8_license_scan, op9_line_dedup, op10_simhash)}
 
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op6_embedding_dedup": embed_dedup.SQL, "op9_line_dedup": line_dedup.SQL}

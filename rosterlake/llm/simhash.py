@@ -208,7 +208,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words is one shingle, a text without words (empty or null) has fingerprint zero and links like any other.
     component_id is the smallest id reachable by links of at most `radius` differing bits; rows with a null id
     take the component of their fingerprint (null if no id is in it). kept marks the row that is its
-    component's smallest id; rows repeating that id share the mark. Equal fingerprints meet once, as one.
+    component's smallest id; rows repeating that id share the mark, and so do null ids of a component without ids. Equal fingerprints meet once, as one.
     """
     rows = settle(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(_fingerprints(shingle), "_id long, _fp long"))
     distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low")))
@@ -221,5 +221,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("_id").alias(id_col),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
         F.col("_comp").alias("component_id"),
-        F.coalesce(F.col("_id") == F.col("_comp"), F.lit(False)).alias("kept"),
+        F.col("_id").eqNullSafe(F.col("_comp")).alias("kept"),
     )
