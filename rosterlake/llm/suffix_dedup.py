@@ -5,8 +5,8 @@ the window. Equal windows have equal anchors, so a window that repeats lies in t
 with one anchor) that share the anchor's hash. Fragments that are equal as a whole meet first and count once.
 The distinct fragments of an anchor are the texts whose repeats are still open: each task cuts its fragments
 into shards, builds each shard's Burrows-Wheeler transform, and merges them by iterative interleave refinement:
-every round orders the interleave by two more characters and carries the boundaries of common prefixes along,
-so after length / 2 rounds the blocks without a boundary are the repeated intervals. No suffix is sorted again.
+every round orders the interleave by a few more characters and carries the boundaries of common prefixes along,
+so after `length` characters the blocks without a boundary are the repeated intervals. No suffix is sorted again.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, settle, text_or_empty
+from .common import BROADCAST_BYTES, byte_slices, settle, text_or_empty
 
 LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 1 << 16
 #: Suffixes that one merge task is asked to hold.
-TASK_BYTES = 1 << 20
-SLICE_BYTES = 1 << 22
+TASK_BYTES = 1 << 18
+#: Records of one meeting task, text of one bucket of documents, and bytes hashed at once.
+MEET_RECORDS, BUCKET_BYTES = 400_000, 1 << 22
+SLICE_BYTES, CACHE_BYTES = 1 << 22, 1 << 17
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -62,31 +65,44 @@ class _Hasher:
 _hasher = _Hasher()
 
 
-def fragments(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, fragment hash, first window, last window): every window of the text is in one fragment."""
-    width = length - gram + 1
+def fragments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(anchor hash, fragment hash, first window, last window) of joined texts that end at `ends`; every window of a text is in one fragment."""
     none = np.zeros(0, np.uint64)
     if len(data) < length:
         return none, none, none.astype(np.int64), none.astype(np.int64)
     sums = _hasher.sums(data)
     h = _grams(sums, gram)
-    low = _window_min(h, width)
-    cut = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    first, last = cut, np.r_[cut[1:], len(low)] - 1
-    firsts, lasts, anchors = [], [], []
+    low = _window_min(h, length - gram + 1)
+    starts = np.r_[0, ends[:-1]]
+    long = ends - starts >= length
+    starts, lasts = starts[long], ends[long] - length
+    edge = np.zeros(len(low) + 1, np.int8)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, lasts + 1, -1)
+    valid = np.cumsum(edge)[: len(low)] > 0
+    new = np.r_[True, low[1:] != low[:-1]]
+    new[starts] = True
+    first = np.flatnonzero(valid & new)
+    text_end = lasts[np.searchsorted(starts, first, side="right") - 1] if len(first) else first
+    last = np.minimum(text_end, np.r_[first[1:], len(low)][: len(first)] - 1)
+    firsts, stops, anchors = [], [], []
     # within a run of windows of one minimum, the leftmost place of that hash owns the windows up to itself
     place = first.copy()
     while len(first):
         value = low[first]
-        while (miss := h[place] != value).any():
-            place[miss] += 1
+        todo = np.flatnonzero(h[place] != value)
+        while len(todo):
+            place[todo] += 1
+            todo = todo[h[place[todo]] != value[todo]]
         stop = np.minimum(last, place)
         firsts.append(first)
-        lasts.append(stop)
+        stops.append(stop)
         anchors.append(place.copy())
         more = stop < last
         first, last, place = stop[more] + 1, last[more], place[more] + 1
-    first, last, place = map(np.concatenate, (firsts, lasts, anchors))
+    if not firsts:
+        return none, none, none.astype(np.int64), none.astype(np.int64)
+    first, last, place = map(np.concatenate, (firsts, stops, anchors))
     whole = _hasher.ranges(sums, first, last + length) ^ ((place - first).astype(np.uint64) * _MIX)
     return h[place], whole, first, last
 
@@ -97,65 +113,129 @@ def _grams(sums: np.ndarray, gram: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+#: One packed record: anchor and fragment hash, document (order id, text hash), byte range.
+RECORD = np.dtype([("h", "<u8"), ("c", "<u8"), ("o", "<i8"), ("r", "<i4"), ("s", "<i4"), ("e", "<i4")])
+OPEN, GONE = 0, 1
+_BLOBS = "_kind int, _g int, _n long, _blob binary"
+
+
+def _pack(rec: np.ndarray, fields: tuple[str, ...]) -> bytes:
+    """Columns one after the other: ids and places of one document compress well that way."""
+    return b"".join(np.ascontiguousarray(rec[f]).tobytes() for f in fields)
+
+
+def _unpack(blobs: list[bytes], counts: list[int], fields: tuple[str, ...]) -> np.ndarray:
+    out = np.zeros(sum(counts), RECORD)
+    at = 0
+    for blob, n in zip(blobs, counts, strict=True):
+        offset = 0
+        for f in fields:
+            out[f][at : at + n] = np.frombuffer(blob, RECORD[f], n, offset)
+            offset += n * RECORD[f].itemsize
+        at += n
+    return out
+
+
+LIVE_FIELDS, OPEN_FIELDS, GONE_FIELDS = ("o", "r", "s", "e", "h", "c"), ("o", "r", "s", "e", "h"), ("o", "r", "s", "e")
+
+
+def bucket_of(o: np.ndarray, r: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of documents, the same as bucket_column gives."""
+    return ((o ^ (o >> 7) ^ r.astype(np.int64)) & 0x7FFFFFFF) % buckets
+
+
+def bucket_column(o, r, buckets: int):
+    return (o.bitwiseXOR(F.shiftright(o, 7)).bitwiseXOR(r.cast("long")).bitwiseAND(F.lit(0x7FFFFFFF)) % buckets).cast("int")
+
 
+def _dealt(rec: np.ndarray, to: np.ndarray, kind: int, fields: tuple[str, ...]):
+    """(kind, group, rows, blob) of each group; the records keep their order within one."""
+    order = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.diff(to[order], prepend=-1))
+    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=False):
+        part = rec[order[a:z]]
+        yield kind, int(to[order[a]]), len(part), _pack(part, fields)
 
-_RECORD = "_h long, _c long, _id long, _r int, _s int, _e int"
 
+def _blob_table(rows) -> pa.Table:
+    kind, g, n, blob = zip(*rows, strict=True) if (rows := list(rows)) else ((), (), (), ())
+    return pa.table({"_kind": pa.array(kind, pa.int32()), "_g": pa.array(g, pa.int32()), "_n": pa.array(n, pa.int64()), "_blob": pa.array(blob, pa.binary())})
 
-def _distinct(h, c, who, rk, s, order) -> np.ndarray:
-    """False for records that repeat the one before in every key: a row that repeats another is the same document."""
-    same = np.ones(max(0, len(order) - 1), bool)
-    for x in (h, c, who, rk, s):
-        y = x[order]
-        same &= y[1:] == y[:-1]
-    return np.r_[True, ~same][: len(order)]
 
+def _first_of_equals(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Records by (anchor, fragment, document, place), repeated rows of one document dropped; True where an equal fragment comes before."""
+    rec = rec[np.lexsort((rec["s"], rec["r"], rec["o"], rec["c"], rec["h"]))]
+    same = np.ones(max(0, len(rec) - 1), bool)
+    for f in ("h", "c", "o", "r", "s"):
+        same &= rec[f][1:] == rec[f][:-1]
+    rec = rec[np.r_[True, ~same][: len(rec)]]
+    return rec, np.r_[False, (rec["h"][1:] == rec["h"][:-1]) & (rec["c"][1:] == rec["c"][:-1])][: len(rec)]
 
-def _records(length: int, gram: int):
+
+def _records(length: int, gram: int, groups: int, buckets: int):
     def run(batches):
-        """One record per fragment, whole repeats within a batch dropped to what the later merge needs: _h null marks them removed."""
+        """Packed fragments by a group of their anchor hash; those equal to an earlier one of the slice are gone already."""
         for b in batches:
-            ids, rks = b.column(0).to_numpy(), b.column(1).to_numpy()
-            texts = b.column(2).to_pylist()
-            for lo, hi in byte_slices([len(t) for t in texts], SLICE_BYTES):
-                parts = [fragments(np.frombuffer(t.encode(), np.uint8), length, gram) for t in texts[lo:hi]]
-                n = np.array([len(p[0]) for p in parts])
-                h, c, s, e = (np.concatenate([p[k] for p in parts]) for k in range(4))
-                e = e + length
-                who, rk = np.repeat(ids[lo:hi], n), np.repeat(rks[lo:hi], n)
-                order = np.lexsort((s, rk, who, c, h))
-                order = order[_distinct(h, c, who, rk, s, order)]
-                h, c, s, e, who, rk = (x[order] for x in (h, c, s, e, who, rk))
-                again = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])][: len(h)]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), mask=again), _signed(c), pa.array(who), pa.array(rk), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["_h", "_c", "_id", "_r", "_s", "_e"])
+            ids, rks, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
+            raw = [t.encode() for t in texts]
+            for lo, hi in byte_slices([len(t) for t in raw], SLICE_BYTES):
+                held = []
+                for x, y in byte_slices([len(t) for t in raw[lo:hi]], CACHE_BYTES):
+                    part = raw[lo + x : lo + y]
+                    ends = np.cumsum([len(t) for t in part])
+                    h, c, first, last = fragments(np.frombuffer(b"".join(part), np.uint8), ends, length, gram)
+                    doc = np.searchsorted(ends, first, side="right")
+                    start = np.r_[0, ends[:-1]][doc]
+                    rec = np.empty(len(h), RECORD)
+                    rec["h"], rec["c"], rec["o"], rec["r"] = h, c, ids[lo + x + doc], rks[lo + x + doc]
+                    rec["s"], rec["e"] = first - start, last + length - start
+                    held.append(rec)
+                rec, again = _first_of_equals(np.concatenate(held))
+                live, gone = rec[~again], rec[again]
+                live = live[np.lexsort((live["s"], live["r"], live["o"]))]
+                rows = [*_dealt(live, (live["h"] % np.uint64(groups)).astype(np.int64), OPEN, LIVE_FIELDS), *_dealt(gone, bucket_of(gone["o"], gone["r"], buckets), GONE, GONE_FIELDS)]
+                yield from _blob_table(rows).to_batches()
+
+    return run
+
+
+def _meet(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Of equal fragments all but the first are gone; firsts of anchors with several fragments stay open."""
+        kinds = table.column("_kind").to_numpy()
+        passed = table.filter(pa.array(kinds == GONE))
+        live = table.filter(pa.array(kinds == OPEN))
+        if not live.num_rows:
+            return passed
+        rec, again = _first_of_equals(_unpack(live.column("_blob").to_pylist(), live.column("_n").to_pylist(), LIVE_FIELDS))
+        group = np.cumsum(np.r_[True, rec["h"][1:] != rec["h"][:-1]]) - 1
+        several = np.bincount(group[~again], minlength=int(group[-1]) + 1)[group] > 1
+        gone, open_ = rec[again], rec[~again & several]
+        rows = [*_dealt(gone, bucket_of(gone["o"], gone["r"], buckets), GONE, GONE_FIELDS), *_dealt(open_, bucket_of(open_["o"], open_["r"], buckets), OPEN, OPEN_FIELDS)]
+        return pa.concat_tables([passed.cast(_blob_table([]).schema), _blob_table(rows)])
 
     return run
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """Of equal fragments all but the first are removed (_h null); firsts of anchors with several fragments stay open."""
-    h, c, who, rk, s, e = (table.column(k).to_numpy() for k in ("_h", "_c", "_id", "_r", "_s", "_e"))
-    order = np.lexsort((s, rk, who, c, h))
-    order = order[_distinct(h, c, who, rk, s, order)]
-    h, c, who, rk, s, e = (x[order] for x in (h, c, who, rk, s, e))
-    same_h = np.r_[False, h[1:] == h[:-1]][: len(h)]
-    again = same_h & np.r_[False, c[1:] == c[:-1]][: len(h)]
-    group = np.cumsum(~same_h) - 1
-    kinds = np.bincount(group[~again], minlength=int(group[-1]) + 1 if len(group) else 0)
-    keep = again | (kinds[group] > 1)
-    return pa.table({"_h": pa.array(h[keep], mask=again[keep]), "_id": who[keep], "_r": rk[keep], "_s": s[keep], "_e": e[keep]})
+def _open_rows(batches):
+    for b in batches:
+        if b.num_rows:
+            rec = _unpack(b.column("_blob").to_pylist(), b.column("_n").to_pylist(), OPEN_FIELDS)
+            yield pa.RecordBatch.from_arrays([pa.array(rec["o"]), pa.array(rec["r"]), pa.array(rec["h"].view(np.int64)), pa.array(rec["s"]), pa.array(rec["e"])], ["_o", "_r", "_h", "_s", "_e"])
 
 
 def _cut(batches):
-    """(text, list of open fragments) to fragments with their bytes."""
+    """(document, text, its open fragments) to fragments with their bytes."""
     for b in batches:
-        texts, opens = b.column(2).to_pylist(), b.column(3).to_pylist()
-        for i, (t, frs) in enumerate(zip(texts, opens, strict=True)):
-            raw = t.encode()
-            n = len(frs)
-            yield pa.RecordBatch.from_arrays([pa.array([f["_h"] for f in frs], pa.int64()), pa.array([b.column(0)[i].as_py()] * n, pa.int64()), pa.array([b.column(1)[i].as_py()] * n, pa.int32()), pa.array([f["_s"] for f in frs], pa.int32()), pa.array([raw[f["_s"] : f["_e"]] for f in frs], pa.binary())], ["_h", "_id", "_r", "_s", "_f"])
+        raw = [t.encode() for t in b.column(2).to_pylist()]
+        frs = b.column(3)
+        n = pa.compute.list_value_length(frs).to_numpy(zero_copy_only=False)
+        flat = frs.flatten()
+        h, s, e = (flat.field(k) for k in range(3))
+        doc = np.repeat(np.arange(b.num_rows), n)
+        cut = [raw[d][x:y] for d, x, y in zip(doc.tolist(), s.to_pylist(), e.to_pylist(), strict=True)]
+        at = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([h, b.column(0).take(at), b.column(1).take(at), s, pa.array(cut, pa.binary())], ["_h", "_o", "_r", "_s", "_f"])
 
 
 def shard_order(text: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
@@ -187,15 +267,26 @@ def merge_transforms(text: np.ndarray, before: np.ndarray, shards: list[np.ndarr
     cat = np.concatenate(shards).astype(np.int32)
     row = np.empty(len(text), np.int32)
     row[cat] = np.arange(len(cat), dtype=np.int32)
-    one, two = before[cat], before[before[cat]]
-    # the transform of each row, two characters wide, and where the suffix two characters longer stands
-    transform = text[two].astype(np.uint16) << 8 | text[one]
-    longer = row[two]
+    # the transform of each row, as many characters wide as 16-bit ranks can tell apart, and where the longer suffix stands
+    for width in (5, 4, 2, 1):
+        if depth % width == 0:
+            at, packed = cat, np.zeros(len(cat), np.int64)
+            for k in range(width):
+                at = before[at]
+                packed |= text[at].astype(np.int64) << (8 * k)
+            if width <= 2:
+                transform = packed.astype(np.uint16)
+                break
+            values, transform = np.unique(packed, return_inverse=True)
+            if len(values) <= 1 << 16:
+                transform = transform.astype(np.uint16)
+                break
+    longer = row[at]
     interleave = np.arange(len(cat), dtype=np.int32)
     block = np.zeros(len(cat), np.int32)
-    for _ in range(depth // 2):
+    for _ in range(depth // width):
         key = transform[interleave]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable")  # a radix pass
         key, block = key[order], block[order]
         new = np.r_[False, (key[1:] != key[:-1]) | (block[1:] != block[:-1])]  # a boundary: the common prefix ends here
         interleave = longer[interleave[order]]
@@ -239,44 +330,53 @@ def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _merge(length: int):
+def _merge(length: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        who, rk, s = (table.column(k).to_numpy() for k in ("_id", "_r", "_s"))
+        """Windows of the open fragments that stand in an earlier fragment, as gone byte ranges by bucket of documents."""
+        who, rk, s = (table.column(k).to_numpy() for k in ("_o", "_r", "_s"))
         order = np.lexsort((s, rk, who))
-        order = order[_distinct(who, who, who, rk, s, order)]
+        if not len(order):
+            return _blob_table([])
         who, rk, s = who[order], rk[order], s[order]
-        frs = table.column("_f").take(pa.array(order)).to_pylist()
-        if not frs:
-            return pa.table({k: pa.array([], t) for k, t in (("_id", pa.int64()), ("_r", pa.int32()), ("_s", pa.int32()), ("_e", pa.int32()))})
-        rank = np.arange(len(frs))
+        distinct = np.r_[True, (who[1:] != who[:-1]) | (rk[1:] != rk[:-1]) | (s[1:] != s[:-1])]  # rows equal in id and text
+        who, rk, s = who[distinct], rk[distinct], s[distinct]
+        frs = table.column("_f").take(pa.array(order[distinct])).to_pylist()
         # anchors share nothing, but one merge serves the whole group: windows of different anchors differ
-        hit = repeated_windows(frs, rank, length)
+        hit = repeated_windows(frs, np.arange(len(frs)), length)
         first, last = _runs(hit)  # a run ends before the terminator of its fragment at the latest
         starts = np.cumsum([0, *(len(f) + 1 for f in frs)])
         of = np.searchsorted(starts, first, side="right") - 1
-        ids, rks = who[of], rk[of]
-        ss = s[of] + first - starts[of]
-        es = s[of] + last - 1 - starts[of] + length
-        return pa.table({"_id": pa.array(ids, pa.int64()), "_r": pa.array(rks, pa.int32()), "_s": pa.array(ss.astype(np.int32)), "_e": pa.array(es.astype(np.int32))})
+        rec = np.zeros(len(first), RECORD)
+        rec["o"], rec["r"] = who[of], rk[of]
+        rec["s"], rec["e"] = s[of] + first - starts[of], s[of] + last - 1 - starts[of] + length
+        return _blob_table(_dealt(rec, bucket_of(rec["o"], rec["r"], buckets), GONE, GONE_FIELDS))
 
     return run
 
 
 def _finish(digest: bool):
-    def run(batches):
-        for b in batches:
-            rows = []
-            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                raw = (t or "").encode()
+    def run(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
+        """Documents of a bucket with the gone byte ranges of the bucket."""
+        rec = _unpack(spans.column("_blob").to_pylist(), spans.column("_n").to_pylist(), GONE_FIELDS)
+        rec = rec[np.lexsort((rec["s"], rec["r"], rec["o"]))]
+        cuts = np.flatnonzero(np.r_[True, (rec["o"][1:] != rec["o"][:-1]) | (rec["r"][1:] != rec["r"][:-1])][: len(rec)])
+        of = {(int(rec["o"][a]), int(rec["r"][a])): slice(a, z) for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rec)], strict=False)}
+        rows = []
+        for o, r, t in zip(docs.column("_o").to_pylist(), docs.column("_r").to_pylist(), docs.column("_t").to_pylist(), strict=True):
+            raw = t.encode()
+            n_gone = n_runs = 0
+            if (at := of.get((o, r))) is not None:
                 cover = np.zeros(len(raw) + 1, np.int64)
-                if spans:
-                    np.add.at(cover, [x["_s"] for x in spans], 1)
-                    np.add.at(cover, [x["_e"] for x in spans], -1)
+                np.add.at(cover, rec["s"][at], 1)
+                np.add.at(cover, rec["e"][at], -1)
                 gone = np.cumsum(cover)[: len(raw)] > 0
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
-                rows.append((len(raw), int(gone.sum()), len(_runs(gone)[0]), hashlib.sha256(kept).hexdigest() if digest else kept))
-            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string() if digest else pa.binary())], ["_id", "n_bytes", "n_removed", "n_spans", "_kept"])
+                n_gone, n_runs = int(gone.sum()), len(_runs(gone)[0])
+                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            else:
+                kept = raw
+            rows.append((len(t.encode()), n_gone, n_runs, hashlib.sha256(kept).hexdigest() if digest else kept))
+        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+        return pa.table({"_id": docs.column("_id"), **{k: pa.array(c, pa.int64()) for k, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, ("kept_sha256" if digest else "kept"): pa.array(cols[3], pa.string() if digest else pa.binary())})
 
     return run
 
@@ -291,23 +391,25 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     if length % 2 or length <= GRAM:
         raise ValueError("length must be even and over the anchor's length")
-    base = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
-    order = F.coalesce(F.col("_id").cast("long"), F.lit(LAST)).alias("_o")
-    rows = base.select(order, F.hash("_t").alias("_r"), "_t")
-    records = settle(rows.mapInArrow(_records(length, GRAM), _RECORD))
-    groups = max(12, -(-records.count() // 400_000))
-    met = records.where("_h IS NOT NULL").groupBy(F.pmod(F.xxhash64("_h"), F.lit(groups)).alias("_g")).applyInArrow(_meet, "_h long, _id long, _r int, _s int, _e int")
-    met = settle(met)
-    opened = met.where("_h IS NOT NULL")
-    size = opened.agg(F.sum(F.col("_e") - F.col("_s"))).first()[0] or 0
-    by_doc = opened.groupBy(F.col("_id").alias("_o"), "_r").agg(F.collect_list(F.struct("_h", "_s", "_e")).alias("_fs"))
-    frs = rows.join(by_doc, ["_o", "_r"]).select("_o", "_r", "_t", "_fs").mapInArrow(_cut, "_h long, _id long, _r int, _s int, _f binary")
-    tasks = max(12, -(-size // TASK_BYTES))
-    merged = frs.groupBy(F.pmod(F.xxhash64("_h"), F.lit(tasks)).alias("_g")).applyInArrow(_merge(length), "_id long, _r int, _s int, _e int")
-    spans = records.where("_h IS NULL").select("_id", "_r", "_s", "_e").unionByName(met.where("_h IS NULL").drop("_h")).unionByName(merged)
-    spans = spans.groupBy(F.col("_id").alias("_o"), "_r").agg(F.collect_list(F.struct("_s", "_e")).alias("_spans"))
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_o")
+    base = docs.select(F.col(id_col).alias("_id"), order, text_or_empty(text_col).alias("_t")).withColumn("_r", F.hash("_t"))
+    rows = base.select("_o", "_r", "_t")
+    total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    groups = max(12, -(-2 * total // (length - GRAM) // MEET_RECORDS))
+    buckets = max(12, -(-total // BUCKET_BYTES))
+    records = rows.mapInArrow(_records(length, GRAM, groups, buckets), _BLOBS)
+    # blobs of live fragments meet by anchor; those gone already travel along in groups of their own
+    met = settle(records.groupBy("_kind", "_g").applyInArrow(_meet(buckets), _BLOBS))
+    opened = met.where(F.col("_kind") == OPEN)
+    n_open = opened.agg(F.sum("_n")).first()[0] or 0
+    by_doc = opened.mapInArrow(_open_rows, "_o long, _r int, _h long, _s int, _e int").groupBy("_o", "_r").agg(F.collect_list(F.struct("_h", "_s", "_e")).alias("_fs"))
+    by_doc = F.broadcast(by_doc) if n_open * 24 <= BROADCAST_BYTES else by_doc  # counted above
+    frs = rows.join(by_doc, ["_o", "_r"]).select("_o", "_r", "_t", "_fs").mapInArrow(_cut, "_h long, _o long, _r int, _s int, _f binary")
+    tasks = max(12, -(-n_open * (length + (length - GRAM) // 2) // TASK_BYTES))
+    merged = frs.groupBy(F.pmod(F.xxhash64("_h"), F.lit(tasks)).alias("_g")).applyInArrow(_merge(length, buckets), _BLOBS)
+    spans = met.where(F.col("_kind") == GONE).unionByName(merged).select(F.col("_g").alias("_b"), "_n", "_blob")
     kind = docs.schema[id_col].dataType.simpleString()
     tail = "kept_sha256 string" if digest else "kept binary"
-    keyed = base.select("_id", order, F.hash("_t").alias("_r"), "_t").join(spans, ["_o", "_r"], "left").select("_id", "_t", "_spans")
-    out = keyed.mapInArrow(_finish(digest), f"_id {kind}, n_bytes long, n_removed long, n_spans long, {tail}")
+    keyed = base.withColumn("_b", bucket_column(F.col("_o"), F.col("_r"), buckets))
+    out = keyed.groupBy("_b").cogroup(spans.groupBy("_b")).applyInArrow(_finish(digest), f"_id {kind}, n_bytes long, n_removed long, n_spans long, {tail}")
     return out.withColumnRenamed("_id", id_col)
