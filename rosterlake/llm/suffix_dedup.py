@@ -15,11 +15,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, byte_slices, settle, text_or_empty
+from .common import byte_slices, settle, text_or_empty
 
 LENGTH = 100
 GRAM = 32
@@ -217,25 +216,24 @@ def _meet(buckets: int):
     return run
 
 
-def _open_rows(batches):
-    for b in batches:
-        if b.num_rows:
-            rec = _unpack(b.column("_blob").to_pylist(), b.column("_n").to_pylist(), OPEN_FIELDS)
-            yield pa.RecordBatch.from_arrays([pa.array(rec["o"]), pa.array(rec["r"]), pa.array(rec["h"].view(np.int64)), pa.array(rec["s"]), pa.array(rec["e"])], ["_o", "_r", "_h", "_s", "_e"])
+def _by_document(rec: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int], slice]]:
+    """Records in order of document and place, and where each document's are."""
+    rec = rec[np.lexsort((rec["s"], rec["r"], rec["o"]))]
+    cuts = np.flatnonzero(np.r_[True, (rec["o"][1:] != rec["o"][:-1]) | (rec["r"][1:] != rec["r"][:-1])][: len(rec)])
+    return rec, {(int(rec["o"][a]), int(rec["r"][a])): slice(a, z) for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rec)], strict=False)}
 
 
-def _cut(batches):
-    """(document, text, its open fragments) to fragments with their bytes."""
-    for b in batches:
-        raw = [t.encode() for t in b.column(2).to_pylist()]
-        frs = b.column(3)
-        n = pa.compute.list_value_length(frs).to_numpy(zero_copy_only=False)
-        flat = frs.flatten()
-        h, s, e = (flat.field(k) for k in range(3))
-        doc = np.repeat(np.arange(b.num_rows), n)
-        cut = [raw[d][x:y] for d, x, y in zip(doc.tolist(), s.to_pylist(), e.to_pylist(), strict=True)]
-        at = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([h, b.column(0).take(at), b.column(1).take(at), s, pa.array(cut, pa.binary())], ["_h", "_o", "_r", "_s", "_f"])
+def _cut(key, docs: pa.Table, opened: pa.Table) -> pa.Table:
+    """Open fragments of a bucket of documents, with their bytes."""
+    rec, of = _by_document(_unpack(opened.column("_blob").to_pylist(), opened.column("_n").to_pylist(), OPEN_FIELDS))
+    texts, rows, cut = docs.column("_t"), [], []
+    for i, d in enumerate(zip(docs.column("_o").to_pylist(), docs.column("_r").to_pylist(), strict=True)):
+        if (at := of.pop(d, None)) is not None:  # rows equal in id and text are one document
+            raw = texts[i].as_py().encode()
+            rows.append(rec[at])
+            cut += [raw[x:y] for x, y in zip(rec["s"][at].tolist(), rec["e"][at].tolist(), strict=True)]
+    out = np.concatenate(rows) if rows else rec[:0]
+    return pa.table({"_h": pa.array(out["h"].view(np.int64) if len(out) else [], pa.int64()), "_o": pa.array(out["o"]), "_r": pa.array(out["r"]), "_s": pa.array(out["s"]), "_f": pa.array(cut, pa.binary())})
 
 
 def shard_order(text: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
@@ -357,10 +355,7 @@ def _merge(length: int, buckets: int):
 def _finish(digest: bool):
     def run(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
         """Documents of a bucket with the gone byte ranges of the bucket."""
-        rec = _unpack(spans.column("_blob").to_pylist(), spans.column("_n").to_pylist(), GONE_FIELDS)
-        rec = rec[np.lexsort((rec["s"], rec["r"], rec["o"]))]
-        cuts = np.flatnonzero(np.r_[True, (rec["o"][1:] != rec["o"][:-1]) | (rec["r"][1:] != rec["r"][:-1])][: len(rec)])
-        of = {(int(rec["o"][a]), int(rec["r"][a])): slice(a, z) for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rec)], strict=False)}
+        rec, of = _by_document(_unpack(spans.column("_blob").to_pylist(), spans.column("_n").to_pylist(), GONE_FIELDS))
         rows = []
         for o, r, t in zip(docs.column("_o").to_pylist(), docs.column("_r").to_pylist(), docs.column("_t").to_pylist(), strict=True):
             raw = t.encode()
@@ -402,14 +397,14 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = settle(records.groupBy("_kind", "_g").applyInArrow(_meet(buckets), _BLOBS))
     opened = met.where(F.col("_kind") == OPEN)
     n_open = opened.agg(F.sum("_n")).first()[0] or 0
-    by_doc = opened.mapInArrow(_open_rows, "_o long, _r int, _h long, _s int, _e int").groupBy("_o", "_r").agg(F.collect_list(F.struct("_h", "_s", "_e")).alias("_fs"))
-    by_doc = F.broadcast(by_doc) if n_open * 24 <= BROADCAST_BYTES else by_doc  # counted above
-    frs = rows.join(by_doc, ["_o", "_r"]).select("_o", "_r", "_t", "_fs").mapInArrow(_cut, "_h long, _o long, _r int, _s int, _f binary")
+    # both cogroups deal the documents alike, so their one exchange serves both
+    keyed = base.withColumn("_b", bucket_column(F.col("_o"), F.col("_r"), buckets))
+    opened = opened.select(F.col("_g").alias("_b"), "_n", "_blob")
+    frs = keyed.groupBy("_b").cogroup(opened.groupBy("_b")).applyInArrow(_cut, "_h long, _o long, _r int, _s int, _f binary")
     tasks = max(12, -(-n_open * (length + (length - GRAM) // 2) // TASK_BYTES))
     merged = frs.groupBy(F.pmod(F.xxhash64("_h"), F.lit(tasks)).alias("_g")).applyInArrow(_merge(length, buckets), _BLOBS)
     spans = met.where(F.col("_kind") == GONE).unionByName(merged).select(F.col("_g").alias("_b"), "_n", "_blob")
     kind = docs.schema[id_col].dataType.simpleString()
     tail = "kept_sha256 string" if digest else "kept binary"
-    keyed = base.withColumn("_b", bucket_column(F.col("_o"), F.col("_r"), buckets))
     out = keyed.groupBy("_b").cogroup(spans.groupBy("_b")).applyInArrow(_finish(digest), f"_id {kind}, n_bytes long, n_removed long, n_spans long, {tail}")
     return out.withColumnRenamed("_id", id_col)
