@@ -169,8 +169,17 @@ def _ip(s: str, key: bytes, back: bool) -> str | None:
     parts = s.split(".")
     if any(int(p) > 255 or p != str(int(p)) for p in parts):
         return None
-    v = permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, key, "ip", back)
-    return ".".join(map(str, v.to_bytes(4, "big")))
+    # each octet keeps its number of digits, so the text keeps its length
+    ranges = [{1: (0, 10), 2: (10, 90), 3: (100, 156)}[len(p)] for p in parts]
+    value, modulus = 0, 1
+    for p, (low, n) in zip(parts, ranges, strict=True):
+        value, modulus = value * n + int(p) - low, modulus * n
+    value = permute(value, modulus, key, "ip" + "".join(str(len(p)) for p in parts), back)
+    out = []
+    for low, n in reversed(ranges):
+        value, r = divmod(value, n)
+        out.append(str(low + r))
+    return ".".join(reversed(out))
 
 
 _MAKE = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "date": _date, "ip": _ip}
