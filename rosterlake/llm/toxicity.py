@@ -26,7 +26,7 @@ WIDTHS = (1, 2, 3)
 PADS = max(WIDTHS)
 DIM, FILTERS = 8, 8
 #: Labelled documents that training may use at most, the smallest by a hash of their id. Texts are used whole.
-SAMPLE_DOCS = 6000
+SAMPLE_DOCS = 4000
 SLICE_BYTES = 1 << 20
 WORDS_AT_ONCE = 1 << 17
 _P = 0x9E3779B97F4A7C15 | 1
@@ -261,7 +261,8 @@ def _bucket_rows(batches):
     for b in batches:
         texts = [t or "" for t in b.column(1).to_pylist()]
         ids, firsts = word_buckets(texts)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array((np.r_[firsts, len(ids)] * HASHES).astype(np.int32)), pa.array(ids.ravel())), *b.columns[2:]], ["_id", "ids", "lang", "toxic"])
+        packed = [x.tobytes() for x in np.split(ids, firsts[1:])] if texts else []
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), *b.columns[2:]], ["_id", "ids", "lang", "toxic"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, sample: int) -> list:
@@ -272,7 +273,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     picked = rows.join(F.broadcast(chosen), "_id").select("_id", "_t", "lang", "toxic")  # at most `sample` rows
     kind = docs.schema[id_col].dataType.simpleString()
-    return picked.mapInArrow(_bucket_rows, f"_id {kind}, ids array<int>, lang string, toxic int").orderBy("_id").collect()
+    return picked.mapInArrow(_bucket_rows, f"_id {kind}, ids binary, lang string, toxic int").orderBy("_id").collect()
 
 
 def is_held_out(id_column):
@@ -304,7 +305,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     new = ("held_out", "score", "predicted", "threshold", "rejected")
     rest = [c for c in docs.columns if c not in new]
     rows = training_rows(docs, labels, id_col, text_col, lang_col, label_col, sample)
-    model = train([np.asarray(r["ids"], np.int32).reshape(-1, HASHES) for r in rows], np.array([r["toxic"] for r in rows], np.float32), [r["lang"] for r in rows])
+    model = train([np.frombuffer(r["ids"], np.int32).reshape(-1, HASHES) for r in rows], np.array([r["toxic"] for r in rows], np.float32), [r["lang"] for r in rows])
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a fixed size: 3 x 2**16 rows of 8 numbers
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "`_text` string", "`_score` double"])
