@@ -26,7 +26,7 @@ WIDTHS = (1, 2, 3)
 PADS = max(WIDTHS)
 DIM, FILTERS = 8, 8
 #: Labelled documents that training may use at most, the smallest by a hash of their id. Texts are used whole.
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 6000
 SLICE_BYTES = 1 << 20
 WORDS_AT_ONCE = 1 << 17
 _P = 0x9E3779B97F4A7C15 | 1
