@@ -18,6 +18,9 @@ GROUP_ROWS = 200_000
 #: A side is broadcast only when its counted rows times the row bytes stay below this.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of rows that an Arrow batch of whole texts holds, several times over on both sides of the pipe.
+BATCH_BYTES = 4 << 20
+
 
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z alone; other letters keep their case."""
@@ -63,6 +66,14 @@ def byte_slices(sizes: list[int], limit: int):
         yield start, len(sizes)
 
 
+def in_small_batches(docs: DataFrame) -> DataFrame:
+    """docs; whole texts then reach Python in batches of about BATCH_BYTES (a longer text stands alone), unless the session sets a limit of its own."""
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key) == "67108864b":  # Spark's default
+        conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Two 64-bit columns naming a row by id and text, so rows that repeat an id don't mix."""
     a, b = F.col(id_col), F.col(text_col)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices
+from .common import byte_slices, in_small_batches
 
 BUCKET_BITS = 16
 #: A word's embedding is the sum of three hashed rows: two hashes of the word and one of its first bytes.
@@ -269,7 +269,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """At most `sample` labelled rows outside the held-out fold, as bucket ids; the one collect here is bounded by it."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("toxic"))
     known = known.where(~is_held_out(F.col("_id")))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("lang"))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("lang"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     picked = rows.join(F.broadcast(chosen), "_id").select("_id", "_t", "lang", "toxic")  # at most `sample` rows
     kind = docs.schema[id_col].dataType.simpleString()
@@ -309,7 +309,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a fixed size: 3 x 2**16 rows of 8 numbers
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "`_text` string", "`_score` double"])
-    scored = docs.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias("_text")).mapInArrow(_scores(shared), schema)
+    scored = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias("_text")).mapInArrow(_scores(shared), schema)
     common = model.thresholds[None]
     threshold = F.lit(common)
     for lang, cut in model.thresholds.items():
