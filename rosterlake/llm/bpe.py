@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, in_small_batches
+from .common import byte_slices, in_small_batches, releasing
 
 #: Unicode's White_Space code points.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -349,5 +349,5 @@ def bpe_round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     content = spark.sparkContext.broadcast(read_vocabulary(vocab_path))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
-    rows = in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(_round_trip(content, not digests), f"_id {kind}, n_tokens long, {tail}")
+    rows = in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(releasing(_round_trip(content, not digests)), f"_id {kind}, n_tokens long, {tail}")
     return rows.withColumnRenamed("_id", id_col)

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,21 @@ def in_small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def releasing(run):
+    """run(batches) of a mapInArrow; after each batch Arrow's pool gives unused memory back, which idle workers would else keep."""
+
+    def go(batches):
+        def freed():
+            for b in batches:
+                yield b
+                del b
+                pa.default_memory_pool().release_unused()
+
+        yield from run(freed())
+
+    return go
+
+
 def row_key(id_col: str, text_col: str) -> list[Column]:
     """Two 64-bit columns naming a row by id and text, so rows that repeat an id don't mix."""
     a, b = F.col(id_col), F.col(text_col)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if_small, settle, text_or_empty
+from .common import ascii_lower, broadcast_if_small, releasing, settle, text_or_empty
 
 REGION_BITS = 10
 RUN_BITS = 10
@@ -91,7 +91,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 def repeated_fingerprints(fps: DataFrame) -> DataFrame:
     """fps: one long column. The fingerprints that occur more than once, with their exact counts."""
-    blocks = fps.mapInArrow(_build, _BLOCK)
+    blocks = fps.mapInArrow(releasing(_build), _BLOCK)
     return blocks.groupBy("region").applyInArrow(_merge, "fp long, n long")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import SLICE_BYTES, read_vocabulary, vocabulary
-from .common import byte_slices, in_small_batches, settle
+from .common import byte_slices, in_small_batches, releasing, settle
 
 CAPACITY = 2048
 
@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     content = spark.sparkContext.broadcast(read_vocabulary(vocab_path))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(_pieces(content, capacity, end_id), schema)
+    pieces = in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(releasing(_pieces(content, capacity, end_id)), schema)
     # the written pieces fix each row's place: their partition and order are the same at every later read
     pieces = settle(pieces).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
     counts = settle(pieces.groupBy("length", "_p").agg(F.count(F.lit(1)).alias("_c")))
@@ -142,5 +142,5 @@ def pack_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", tex
     before = counts.withColumn("_base", F.sum("_c").over(Window.partitionBy("length").orderBy("_p")) - F.col("_c")).drop("_c")
     numbered = pieces.withColumn("_r", F.row_number().over(Window.partitionBy("length", "_p").orderBy("_m")) - 1)
     numbered = numbered.join(before, ["length", "_p"]).select("_id", "piece", "start", "length", "ids_crc32", (F.col("_base") + F.col("_r")).cast("long").alias("_number"))
-    out = numbered.mapInArrow(_assign(spark.sparkContext.broadcast(plan)), f"{schema}, sequence_id long, offset long")
+    out = numbered.mapInArrow(releasing(_assign(spark.sparkContext.broadcast(plan))), f"{schema}, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches
+from .common import in_small_batches, releasing
 
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -238,6 +238,6 @@ def pseudonymise_documents(docs: DataFrame, key: bytes, text_col: str = "text",
     rest = [c for c in docs.columns if c not in (text_col, spans_col)]
     fields = [docs.schema[c] for c in rest]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "`_new` string", "`_spans` array<struct<kind:string,start:int,end:int>>"])
-    out = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`")).mapInArrow(_run(key, back), schema)
+    out = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`")).mapInArrow(releasing(_run(key, back)), schema)
     order = [c for c in docs.columns if c != spans_col]
     return out.select(*(F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in order), F.col("_spans").alias(spans_col))

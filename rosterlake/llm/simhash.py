@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_ROWS, in_small_batches, settle
+from .common import GROUP_ROWS, in_small_batches, releasing, settle
 from .components import connected_components, forest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -210,7 +210,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     take the component of their fingerprint (null if no id is in it). kept marks the row that is its
     component's smallest id; rows repeating that id share the mark, and so do null ids of a component without ids. Equal fingerprints meet once, as one.
     """
-    rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(_fingerprints(shingle), "_id long, _fp long"))
+    rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(releasing(_fingerprints(shingle)), "_id long, _fp long"))
     distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low")))
     nodes = connected_components(fingerprint_links(distinct.select("_fp"), radius))
     classes = distinct.join(nodes.select(F.col("node").alias("_fp"), F.col("component").alias("_root")), "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, in_small_batches
+from .common import byte_slices, in_small_batches, releasing
 
 BUCKET_BITS = 16
 #: A word's embedding is the sum of three hashed rows: two hashes of the word and one of its first bytes.
@@ -27,7 +27,7 @@ PADS = max(WIDTHS)
 DIM, FILTERS = 8, 8
 #: Labelled documents that training may use at most, the smallest by a hash of their id. Texts are used whole.
 SAMPLE_DOCS = 6000
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 WORDS_AT_ONCE = 1 << 17
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -273,7 +273,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     picked = rows.join(F.broadcast(chosen), "_id").select("_id", "_t", "lang", "toxic")  # at most `sample` rows
     kind = docs.schema[id_col].dataType.simpleString()
-    return picked.mapInArrow(_bucket_rows, f"_id {kind}, ids binary, lang string, toxic int").orderBy("_id").collect()
+    return picked.mapInArrow(releasing(_bucket_rows), f"_id {kind}, ids binary, lang string, toxic int").orderBy("_id").collect()
 
 
 def is_held_out(id_column):
@@ -309,7 +309,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a fixed size: 3 x 2**16 rows of 8 numbers
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "`_text` string", "`_score` double"])
-    scored = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias("_text")).mapInArrow(_scores(shared), schema)
+    scored = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias("_text")).mapInArrow(releasing(_scores(shared)), schema)
     common = model.thresholds[None]
     threshold = F.lit(common)
     for lang, cut in model.thresholds.items():
