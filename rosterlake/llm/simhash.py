@@ -212,7 +212,8 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(releasing(_fingerprints(shingle)), "_id long, _fp long"))
     distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low")))
-    nodes = connected_components(fingerprint_links(distinct.select("_fp"), radius))
+    links = settle(fingerprint_links(distinct.select("_fp"), radius))  # else each task keeps two Python workers at once
+    nodes = connected_components(links)
     classes = distinct.join(nodes.select(F.col("node").alias("_fp"), F.col("component").alias("_root")), "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     lows = classes.groupBy("_root").agg(F.min("_low").alias("_comp"))
     of_fp = classes.join(lows, "_root").select("_fp", "_comp")
