@@ -7,6 +7,10 @@ The distinct fragments of an anchor are the texts whose repeats are still open:
 into shards, builds each shard's Burrows-Wheeler transform, and merges them by iterative interleave refinement:
 every round orders the interleave by a few more characters and carries the boundaries of common prefixes along,
 so after `length` characters the blocks without a boundary are the repeated intervals. No suffix is sorted again.
+
+One key never decides the size of a task. Anchors that a sample finds in very many fragments meet by anchor and
+fragment; anchors with many open fragments are dealt window by window, by the hash of the window: equal windows
+still meet, and only windows whose hash repeats are compared.
 """
 
 from __future__ import annotations
@@ -25,6 +29,10 @@ GRAM = 32
 SHARD_BYTES = 1 << 16
 #: Suffixes that one merge task is asked to hold.
 TASK_BYTES = 1 << 18
+#: Bytes of open fragments beyond which an anchor is dealt window by window, and the windows of one such task.
+SPLIT_BYTES, TASK_WINDOWS = 4 * TASK_BYTES, 100_000
+#: One document in so many is looked at for anchors that would crowd a meeting task.
+SURVEY = 64
 #: Records of one meeting task, text of one bucket of documents, and bytes hashed at once.
 MEET_RECORDS, BUCKET_BYTES = 400_000, 1 << 22
 SLICE_BYTES, CACHE_BYTES = 1 << 22, 1 << 17
@@ -114,7 +122,7 @@ def _grams(sums: np.ndarray, gram: int) -> np.ndarray:
 
 #: One packed record: anchor and fragment hash, document (order id, text hash), byte range.
 RECORD = np.dtype([("h", "<u8"), ("c", "<u8"), ("o", "<i8"), ("r", "<i4"), ("s", "<i4"), ("e", "<i4")])
-OPEN, GONE = 0, 1
+OPEN, GONE, COUNT = 0, 1, 2
 _BLOBS = "_kind int, _g int, _n long, _blob binary"
 
 
@@ -171,7 +179,40 @@ def _first_of_equals(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rec, np.r_[False, (rec["h"][1:] == rec["h"][:-1]) & (rec["c"][1:] == rec["c"][:-1])][: len(rec)]
 
 
-def _records(length: int, gram: int, groups: int, buckets: int):
+def _is_in(h: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """some: sorted and distinct."""
+    if not len(some):
+        return np.zeros(len(h), bool)
+    return some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h
+
+
+def meeting_group(h: np.ndarray, c: np.ndarray, crowded: np.ndarray, groups: int) -> np.ndarray:
+    """The meeting group of each fragment: by anchor, or by anchor and fragment where the anchor is crowded."""
+    mixed = (h ^ (c * _MIX)) * np.uint64(_P)
+    key = np.where(_is_in(h, crowded), mixed ^ (mixed >> np.uint64(32)), h)
+    return (key % np.uint64(groups)).astype(np.int64)
+
+
+def _surveyed(length: int, gram: int):
+    def run(batches):
+        """Distinct (anchor, fragment) hashes of each slice."""
+        for b in batches:
+            raw = [t.encode() for t in b.column(0).to_pylist()]
+            for lo, hi in byte_slices([len(t) for t in raw], SLICE_BYTES):
+                h, c, *_ = fragments(np.frombuffer(b"".join(raw[lo:hi]), np.uint8), np.cumsum([len(t) for t in raw[lo:hi]]), length, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in np.unique(np.stack([h, c]), axis=1)], ["_h", "_c"])
+
+    return run
+
+
+def crowded_anchors(rows: DataFrame, length: int, gram: int, limit: int) -> np.ndarray:
+    """Anchors with over `limit` distinct fragments, as estimated from one document in SURVEY."""
+    some = rows.where(F.pmod(F.xxhash64("_o", "_r"), F.lit(SURVEY)) == 0).select("_t")
+    found = some.mapInArrow(_surveyed(length, gram), "_h long, _c long").distinct().groupBy("_h").count().where(F.col("count") * SURVEY > limit)
+    return np.sort(np.array([r["_h"] for r in found.select("_h").collect()], np.int64).view(np.uint64))
+
+
+def _records(length: int, gram: int, groups: int, buckets: int, crowded: np.ndarray):
     def run(batches):
         """Packed fragments by a group of their anchor hash; those equal to an earlier one of the slice are gone already."""
         for b in batches:
@@ -192,15 +233,18 @@ def _records(length: int, gram: int, groups: int, buckets: int):
                 rec, again = _first_of_equals(np.concatenate(held))
                 live, gone = rec[~again], rec[again]
                 live = live[np.lexsort((live["s"], live["r"], live["o"]))]
-                rows = [*_dealt(live, (live["h"] % np.uint64(groups)).astype(np.int64), OPEN, LIVE_FIELDS), *_dealt(gone, bucket_of(gone["o"], gone["r"], buckets), GONE, GONE_FIELDS)]
+                rows = [*_dealt(live, meeting_group(live["h"], live["c"], crowded, groups), OPEN, LIVE_FIELDS), *_dealt(gone, bucket_of(gone["o"], gone["r"], buckets), GONE, GONE_FIELDS)]
                 yield from _blob_table(rows).to_batches()
 
     return run
 
 
-def _meet(buckets: int):
+def _meet(buckets: int, crowded: np.ndarray, many: int):
     def run(table: pa.Table) -> pa.Table:
-        """Of equal fragments all but the first are gone; firsts of anchors with several fragments stay open."""
+        """Of equal fragments all but the first are gone; firsts of anchors with several fragments stay open.
+
+        Anchors with over `many` open fragments are counted, crowded ones by the part that is in this group.
+        """
         kinds = table.column("_kind").to_numpy()
         passed = table.filter(pa.array(kinds == GONE))
         live = table.filter(pa.array(kinds == OPEN))
@@ -208,9 +252,12 @@ def _meet(buckets: int):
             return passed
         rec, again = _first_of_equals(_unpack(live.column("_blob").to_pylist(), live.column("_n").to_pylist(), LIVE_FIELDS))
         group = np.cumsum(np.r_[True, rec["h"][1:] != rec["h"][:-1]]) - 1
-        several = np.bincount(group[~again], minlength=int(group[-1]) + 1)[group] > 1
-        gone, open_ = rec[again], rec[~again & several]
-        rows = [*_dealt(gone, bucket_of(gone["o"], gone["r"], buckets), GONE, GONE_FIELDS), *_dealt(open_, bucket_of(open_["o"], open_["r"], buckets), OPEN, OPEN_FIELDS)]
+        n = np.bincount(group[~again], minlength=int(group[-1]) + 1)
+        heads = rec["h"][np.flatnonzero(np.diff(group, prepend=-1))]
+        split = _is_in(heads, crowded)  # others of the anchor are in other groups
+        gone, open_ = rec[again], rec[~again & ((n > 1) | split)[group]]
+        rows = [(COUNT, 0, int(n[i]), heads[i].tobytes()) for i in np.flatnonzero(split | (n > many)).tolist()]
+        rows += [*_dealt(gone, bucket_of(gone["o"], gone["r"], buckets), GONE, GONE_FIELDS), *_dealt(open_, bucket_of(open_["o"], open_["r"], buckets), OPEN, OPEN_FIELDS)]
         return pa.concat_tables([passed.cast(_blob_table([]).schema), _blob_table(rows)])
 
     return run
@@ -223,8 +270,52 @@ def _by_document(rec: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int], sli
     return rec, {(int(rec["o"][a]), int(rec["r"][a])): slice(a, z) for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rec)], strict=False)}
 
 
-def _cut(key, docs: pa.Table, opened: pa.Table) -> pa.Table:
-    """Open fragments of a bucket of documents, with their bytes."""
+def _windows(rec: np.ndarray, cut: list[bytes], length: int):
+    """Fragments dealt as windows: (hash, o, r, s, bytes) of the first of equal windows, (_, o, r, s, e) of runs of the later ones.
+
+    rec: in order of document and place, as documents are ordered.
+    """
+    sizes = np.array([len(f) for f in cut], np.int64)
+    base = np.cumsum(sizes) - sizes
+    n = sizes - length + 1
+    of = np.repeat(np.arange(len(cut)), n)
+    inner = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    at = base[of] + inner
+    text = np.frombuffer(b"".join(cut), np.uint8)
+    h = _hasher.ranges(_hasher.sums(text), at, at + length)
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)  # the first of each hash is the earliest
+    first = first[inverse]
+    later = np.flatnonzero(first != np.arange(len(h)))
+    view = np.lib.stride_tricks.sliding_window_view(text, length)
+    again = np.zeros(len(h), bool)
+    for a in range(0, len(later), 1 << 16):
+        part = later[a : a + (1 << 16)]
+        again[part] = (view[at[part]] == view[at[first[part]]]).all(axis=1)
+    live = np.flatnonzero(~again)
+    o, r, s = rec["o"][of], rec["r"][of], rec["s"][of] + inner
+    new = again & np.r_[True, ~again[:-1] | (of[1:] != of[:-1])]
+    a = np.flatnonzero(new)
+    z = np.flatnonzero(again & np.r_[(~again[1:]) | (of[1:] != of[:-1]), True])
+    raw = text.tobytes()
+    pieces = [raw[x : x + length] for x in at[live].tolist()]
+    return (h[live], o[live], r[live], s[live], pieces), (o[a], r[a], s[a], s[z] + length)
+
+
+_CUT = "_h long, _w boolean, _o long, _r int, _s int, _e int, _f binary"
+
+
+def _cut(length: int, hot: np.ndarray):
+    def run(key, docs: pa.Table, opened: pa.Table) -> pa.Table:
+        return _cut_bucket(docs, opened, length, hot)
+
+    return run
+
+
+def _cut_bucket(docs: pa.Table, opened: pa.Table, length: int, hot: np.ndarray) -> pa.Table:
+    """Open fragments of a bucket of documents, with their bytes; those of hot anchors window by window.
+
+    _w: a single window, its hash in _h. Without bytes: windows known to be gone, from _s to _e.
+    """
     rec, of = _by_document(_unpack(opened.column("_blob").to_pylist(), opened.column("_n").to_pylist(), OPEN_FIELDS))
     texts, rows, cut = docs.column("_t"), [], []
     for i, d in enumerate(zip(docs.column("_o").to_pylist(), docs.column("_r").to_pylist(), strict=True)):
@@ -233,7 +324,16 @@ def _cut(key, docs: pa.Table, opened: pa.Table) -> pa.Table:
             rows.append(rec[at])
             cut += [raw[x:y] for x, y in zip(rec["s"][at].tolist(), rec["e"][at].tolist(), strict=True)]
     out = np.concatenate(rows) if rows else rec[:0]
-    return pa.table({"_h": pa.array(out["h"].view(np.int64) if len(out) else [], pa.int64()), "_o": pa.array(out["o"]), "_r": pa.array(out["r"]), "_s": pa.array(out["s"]), "_f": pa.array(cut, pa.binary())})
+    is_hot = _is_in(out["h"], hot)
+    whole = out[~is_hot]
+    parts = [(whole["h"], False, whole["o"], whole["r"], whole["s"], whole["e"], [f for f, w in zip(cut, is_hot.tolist(), strict=True) if not w])]
+    if is_hot.any():
+        order = np.flatnonzero(is_hot)
+        order = order[np.lexsort((out["s"][order], out["r"][order], out["o"][order]))]
+        (h, o, r, s, pieces), (go, gr, gs, ge) = _windows(out[order], [cut[i] for i in order.tolist()], length)
+        parts += [(h, True, o, r, s, s + length, pieces), (go.view(np.uint64) * np.uint64(_P) ^ gs.astype(np.uint64), True, go, gr, gs, ge, [None] * len(go))]
+    made = [pa.table({"_h": pa.array(np.ascontiguousarray(h).view(np.int64)), "_w": pa.array(np.full(len(o), w)), "_o": pa.array(o), "_r": pa.array(r, pa.int32()), "_s": pa.array(s.astype(np.int32)), "_e": pa.array(e.astype(np.int32)), "_f": pa.array(f, pa.binary())}) for h, w, o, r, s, e, f in parts]
+    return pa.concat_tables(made)
 
 
 def shard_order(text: np.ndarray, after: np.ndarray, depth: int) -> np.ndarray:
@@ -331,10 +431,12 @@ def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _merge(length: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """Windows of the open fragments that stand in an earlier fragment, as gone byte ranges by bucket of documents."""
+        table, known = _still_open(table)
+        passed = _dealt(known, bucket_of(known["o"], known["r"], buckets), GONE, GONE_FIELDS)
         who, rk, s = (table.column(k).to_numpy() for k in ("_o", "_r", "_s"))
         order = np.lexsort((s, rk, who))
         if not len(order):
-            return _blob_table([])
+            return _blob_table(passed)
         who, rk, s = who[order], rk[order], s[order]
         distinct = np.r_[True, (who[1:] != who[:-1]) | (rk[1:] != rk[:-1]) | (s[1:] != s[:-1])]  # rows equal in id and text
         who, rk, s = who[distinct], rk[distinct], s[distinct]
@@ -347,11 +449,25 @@ def _merge(length: int, buckets: int):
         rec = np.zeros(len(first), RECORD)
         rec["o"], rec["r"] = who[of], rk[of]
         rec["s"], rec["e"] = s[of] + first - starts[of], s[of] + last - 1 - starts[of] + length
-        return _blob_table(_dealt(rec, bucket_of(rec["o"], rec["r"], buckets), GONE, GONE_FIELDS))
+        return _blob_table([*passed, *_dealt(rec, bucket_of(rec["o"], rec["r"], buckets), GONE, GONE_FIELDS)])
 
     return run
 
 
+def _still_open(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows to compare (single windows only if their hash comes more than once), and the byte ranges that are gone already."""
+    bytes_, window = table.column("_f").is_valid().to_numpy(), table.column("_w").to_numpy()
+    gone = table.filter(pa.array(~bytes_))
+    known = np.zeros(gone.num_rows, RECORD)
+    for f in GONE_FIELDS:
+        known[f] = gone.column(f"_{f}").to_numpy()
+    single = np.flatnonzero(bytes_ & window)
+    _, inverse, n = np.unique(table.column("_h").to_numpy()[single], return_inverse=True, return_counts=True)
+    keep = bytes_.copy()
+    keep[single[n[inverse] == 1]] = False
+    return table.filter(pa.array(keep)), known
+
+
 def _finish(digest: bool):
     def run(key, docs: pa.Table, spans: pa.Table) -> pa.Table:
         """Documents of a bucket with the gone byte ranges of the bucket."""
@@ -392,16 +508,23 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
     groups = max(12, -(-2 * total // (length - GRAM) // MEET_RECORDS))
     buckets = max(12, -(-total // BUCKET_BYTES))
-    records = rows.mapInArrow(_records(length, GRAM, groups, buckets), _BLOBS)
+    limit = MEET_RECORDS // 8
+    crowded = crowded_anchors(rows, length, GRAM, limit) if 2 * total // (length - GRAM) > limit else np.zeros(0, np.uint64)
+    width = length + (length - GRAM) // 2
+    many = SPLIT_BYTES // width
+    records = rows.mapInArrow(_records(length, GRAM, groups, buckets, crowded), _BLOBS)
     # blobs of live fragments meet by anchor; those gone already travel along in groups of their own
-    met = settle(records.groupBy("_kind", "_g").applyInArrow(_meet(buckets), _BLOBS))
+    met = settle(records.groupBy("_kind", "_g").applyInArrow(_meet(buckets, crowded, many), _BLOBS))
+    counted = met.where(F.col("_kind") == COUNT).groupBy("_blob").agg(F.sum("_n").alias("n")).where(F.col("n") > many).collect()
+    hot = np.sort(np.frombuffer(b"".join(bytes(r["_blob"]) for r in counted), np.uint64))
+    n_hot = sum(r["n"] for r in counted)
     opened = met.where(F.col("_kind") == OPEN)
     n_open = opened.agg(F.sum("_n")).first()[0] or 0
     # both cogroups deal the documents alike, so their one exchange serves both
     keyed = base.withColumn("_b", bucket_column(F.col("_o"), F.col("_r"), buckets))
     opened = opened.select(F.col("_g").alias("_b"), "_n", "_blob")
-    frs = keyed.groupBy("_b").cogroup(opened.groupBy("_b")).applyInArrow(_cut, "_h long, _o long, _r int, _s int, _f binary")
-    tasks = max(12, -(-n_open * (length + (length - GRAM) // 2) // TASK_BYTES))
+    frs = keyed.groupBy("_b").cogroup(opened.groupBy("_b")).applyInArrow(_cut(length, hot), _CUT)
+    tasks = max(12, -(-(n_open - n_hot) * width // TASK_BYTES) - (-n_hot * (length - GRAM) // 2 // TASK_WINDOWS))
     merged = frs.groupBy(F.pmod(F.xxhash64("_h"), F.lit(tasks)).alias("_g")).applyInArrow(_merge(length, buckets), _BLOBS)
     spans = met.where(F.col("_kind") == GONE).unionByName(merged).select(F.col("_g").alias("_b"), "_n", "_blob")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -103,6 +103,40 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [False, True])
+def test_suffix_dedup_splits_a_hot_anchor(spark, monkeypatch, crowd):
+    rng = random.Random(8)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, long, left = own(60), own(130), own(50)
+    rows = [(i, own(120) + (long if i % 7 == 0 else left + phrase if i % 5 == 0 else phrase) + own(120)) for i in range(600)]
+    rows += [(i, rows[i - 600][1] + "x") for i in range(600, 620)]
+    whole = suffix_dedup.repeated_windows
+
+    def small(frs, rank, length):
+        assert len(frs) < 300, "one anchor in one task"
+        return whole(frs, rank, length)
+
+    for name, value in (("repeated_windows", small), ("TASK_BYTES", 1 << 12), ("SPLIT_BYTES", 1 << 12), ("TASK_WINDOWS", 2000), *((("SURVEY", 1), ("MEET_RECORDS", 800)) if crowd else ())):
+        monkeypatch.setattr(suffix_dedup, name, value, raising=False)
+    seen, want = set(), {}
+    for i, t in rows:
+        raw, gone = t.encode(), np.zeros(len(t), bool)
+        for s in range(len(raw) - 99):
+            if raw[s : s + 100] in seen:
+                gone[s : s + 100] = True
+            seen.add(raw[s : s + 100])
+        want[i] = (int(gone.sum()), np.frombuffer(raw, np.uint8)[~gone].tobytes())
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(d).collect()} == want
+
+
+def test_crowded_anchors_meet_in_many_groups():
+    h, c = np.full(4000, 12345, np.uint64), np.random.default_rng(0).integers(0, 2**63, 4000).astype(np.uint64)
+    groups = suffix_dedup.meeting_group(h, c, h[:1], 16)
+    assert np.bincount(groups, minlength=16).max() < 500 and (groups == suffix_dedup.meeting_group(h, c, h[:1], 16)).all()
+    assert len(set(suffix_dedup.meeting_group(h, c, h[:0], 16))) == 1
+
+
 def test_transforms_merge_to_sorted_rotations():
     rng = random.Random(2)
     frs = sorted({bytes(rng.choice(b"ab") for _ in range(130)) for _ in range(40)})
