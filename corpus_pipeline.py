@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder
 named in spark.checkpoint.dir and hands the reread rows to the next one. Stages before the last return the
-columns of documents. Rows without an id stay in the stages that drop by id.
+columns of documents. Rows are dropped by id and text, so repeated and missing ids are judged one by one.
 """
 
 from __future__ import annotations
@@ -17,9 +17,16 @@ from rosterlake.llm import common, exact_dedup, packing, pii, simhash, toxicity
 from rosterlake.llm.queries import QUERY_KEY
 
 
-def _without(docs: DataFrame, dropped: DataFrame, keys: list[str], row_bytes: int) -> DataFrame:
-    """docs less the rows whose keys are in dropped; broadcast only if dropped is counted small."""
-    return docs.join(common.broadcast_if_small(common.settle(dropped.select(*keys).distinct()), row_bytes), keys, "left_anti")
+def _one_of_each(docs: DataFrame, verdicts: DataFrame, keys: list[str], row_bytes: int) -> DataFrame:
+    """docs less the rows whose keys (never null) are not kept in verdicts; of rows equal in kept keys one stays."""
+    found = common.settle(verdicts.groupBy(*keys).agg(F.min("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("NOT _kept OR _n > 1"))
+    out = docs.join(common.broadcast_if_small(found.where("NOT _kept").select(*keys), row_bytes), keys, "left_anti")
+    repeated = found.where("_kept").select(*keys)
+    if repeated.isEmpty():
+        return out
+    repeated = common.broadcast_if_small(repeated, row_bytes)
+    again = out.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return out.join(repeated, keys, "left_anti").unionByName(again.select("_row.*"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +39,15 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of equal texts (A-Z lower-cased) the largest doc_id stays."""
     verdicts = exact_dedup.exact_dedup(docs)
     sha = F.sha2(common.ascii_lower(common.text_or_empty("text")), 256)
-    dropped = verdicts.where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("_sha"))
-    return _without(docs.withColumn("_sha", sha), dropped, ["doc_id", "_sha"], 160).select(*docs.columns)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_name")
+    verdicts = verdicts.select(name, F.col("text_sha256").alias("_sha"), "kept")
+    return _one_of_each(docs.select("*", name, sha.alias("_sha")), verdicts, ["_name", "_sha"], 160).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the smallest doc_id."""
-    verdicts = simhash.simhash_dedup(docs)
-    return _without(docs, verdicts.where(~F.col("kept")), ["doc_id"], 64).select(*docs.columns)
+    """One document of each SimHash component stays, of the smallest doc_id."""
+    verdicts = simhash.simhash_dedup(docs, by_row=True)
+    return _one_of_each(docs.select("*", *common.row_key("doc_id", "text")), verdicts, ["_rk1", "_rk2"], 64).select(*docs.columns)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

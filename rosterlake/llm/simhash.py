@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_ROWS, in_small_batches, releasing, settle
+from .common import GROUP_ROWS, in_small_batches, releasing, row_key, settle
 from .components import connected_components, forest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,7 +59,7 @@ def _fingerprints(shingle: int):
         for b in batches:
             texts = b.column(1)
             fps = np.fromiter((fingerprint(t.as_py() or "", shingle) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column(0), _signed(fps)], ["_id", "_fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), _signed(fps), *b.columns[2:]], ["_id", "_fp", *b.schema.names[2:]])
 
     return run
 
@@ -201,7 +201,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return placed.groupBy("_g").applyInArrow(_compare(radius), "u long, v long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3, by_row: bool = False) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id, kept.
 
     A-Z is lower-cased, words are runs of [^\\x20\\x09-\\x0D], shingles are joined by one space; a text of fewer
@@ -209,18 +209,23 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the smallest id reachable by links of at most `radius` differing bits; rows with a null id
     take the component of their fingerprint (null if no id is in it). kept marks the row that is its
     component's smallest id; rows repeating that id share the mark, and so do null ids of a component without ids. Equal fingerprints meet once, as one.
+    by_row: kept marks the rows of one (id, text) of each component, of the smallest id the one of smallest hash; the
+    columns _rk1 and _rk2 of row_key are added.
     """
-    rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(releasing(_fingerprints(shingle)), "_id long, _fp long"))
-    distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low")))
+    key = row_key(id_col, text_col) if by_row else []
+    rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *key).mapInArrow(releasing(_fingerprints(shingle)), "_id long, _fp long" + (", _rk1 long, _rk2 long" if by_row else "")))
+    first = [F.min(F.struct(F.col("_id").isNull(), "_id", "_rk1", "_rk2")).alias("_first")] if by_row else []
+    distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low"), *first))
     links = settle(fingerprint_links(distinct.select("_fp"), radius))  # else each task keeps two Python workers at once
     nodes = connected_components(links)
     classes = distinct.join(nodes.select(F.col("node").alias("_fp"), F.col("component").alias("_root")), "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
-    lows = classes.groupBy("_root").agg(F.min("_low").alias("_comp"))
-    of_fp = classes.join(lows, "_root").select("_fp", "_comp")
+    lows = classes.groupBy("_root").agg(F.min("_low").alias("_comp"), *([F.min("_first").alias("_one")] if by_row else []))
+    of_fp = classes.join(lows, "_root").select("_fp", "_comp", *(["_one"] if by_row else []))
     out = rows.join(of_fp, "_fp")
     return out.select(
         F.col("_id").alias(id_col),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
         F.col("_comp").alias("component_id"),
-        F.col("_id").eqNullSafe(F.col("_comp")).alias("kept"),
+        ((F.col("_rk1") == F.col("_one._rk1")) & (F.col("_rk2") == F.col("_one._rk2")) if by_row else F.col("_id").eqNullSafe(F.col("_comp"))).alias("kept"),
+        *(["_rk1", "_rk2"] if by_row else []),
     )

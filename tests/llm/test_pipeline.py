@@ -23,3 +23,16 @@ def test_stages_keep_columns_and_take_effect(spark, tables):
     assert {0, 1} & set(kept["exact dedup"]) == set() and {30, 31} <= set(kept["exact dedup"])
     assert kept["pii"][33] != "mail me a@b.example.com" and kept["pii"][32] is None
     assert C.run(spark, tables).select("doc_id").distinct().count() == len(kept["pii"])
+
+
+def test_dedup_stages_keep_one_row_of_each_group(spark):
+    text = lambda i: " ".join(f"v{i * 50 + k}" for k in range(40))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    kept = lambda d: sorted(((r.doc_id, r.text) for r in d.collect()), key=str)
+    a, b, c, d = map(text, range(4))
+    near = make([(5, a), (5, b), (3, b), (7, c), (7, c.upper()), (7, c), (None, d), (None, d), (None, b)])
+    got = kept(C.drop_near_copies(spark, near, ""))
+    assert [t.lower() for _, t in got] == [b, a, c, d] and [i for i, _ in got] == [3, 5, 7, None]
+    exact = make([(5, a), (5, b), (9, b), (None, b), (8, c), (8, c), (None, d), (None, d)])
+    assert kept(C.drop_exact_copies(spark, exact, "")) == sorted([(5, a), (9, b), (8, c), (None, d)], key=str)
