@@ -25,8 +25,8 @@ BATCH_BYTES = 4 << 20
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z alone; other letters keep their case."""
-    return F.translate(c, UPPER, LOWER)
+    """Lower-case A-Z alone; other letters keep their case. Pure ASCII takes the fast path: there lower() says the same."""
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def text_or_empty(c: Column | str) -> Column:
@@ -34,11 +34,13 @@ def text_or_empty(c: Column | str) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder named in spark.checkpoint.dir; a temporary one only on a local master, whose executors share it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not sc.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="rosterlake-ck-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
@@ -56,6 +58,17 @@ def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until no column (in any case) is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def byte_slices(sizes: list[int], limit: int):
     """Cut rows 0..n into (start, stop) runs of at most limit bytes; a longer row stands alone."""
     start, held = 0, 0
