@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, releasing
+from .common import in_small_batches, releasing, unused
 
 ROUNDS = 10
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Characters that one permutation takes; longer values go chunk by chunk, each tweaked by the chunk before.
+CHUNK = 128
 
 PATTERN = re.compile(
-    r"""(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]))
-    |(?P<secret>(?<=["'= :])(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,128}(?![0-9A-Za-z]))
+    r"""(?P<email>(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w@]))
+    |(?P<secret>(?<=["'= :])(?<![0-9A-Za-z])(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}(?![0-9A-Za-z]))
+    |(?P<token>(?<![0-9A-Za-z_-])(?:gh[opusr]_[0-9A-Za-z]{36}|AKIA[0-9A-Z]{16}|xox[abprs]-[0-9A-Za-z-]{10,250}|sk-[0-9A-Za-z_-]{20,250})(?![0-9A-Za-z_-]))
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\ [A-Z0-9]{4}){2,7}(?:\ [A-Z0-9]{1,4})?)(?![A-Za-z0-9]))
     |(?P<card>(?<![0-9A-Za-z.+-])(?:[0-9]{13,19}|[0-9]{4}(?P<sep>[\ -])[0-9]{4}(?P=sep)[0-9]{4}(?P=sep)[0-9]{4}|[0-9]{4}(?P<sep2>[\ -])[0-9]{6}(?P=sep2)[0-9]{5})(?![0-9A-Za-z]))
     |(?P<ssn>(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-]))
@@ -33,8 +35,10 @@ PATTERN = re.compile(
     |(?P<ip>(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))""",
     re.VERBOSE,
 )
-WORTH_A_LOOK = re.compile(r"[0-9@]")
-KINDS = ("email", "secret", "iban", "card", "ssn", "phone", "date", "ip")
+WORTH_A_LOOK = re.compile(r"[0-9@]|gh[opusr]_|AKIA|xox|sk-")
+#: The openings of well-known access tokens; they stay, the rest is permuted.
+TOKEN_HEADS = ("gho_", "ghp_", "ghr_", "ghs_", "ghu_", "AKIA", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "sk-")
+KINDS = ("email", "secret", "token", "iban", "card", "ssn", "phone", "date", "ip")
 
 
 def permute(value: int, modulus: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -43,9 +47,12 @@ def permute(value: int, modulus: int, key: bytes, tweak: str, back: bool = False
         return value
     a = isqrt(modulus - 1) + 1
     b = -(-modulus // a)
+    blocks = 1 + a.bit_length() // 192  # a draw is well longer than a half
 
     def turn(i: int, half: int) -> int:
-        return int.from_bytes(hashlib.blake2b(f"{tweak}|{modulus}|{i}|{half}".encode(), key=key[:64], digest_size=32).digest(), "big")
+        seed = f"{tweak}|{modulus}|{i}|{half}".encode()
+        draw = lambda n: hashlib.blake2b(seed + n, key=key[:64], digest_size=32).digest()
+        return int.from_bytes(b"".join(draw(bytes([n])) for n in range(blocks)), "big")
 
     while True:
         left, right = divmod(value, b)
@@ -102,14 +109,36 @@ def _ssn(s: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(s: str, key: bytes, back: bool) -> str | None:
+    """Area and exchange codes begin with 2 to 9 where numbers are assigned: a number and its pseudonym agree on either."""
     d = _digits(s)
     head, body = d[:-10], d[-10:]
-    return _refill(s, head + f"{permute(int(body), 10**10, key, 'phone', back):010d}")
+    kind = lambda n: (n[0] > "1", n[3] > "1")
+    valid = lambda v: kind(f"{v:010d}") == kind(body)
+    return _refill(s, head + f"{walk(int(body), 10**10, key, f'phone{kind(body)}', valid, back):010d}")
 
 
-def _classes(s: str, key: bytes, tweak: str, back: bool) -> str:
-    """Permute all letters and digits of s within their classes, as one number of mixed radix."""
-    sets = [next((a for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c in a), c) for c in s]
+_ALNUM = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_HEX = ("0123456789", "abcdef", "ABCDEF")
+
+
+def _chained(s: str, one, back: bool) -> str:
+    """one(chunk, tweak) over chunks of s; a chunk's tweak is the pseudonym (of back: the text read) before it."""
+    out, before = [], ""
+    for i in range(0, len(s), CHUNK):
+        part = s[i : i + CHUNK]
+        new = one(part, before)
+        out.append(new)
+        before = f"|{i}|{part if back else new}"
+    return "".join(out)
+
+
+def _classes(s: str, key: bytes, tweak: str, back: bool, classes: tuple[str, ...] = _ALNUM) -> str:
+    """Permute all letters and digits of s within their classes, as numbers of mixed radix."""
+    return _chained(s, lambda part, before: _class_chunk(part, key, tweak + before, back, classes), back)
+
+
+def _class_chunk(s: str, key: bytes, tweak: str, back: bool, classes: tuple[str, ...]) -> str:
+    sets = [next((a for a in classes if c in a), c) for c in s]
     value = modulus = 0
     modulus = 1
     for c, a in zip(s, sets, strict=True):
@@ -129,9 +158,22 @@ def _email(s: str, key: bytes, back: bool) -> str:
 
 
 def _secret(s: str, key: bytes, back: bool) -> str:
-    n = len(s)
-    valid = lambda v: not (h := f"{v:0{n}x}").isdigit() and not h.isalpha()
-    return f"{walk(int(s, 16), 16**n, key, 'secret', valid, back):0{n}x}"
+    """Lower or upper case throughout: one number; mixed case: by classes of characters. Digits and letters both stay in."""
+    if s not in (s.lower(), s.upper()):
+        return _classes(s, key, "secret", back, _HEX)
+
+    def one(part: str, before: str) -> str:
+        n = len(part)
+        valid = lambda v: n < len(s) or not ((h := f"{v:0{n}x}").isdigit() or h.isalpha())
+        return f"{walk(int(part, 16), 16**n, key, 'secret' + before, valid, back):0{n}x}"
+
+    new = _chained(s.lower(), one, back)
+    return new if s == s.lower() else new.upper()
+
+
+def _token(s: str, key: bytes, back: bool) -> str:
+    head = next(h for h in TOKEN_HEADS if s.startswith(h))
+    return head + _classes(s[len(head) :], key, "token" + head, back)
 
 
 def _iban_check(country: str, bban: str) -> int:
@@ -159,12 +201,19 @@ def _date(s: str, key: bytes, back: bool) -> str | None:
                 continue
         return None
 
-    if not (got := read(s)) or not FIRST_DAY <= got[1] <= LAST_DAY:
+    if not (got := read(s)):
         return None
     form, day = got
-    show = lambda v: datetime.date.fromordinal(FIRST_DAY + v).strftime(form)
-    valid = lambda v: read(show(v)) == (form, FIRST_DAY + v)  # noqa: E731  reads back in the same order of day and month
-    return show(walk(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date" + form, valid, back))
+    century = max(1, datetime.date.fromordinal(day).year // 100 * 100)
+    first = datetime.date(century, 1, 1).toordinal()
+    last = datetime.date(century // 100 * 100 + 99, 12, 31).toordinal()
+
+    def show(v: int) -> str:
+        d = datetime.date.fromordinal(first + v)
+        return form.replace("%Y", f"{d.year:04d}").replace("%m", f"{d.month:02d}").replace("%d", f"{d.day:02d}")
+
+    valid = lambda v: read(show(v)) == (form, first + v)  # noqa: E731  reads back in the same order of day and month
+    return show(walk(day - first, last - first + 1, key, f"date{form}{century}", valid, back))
 
 
 def _ip(s: str, key: bytes, back: bool) -> str | None:
@@ -184,7 +233,7 @@ def _ip(s: str, key: bytes, back: bool) -> str | None:
     return ".".join(reversed(out))
 
 
-_MAKE = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "date": _date, "ip": _ip}
+_MAKE = {"email": _email, "secret": _secret, "token": _token, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "date": _date, "ip": _ip}
 
 
 @lru_cache(maxsize=100_000)
@@ -211,7 +260,13 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
     return "".join([*out, text[done:]]), spans
 
 
-def _run(key: bytes, back: bool):
+def configured_key(spark) -> bytes | None:
+    """The key that the session names in spark.rosterlake.pii.key, or none."""
+    key = spark.conf.get("spark.rosterlake.pii.key", None)
+    return key.encode() if key else None
+
+
+def _run(key: bytes, back: bool, names: list[str]):
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -221,7 +276,7 @@ def _run(key: bytes, back: bool):
                 new, found = pseudonymise(t, key, back) if t is not None else (None, [])
                 texts.append(new)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(spans, span)], [*b.schema.names[:-1], "_new", "_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(spans, span)], [*b.schema.names[:-1], *names])
 
     return run
 
@@ -229,15 +284,20 @@ def _run(key: bytes, back: bool):
 def pseudonymise_documents(docs: DataFrame, key: bytes, text_col: str = "text", spans_col: str = "pii_spans", back: bool = False) -> DataFrame:
     """docs with text_col rewritten and spans_col added: (kind, start, end) of each pseudonym in the new text.
 
-    Kinds: e-mail, hexadecimal secrets, IBAN, payment card, US social security number, phone, date, IPv4. A value
-    that its format's check rejects stays as it is. Null text stays null with no spans; empty text stays empty.
-    Every other column is passed on; a column of docs named like spans_col is replaced. back=True undoes it.
+    Kinds: e-mail, hexadecimal secrets (32 digits or more after a quote, colon, equals sign or space), access tokens
+    of known openings, IBAN, payment card, US social security number, phone, date (any four-digit year, kept within
+    its century), IPv4. A value that its format's check rejects stays as it is; a phone number has no check digit, so
+    each one is replaced, by one whose area and exchange codes are as (un)assignable as its own. Texts of any length
+    are read as a whole, long values in chunks of 128 characters. Null text stays null with no spans; empty text stays
+    empty; equal rows give equal rows, null and repeated ids are passed on like every other column, whatever its name;
+    a column of docs named like spans_col is replaced. An empty table gives an empty result. back=True undoes it.
     """
     if not key:
         raise ValueError("a key is needed")
     rest = [c for c in docs.columns if c not in (text_col, spans_col)]
     fields = [docs.schema[c] for c in rest]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "`_new` string", "`_spans` array<struct<kind:string,start:int,end:int>>"])
-    out = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`")).mapInArrow(releasing(_run(key, back)), schema)
+    new, spans = unused(docs.columns, "_new", "_spans")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{new}` string", f"`{spans}` array<struct<kind:string,start:int,end:int>>"])
+    out = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`")).mapInArrow(releasing(_run(key, back, [new, spans])), schema)
     order = [c for c in docs.columns if c != spans_col]
-    return out.select(*(F.col("_new").alias(c) if c == text_col else F.col(f"`{c}`") for c in order), F.col("_spans").alias(spans_col))
+    return out.select(*(F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in order), F.col(spans).alias(spans_col))
