@@ -8,6 +8,7 @@ sees language, source, id or label.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, in_small_batches, releasing
+from .common import byte_slices, in_small_batches, releasing, settle, unused
 
 BUCKET_BITS = 16
 #: A word's embedding is the sum of three hashed rows: two hashes of the word and one of its first bytes.
@@ -27,7 +28,10 @@ PADS = max(WIDTHS)
 DIM, FILTERS = 8, 8
 #: Labelled documents that training may use at most, the smallest by a hash of their id. Texts are used whole.
 SAMPLE_DOCS = 6000
+#: Characters of text that training may use at most: rows are taken in that order while they fit.
+SAMPLE_CHARS = 64 << 20
 SLICE_BYTES = 1 << 18
+_GAP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 WORDS_AT_ONCE = 1 << 17
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INVERSE = pow(_P, -1, 1 << 64)
@@ -75,6 +79,27 @@ def word_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, firsts
 
 
+def long_text_buckets(text: str, size: int = SLICE_BYTES):
+    """(bucket ids, words repeated) of slices of one long text; each opens with the last words of the one before, the pads end the last.
+
+    A word of over `size` characters may be read as two.
+    """
+    text, at = text.lower(), 0
+    carry = np.zeros((0, HASHES), np.int32)
+    while at < len(text):
+        gap = _GAP.search(text, at + size, at + 2 * size)
+        stop = gap.end() if gap else min(len(text), at + 2 * size)
+        ids, _ = word_buckets([text[at:stop]])
+        ids = np.concatenate([carry, ids[:-PADS]])
+        again, at = len(carry), stop
+        if at >= len(text):
+            ids = np.concatenate([ids, np.full((PADS, HASHES), PAD, np.int32)])
+        elif not len(ids):
+            continue
+        yield ids, again
+        carry = ids[-(PADS - 1) :]
+
+
 @dataclass
 class Model:
     emb: np.ndarray
@@ -122,6 +147,12 @@ def pooled_maxima(ids: np.ndarray, firsts: np.ndarray, model: Model) -> np.ndarr
     return np.maximum(out + np.concatenate([model.bias[w] for w in WIDTHS]), 0)
 
 
+def maxima_of_long_text(text: str, model: Model, size: int = SLICE_BYTES) -> np.ndarray:
+    """pooled_maxima of one text: maxima over slices are the maxima of the whole, as slices overlap by a window less one word."""
+    parts = [pooled_maxima(ids, np.zeros(1, np.int64), model)[0] for ids, _ in long_text_buckets(text, size)]
+    return np.max(parts, axis=0)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
@@ -138,7 +169,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], s
     if not n or y.min() == y.max():  # nothing to learn: the rate itself
         rate = float(np.clip(y.mean() if n else 0.0, 1e-3, 1 - 1e-3))
         zero = {w: np.zeros((w, DIM, FILTERS), np.float32) for w in WIDTHS}
-        return Model(np.zeros((PAD + 1, DIM), np.float32), zero, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}, np.zeros(len(WIDTHS) * FILTERS, np.float32), float(np.log(rate / (1 - rate))), thresholds={None: 0.5})
+        return Model(np.zeros((PAD + 1, DIM), np.float32), zero, {w: np.zeros(FILTERS, np.float32) for w in WIDTHS}, np.zeros(len(WIDTHS) * FILTERS, np.float32), float(np.log(rate / (1 - rate))), thresholds={None: float("inf")})
     held = rng.permutation(n) % 5 == 0
     fit = np.flatnonzero(~held)
     # the first embedding coordinate starts at the bucket's log odds as far as they are significant
@@ -216,7 +247,7 @@ def train(docs: list[np.ndarray], labels: np.ndarray, langs: list[str | None], s
 
 
 def _calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, langs: list[str | None], least: int = 15) -> None:
-    """Platt scaling, then per language the threshold of least error; languages with few rows share the common one."""
+    """Platt scaling, then per language the threshold of least error on its own rows, to which all rows together add as much as `least` rows."""
     model.thresholds = {None: 0.5}
     if not docs or y.min() == y.max():
         return
@@ -244,53 +275,69 @@ def _calibrate(model: Model, docs: list[np.ndarray], y: np.ndarray, langs: list[
         model.slope, model.shift = float(line[0]), float(line[1])
     score = _sigmoid(model.slope * z + model.shift)
 
-    def best(s: np.ndarray, t: np.ndarray) -> float:
+    cuts = np.unique(np.r_[0.5, (np.sort(score)[1:] + np.sort(score)[:-1]) / 2])
+
+    def best(weight: np.ndarray) -> float:
         """Least weighted error, a wrong rejection counting double; ties go to the cut nearest 0.5."""
-        cuts = np.unique(np.r_[0.5, (np.sort(s)[1:] + np.sort(s)[:-1]) / 2])
-        cost = [2 * ((s >= c) & (t == 0)).sum() + ((s < c) & (t == 1)).sum() for c in cuts]
+        cost = [round(float((weight * np.where(y == 0, 2 * (score >= c), score < c)).sum()), 9) for c in cuts]
         return float(min(zip(cost, np.abs(cuts - 0.5), cuts, strict=True))[2])
 
-    model.thresholds[None] = best(score, y)
-    for lang in {x for x in langs if x is not None}:
-        own = np.array([x == lang for x in langs])
-        if min(y[own].sum(), (1 - y[own]).sum()) >= least:
-            model.thresholds[lang] = best(score[own], y[own])
+    every = np.full(len(y), least / len(y))
+    model.thresholds[None] = best(every)
+    for lang in sorted({x for x in langs if x is not None}):
+        model.thresholds[lang] = best(every + np.array([x == lang for x in langs]))
 
 
 def _bucket_rows(batches):
     for b in batches:
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        ids, firsts = word_buckets(texts)
-        packed = [x.tobytes() for x in np.split(ids, firsts[1:])] if texts else []
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), *b.columns[2:]], ["_id", "ids", "lang", "toxic"])
+        packed = []
+        for t in b.column(1).to_pylist():
+            packed.append(b"".join(ids[again:].tobytes() for ids, again in long_text_buckets(t)) if t else np.full((PADS, HASHES), PAD, np.int32).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), *b.columns[2:]], ["_id", "ids", "lang", "toxic", "_h"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, sample: int) -> list:
-    """At most `sample` labelled rows outside the held-out fold, as bucket ids; the one collect here is bounded by it."""
+    """At most `sample` labelled rows outside the held-out fold, as bucket ids; the collects here are bounded by it and by SAMPLE_CHARS.
+
+    Rows equal in id and text count once, rows of one id and different texts one by one.
+    """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("toxic"))
     known = known.where(~is_held_out(F.col("_id")))
     rows = in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).cast("string").alias("lang"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    picked = rows.join(F.broadcast(chosen), "_id").select("_id", "_t", "lang", "toxic")  # at most `sample` rows
+    picked = rows.join(F.broadcast(chosen), "_id").withColumn("_h", F.xxhash64("_t", "lang"))  # at most `sample` ids
+    picked = settle(picked.groupBy("_id", "_h").agg(F.first("_t").alias("_t"), F.first("lang").alias("lang"), F.first("toxic").alias("toxic")))
+    order = [F.xxhash64("_id"), "_id", "_h"]
+    sizes = picked.select("_id", "_h", F.coalesce(F.length("_t"), F.lit(0)).alias("n")).orderBy(*order).limit(sample).collect()
+    keys, left = [], SAMPLE_CHARS
+    for r in sizes:
+        if r["n"] <= left:
+            keys.append((r["_id"], r["_h"]))
+            left -= r["n"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return picked.mapInArrow(releasing(_bucket_rows), f"_id {kind}, ids binary, lang string, toxic int").orderBy("_id").collect()
+    keys = docs.sparkSession.createDataFrame(keys, f"_id {kind}, _h long")
+    used = picked.join(F.broadcast(keys), ["_id", "_h"]).select("_id", "_t", "lang", "toxic", "_h")
+    found = used.mapInArrow(releasing(_bucket_rows), f"_id {kind}, ids binary, lang string, toxic int, _h long")
+    return found.orderBy("_id", "_h").collect()
 
 
 def is_held_out(id_column):
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def _scores(shared):
+def _scores(shared, name: str):
     def run(batches):
         model = shared.value
         for b in batches:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             scores = [np.zeros(0)]
             for a, z in byte_slices([len(t) for t in texts], SLICE_BYTES):
-                ids, firsts = word_buckets(texts[a:z])
-                logits = _logits(model, ids, firsts)
+                if len(texts[a]) > SLICE_BYTES:  # it stands alone
+                    logits = (maxima_of_long_text(texts[a], model) @ model.out + model.out_bias).reshape(1)
+                else:
+                    logits = _logits(model, *word_buckets(texts[a:z]))
                 scores.append(_sigmoid(model.slope * logits.astype(float) + model.shift))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores))], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(scores))], [*b.schema.names, name])
 
     return run
 
@@ -300,16 +347,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Trains on at most `sample` labelled rows whose crc32(id as text) mod 5 is not 0, then scores every whole text.
     Null text counts as empty and gets the score of no words; a null id is not held out; repeated rows get equal
-    scores. Without usable labels the score is constant. Columns of docs named like the new ones are replaced.
+    scores, and rows of one id are scored by their own texts. A label tie (as many 0 as 1 for an id) counts as toxic.
+    Without usable labels, or with none of one kind, the score is constant and nothing is rejected. Texts of any length are read as a whole,
+    in slices. An empty table gives an empty result. Columns of docs named like the new ones are replaced, all others
+    are passed on, whatever their names.
     """
     new = ("held_out", "score", "predicted", "threshold", "rejected")
+    text, made = unused([*docs.columns, *new], "_text", "_score")
     rest = [c for c in docs.columns if c not in new]
     rows = training_rows(docs, labels, id_col, text_col, lang_col, label_col, sample)
     model = train([np.frombuffer(r["ids"], np.int32).reshape(-1, HASHES) for r in rows], np.array([r["toxic"] for r in rows], np.float32), [r["lang"] for r in rows])
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a fixed size: 3 x 2**16 rows of 8 numbers
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), "`_text` string", "`_score` double"])
-    scored = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").alias("_text")).mapInArrow(releasing(_scores(shared)), schema)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), f"`{text}` string", f"`{made}` double"])
+    scored = in_small_batches(docs).select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{text_col}`").cast("string").alias(text)).mapInArrow(releasing(_scores(shared, made)), schema)
     common = model.thresholds[None]
     threshold = F.lit(common)
     for lang, cut in model.thresholds.items():
@@ -318,8 +369,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return scored.select(
         *(F.col(f"`{c}`") for c in rest),
         is_held_out(F.col(f"`{id_col}`")).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        F.col(made).alias("score"),
+        (F.col(made) >= 0.5).cast("int").alias("predicted"),
         threshold.alias("threshold"),
-        (F.col("_score") >= threshold).alias("rejected"),
+        (F.col(made) >= threshold).alias("rejected"),
     )
