@@ -94,8 +94,14 @@ def fragments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     last = np.minimum(text_end, np.r_[first[1:], len(low)][: len(first)] - 1)
     firsts, stops, anchors = [], [], []
     # within a run of windows of one minimum, the leftmost place of that hash owns the windows up to itself
-    place = first.copy()
+    place, rounds = first.copy(), 0
     while len(first):
+        rounds += 1
+        if rounds > 32:  # the same hash comes again and again: all its places at once
+            rest = _crowded_runs(h, low, first, last, place, length - gram)
+            for held, x in zip((firsts, stops, anchors), rest, strict=True):
+                held.append(x)
+            break
         value = low[first]
         todo = np.flatnonzero(h[place] != value)
         while len(todo):
@@ -114,6 +120,18 @@ def fragments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: in
     return h[place], whole, first, last
 
 
+def _crowded_runs(h: np.ndarray, low: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, reach: int) -> tuple[np.ndarray, ...]:
+    """(first window, last window, anchor) of the fragments of runs of windows of one minimum: each place of its hash ends one."""
+    sizes = last + reach - place + 1
+    run = np.repeat(np.arange(len(first)), sizes)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + place[run]
+    hit = h[at] == low[first][run]
+    run, at = run[hit], at[hit]
+    start = np.where(np.r_[True, run[1:] != run[:-1]], first[run], np.r_[0, at[:-1]] + 1)
+    own = start <= last[run]
+    return start[own], np.minimum(at, last[run])[own], at[own]
+
+
 def _grams(sums: np.ndarray, gram: int) -> np.ndarray:
     h = (sums[gram:] - sums[:-gram]) * _hasher.down[: len(sums) - gram]
     h = (h ^ (h >> np.uint64(29))) * _MIX
@@ -121,7 +139,7 @@ def _grams(sums: np.ndarray, gram: int) -> np.ndarray:
 
 
 #: One packed record: anchor and fragment hash, document (order id, text hash), byte range.
-RECORD = np.dtype([("h", "<u8"), ("c", "<u8"), ("o", "<i8"), ("r", "<i4"), ("s", "<i4"), ("e", "<i4")])
+RECORD = np.dtype([("h", "<u8"), ("c", "<u8"), ("o", "<i8"), ("r", "<i8"), ("s", "<i4"), ("e", "<i4")])
 OPEN, GONE, COUNT = 0, 1, 2
 _BLOBS = "_kind int, _g int, _n long, _blob binary"
 
@@ -148,11 +166,11 @@ LIVE_FIELDS, OPEN_FIELDS, GONE_FIELDS = ("o", "r", "s", "e", "h", "c"), ("o", "r
 
 def bucket_of(o: np.ndarray, r: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of documents, the same as bucket_column gives."""
-    return ((o ^ (o >> 7) ^ r.astype(np.int64)) & 0x7FFFFFFF) % buckets
+    return ((o ^ (o >> 7) ^ r) & 0x7FFFFFFF) % buckets
 
 
 def bucket_column(o, r, buckets: int):
-    return (o.bitwiseXOR(F.shiftright(o, 7)).bitwiseXOR(r.cast("long")).bitwiseAND(F.lit(0x7FFFFFFF)) % buckets).cast("int")
+    return (o.bitwiseXOR(F.shiftright(o, 7)).bitwiseXOR(r).bitwiseAND(F.lit(0x7FFFFFFF)) % buckets).cast("int")
 
 
 def _dealt(rec: np.ndarray, to: np.ndarray, kind: int, fields: tuple[str, ...]):
@@ -179,6 +197,20 @@ def _first_of_equals(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rec, np.r_[False, (rec["h"][1:] == rec["h"][:-1]) & (rec["c"][1:] == rec["c"][:-1])][: len(rec)]
 
 
+def _joined(rec: np.ndarray) -> np.ndarray:
+    """Byte ranges that are gone, in order of document and place, those that overlap or touch made one."""
+    rec = rec[np.lexsort((rec["s"], rec["r"], rec["o"]))]
+    if len(rec) < 2:
+        return rec
+    doc = np.cumsum(np.r_[0, (rec["o"][1:] != rec["o"][:-1]) | (rec["r"][1:] != rec["r"][:-1])]).astype(np.int64)
+    reach = np.maximum.accumulate((doc << 32) + rec["e"])
+    new = np.r_[True, (doc[1:] << 32) + rec["s"][1:] > reach[:-1]]
+    at = np.flatnonzero(new)
+    out = rec[at]
+    out["e"] = reach[np.r_[at[1:], len(rec)] - 1] & 0xFFFFFFFF
+    return out
+
+
 def _is_in(h: np.ndarray, some: np.ndarray) -> np.ndarray:
     """some: sorted and distinct."""
     if not len(some):
@@ -193,13 +225,23 @@ def meeting_group(h: np.ndarray, c: np.ndarray, crowded: np.ndarray, groups: int
     return (key % np.uint64(groups)).astype(np.int64)
 
 
+def _text_slices(raw: list[bytes], length: int, size: int):
+    """(number of the first text, its start in it, texts) of about `size` bytes; a longer text comes in slices that share length - 1 bytes, so each window is in one."""
+    for lo, hi in byte_slices([len(t) for t in raw], size):
+        if len(raw[lo]) <= size:
+            yield lo, 0, raw[lo:hi]
+        else:
+            for a in range(0, max(1, len(raw[lo]) - length + 1), size):
+                yield lo, a, [raw[lo][a : a + size + length - 1]]
+
+
 def _surveyed(length: int, gram: int):
     def run(batches):
         """Distinct (anchor, fragment) hashes of each slice."""
         for b in batches:
             raw = [t.encode() for t in b.column(0).to_pylist()]
-            for lo, hi in byte_slices([len(t) for t in raw], SLICE_BYTES):
-                h, c, *_ = fragments(np.frombuffer(b"".join(raw[lo:hi]), np.uint8), np.cumsum([len(t) for t in raw[lo:hi]]), length, gram)
+            for _, _, part in _text_slices(raw, length, CACHE_BYTES):
+                h, c, *_ = fragments(np.frombuffer(b"".join(part), np.uint8), np.cumsum([len(t) for t in part]), length, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in np.unique(np.stack([h, c]), axis=1)], ["_h", "_c"])
 
     return run
@@ -219,19 +261,20 @@ def _records(length: int, gram: int, groups: int, buckets: int, crowded: np.ndar
             ids, rks, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist()
             raw = [t.encode() for t in texts]
             for lo, hi in byte_slices([len(t) for t in raw], SLICE_BYTES):
-                held = []
-                for x, y in byte_slices([len(t) for t in raw[lo:hi]], CACHE_BYTES):
-                    part = raw[lo + x : lo + y]
+                held, gone = [], []
+                for x, at, part in _text_slices(raw[lo:hi], length, CACHE_BYTES):
                     ends = np.cumsum([len(t) for t in part])
                     h, c, first, last = fragments(np.frombuffer(b"".join(part), np.uint8), ends, length, gram)
                     doc = np.searchsorted(ends, first, side="right")
-                    start = np.r_[0, ends[:-1]][doc]
+                    start = np.r_[0, ends[:-1]][doc] - at
                     rec = np.empty(len(h), RECORD)
                     rec["h"], rec["c"], rec["o"], rec["r"] = h, c, ids[lo + x + doc], rks[lo + x + doc]
                     rec["s"], rec["e"] = first - start, last + length - start
-                    held.append(rec)
+                    rec, again = _first_of_equals(rec)
+                    held.append(rec[~again])
+                    gone.append(_joined(rec[again]))
                 rec, again = _first_of_equals(np.concatenate(held))
-                live, gone = rec[~again], rec[again]
+                live, gone = rec[~again], _joined(np.concatenate([*gone, rec[again]]))
                 live = live[np.lexsort((live["s"], live["r"], live["o"]))]
                 rows = [*_dealt(live, meeting_group(live["h"], live["c"], crowded, groups), OPEN, LIVE_FIELDS), *_dealt(gone, bucket_of(gone["o"], gone["r"], buckets), GONE, GONE_FIELDS)]
                 yield from _blob_table(rows).to_batches()
@@ -301,7 +344,7 @@ def _windows(rec: np.ndarray, cut: list[bytes], length: int):
     return (h[live], o[live], r[live], s[live], pieces), (o[a], r[a], s[a], s[z] + length)
 
 
-_CUT = "_h long, _w boolean, _o long, _r int, _s int, _e int, _f binary"
+_CUT = "_h long, _w boolean, _o long, _r long, _s int, _e int, _f binary"
 
 
 def _cut(length: int, hot: np.ndarray):
@@ -332,7 +375,7 @@ def _cut_bucket(docs: pa.Table, opened: pa.Table, length: int, hot: np.ndarray)
         order = order[np.lexsort((out["s"][order], out["r"][order], out["o"][order]))]
         (h, o, r, s, pieces), (go, gr, gs, ge) = _windows(out[order], [cut[i] for i in order.tolist()], length)
         parts += [(h, True, o, r, s, s + length, pieces), (go.view(np.uint64) * np.uint64(_P) ^ gs.astype(np.uint64), True, go, gr, gs, ge, [None] * len(go))]
-    made = [pa.table({"_h": pa.array(np.ascontiguousarray(h).view(np.int64)), "_w": pa.array(np.full(len(o), w)), "_o": pa.array(o), "_r": pa.array(r, pa.int32()), "_s": pa.array(s.astype(np.int32)), "_e": pa.array(e.astype(np.int32)), "_f": pa.array(f, pa.binary())}) for h, w, o, r, s, e, f in parts]
+    made = [pa.table({"_h": pa.array(np.ascontiguousarray(h).view(np.int64)), "_w": pa.array(np.full(len(o), w)), "_o": pa.array(o), "_r": pa.array(r, pa.int64()), "_s": pa.array(s.astype(np.int32)), "_e": pa.array(e.astype(np.int32)), "_f": pa.array(f, pa.binary())}) for h, w, o, r, s, e, f in parts]
     return pa.concat_tables(made)
 
 
@@ -477,35 +520,50 @@ def _finish(digest: bool):
             raw = t.encode()
             n_gone = n_runs = 0
             if (at := of.get((o, r))) is not None:
-                cover = np.zeros(len(raw) + 1, np.int64)
-                np.add.at(cover, rec["s"][at], 1)
-                np.add.at(cover, rec["e"][at], -1)
-                gone = np.cumsum(cover)[: len(raw)] > 0
-                n_gone, n_runs = int(gone.sum()), len(_runs(gone)[0])
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                spans_of = _joined(rec[at])
+                n_gone, n_runs = int((spans_of["e"] - spans_of["s"]).sum(dtype=np.int64)), len(spans_of)
+                kept = b"".join(raw[x:y] for x, y in zip([0, *spans_of["e"].tolist()], [*spans_of["s"].tolist(), len(raw)], strict=True))
             else:
                 kept = raw
-            rows.append((len(t.encode()), n_gone, n_runs, hashlib.sha256(kept).hexdigest() if digest else kept))
+            rows.append((len(raw), n_gone, n_runs, hashlib.sha256(kept).hexdigest() if digest else kept))
         cols = list(zip(*rows, strict=True)) or [[], [], [], []]
         return pa.table({"_id": docs.column("_id"), **{k: pa.array(c, pa.int64()) for k, c in zip(("n_bytes", "n_removed", "n_spans"), cols, strict=False)}, ("kept_sha256" if digest else "kept"): pa.array(cols[3], pa.string() if digest else pa.binary())})
 
     return run
 
 
+def text_number(text, seed: int):
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.lit(seed), text)
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans and the kept bytes (binary), or kept_sha256 if digest.
 
     A byte goes when a string of `length` bytes (even, over GRAM) covers it that also starts earlier: in a document of
     smaller id, or in the same one further left; overlaps count, and strings are judged on the input. Matches never
     cross documents. Null text counts as empty; null ids come after all others. Rows with one id are ordered by
-    a hash of their text, and rows equal in id and text are one document that comes out for each of them.
+    a 64-bit hash of their text (another one is taken if two texts of an id share it), and rows equal in id and text
+    are one document that comes out for each of them. Texts of any length are read as a whole, in overlapping
+    slices. An empty table gives an empty result; other columns of docs are ignored, whatever their names. Ids are
+    whole numbers. Equal fragments are told by two 64-bit hashes, 128 bits together; windows are compared bytewise.
     """
     if length % 2 or length <= GRAM:
         raise ValueError("length must be even and over the anchor's length")
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_o")
-    base = docs.select(F.col(id_col).alias("_id"), order, text_or_empty(text_col).alias("_t")).withColumn("_r", F.hash("_t"))
-    rows = base.select("_o", "_r", "_t")
-    total = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    base = docs.select(F.col(id_col).alias("_id"), order, text_or_empty(text_col).alias("_t"))
+    for seed in range(5):
+        numbered = base.withColumn("_r", text_number(F.col("_t"), seed))
+        rows = numbered.select("_o", "_r", "_t")
+        # one pass measures the table and looks for texts of one id that share a number
+        looked = rows.select("_o", "_r", F.octet_length("_t").cast("long").alias("_n"), F.xxhash64(F.lit("other"), "_t").alias("_x"))
+        looked = looked.groupBy("_o", "_r").agg(F.sum("_n").alias("_n"), (F.min("_x") != F.max("_x")).alias("_two"))
+        total, two = looked.agg(F.sum("_n"), F.bool_or("_two")).first()
+        if not two:
+            break
+    else:
+        raise RuntimeError("texts of one id share their numbers")
+    base, total = numbered, total or 0
     groups = max(12, -(-2 * total // (length - GRAM) // MEET_RECORDS))
     buckets = max(12, -(-total // BUCKET_BYTES))
     limit = MEET_RECORDS // 8
