@@ -18,10 +18,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_ROWS, settle
+from .common import GROUP_ROWS, broadcast_if_small, settle
 from .components import connected_components, forest
 
-CODES = 16
+#: Codes of a half: at least and at most, and the vectors of one label that a cell of the grid is asked to be home to.
+CODES, MOST_CODES, CELL_ROWS = 16, 64, 1024
 #: Vectors that the codebooks are fitted on at most, the smallest by a hash of their id.
 SAMPLE = 8192
 #: Vectors of one cell beyond which it is cut into chunks.
@@ -29,7 +30,14 @@ CHUNK = 4096
 BLOCK = 1024
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: exact, and squares neither vanish nor overflow."""
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    return np.ldexp(x, -exponent)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -90,9 +98,6 @@ def _matrix(column) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-_PLACED = "_id long, _label long, _v array<float>, _m long, _ij int, _mask binary"
-
-
 def _place(books, limit: float):
     def run(batches):
         codebooks = books.value
@@ -104,23 +109,21 @@ def _place(books, limit: float):
                 # dimensions that the sample did not hold have the one cell (0, 0)
                 one, two = codebooks.get(int(dim), (np.zeros((1, dim // 2)), np.zeros((1, dim - dim // 2))))
                 near_a, near_b = half_bounds(x[:, : dim // 2], one), half_bounds(x[:, dim // 2 :], two)
-                at, cells, masks = [], [], []
+                at, cells, lists = [], [], []
                 for r in range(len(x)):
-                    visits = [i * len(two) + j for i, j in multi_sequence(near_a[r], near_b[r], limit)]
-                    mask = np.zeros(len(one) * len(two), bool)
-                    mask[visits] = True
+                    visits = sorted(i * len(two) + j for i, j in multi_sequence(near_a[r], near_b[r], limit))
                     at += [r] * len(visits)
                     cells += visits
-                    masks += [np.packbits(mask).tobytes()] * len(visits)
+                    lists += [np.array(visits, "<u2").tobytes()] * len(visits)
                 for s in range(0, len(at), 8192):
                     sub = part.take(pa.array(at[s : s + 8192]))
-                    yield pa.RecordBatch.from_arrays([*sub.columns, pa.array(cells[s : s + 8192], pa.int32()), pa.array(masks[s : s + 8192], pa.binary())], ["_id", "_label", "_v", "_m", "_ij", "_mask"])
+                    yield pa.RecordBatch.from_arrays([*sub.columns, pa.array(cells[s : s + 8192], pa.int32()), pa.array(lists[s : s + 8192], pa.binary())], ["_id", "_label", "_v", "_m", "_ij", "_visits"])
 
     return run
 
 
 def _pairs_in_cell(x, norms, before, ids, mult, left, right, threshold):
-    """Link counts of all rows from the pairs left x right, and spanning links. before: the earlier cells of each row."""
+    """Link counts of all rows from the pairs left x right, and spanning links. before: the earlier cells of each row, as 0 and 1."""
     total = np.zeros(len(ids), np.int64)
     us, vs = [], []
     same = left is right
@@ -132,7 +135,7 @@ def _pairs_in_cell(x, norms, before, ids, mult, left, right, threshold):
                 hit = np.triu(hit, 1)
             if not hit.any():
                 continue
-            hit &= before[p] @ before[q].T == 0  # pairs that met in an earlier cell were counted there
+            hit &= before[p].astype(np.float32) @ before[q].astype(np.float32).T == 0  # pairs that met in an earlier cell were counted there
             total[p] += hit @ mult[q]
             total[q] += mult[p] @ hit
             i, j = np.nonzero(hit)
@@ -150,14 +153,18 @@ def _verify(threshold: float):
         cuts = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1]]) if len(order) else np.zeros(0, int)
         ids, mult, chunk, place = (table.column(c).to_numpy() for c in ("_id", "_m", "_a", "_ij"))
         cross = table.column("_cross").to_numpy(zero_copy_only=False).astype(bool)
-        vectors, masks = table.column("_v").combine_chunks(), table.column("_mask").to_pylist()
+        vectors, visits = table.column("_v").combine_chunks(), table.column("_visits").to_pylist()
         who, counts, us, vs = [], [], [], []
         for a, z in zip(cuts, [*cuts[1:], len(order)], strict=True):
             rows = order[a:z]
             if len(rows) < 2:
                 continue
-            x = _matrix(vectors.take(pa.array(rows)))
-            before = np.unpackbits(np.frombuffer(b"".join(masks[r] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, : place[rows[0]]].astype(np.float32)
+            x = scaled(_matrix(vectors.take(pa.array(rows))))
+            earlier = np.frombuffer(b"".join(visits[r] for r in rows), "<u2")
+            whose = np.repeat(np.arange(len(rows)), [len(visits[r]) // 2 for r in rows])
+            known = earlier < place[rows[0]]
+            before = np.zeros((len(rows), int(place[rows[0]])), np.uint8)
+            before[whose[known], earlier[known]] = 1
             left = right = np.arange(len(rows))
             if cross[rows[0]]:
                 low = chunk[rows] == chunk[rows].min()
@@ -185,38 +192,45 @@ def fit_codebooks(vectors: DataFrame, codes: int, sample: int) -> dict[int, tupl
     return out
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, codes: int = CODES, sample: int = SAMPLE) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, codes: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
     Two vectors of one label (and one length) link when their cosine in double precision is at least `threshold`.
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing, as do rows with a
     null label or id: no links, component_id their own id. Equal vectors are indexed once with their number; each
     of them counts the others. Rows repeating an id count as separate vectors of one component. kept marks rows
-    whose id is their component's smallest.
+    whose id is their component's smallest. Ids are whole numbers, labels of any type, vectors of any numbers:
+    single-precision ones stay so in storage, others are held in double precision. The grid has as many codes as the
+    square root of the largest label's vectors asks for (CODES to MOST_CODES). An empty table gives an empty result;
+    other columns are ignored, whatever their names.
     """
     good = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = good & F.exists(vector_col, lambda x: x != 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
-    v = F.col(vector_col).cast("array<float>")
-    base = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("long").alias("_label"), F.when(F.coalesce(good, F.lit(False)), v).alias("_v"))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    v = F.col(vector_col).cast(kind)
+    base = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label"), F.when(F.coalesce(good, F.lit(False)), v).alias("_v"))
     base = base.withColumn("_k1", F.when(F.col("_v").isNotNull(), F.xxhash64("_label", "_v"))).withColumn("_k2", F.when(F.col("_v").isNotNull(), F.xxhash64(F.lit(1), "_v", "_label")))
     copies = base.where("_v IS NOT NULL").groupBy("_label", "_v").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_m"), F.first("_k1").alias("_k1"), F.first("_k2").alias("_k2"))
     copies = settle(copies)
+    if codes is None:
+        most = copies.groupBy("_label").count().agg(F.max("count")).first()[0] or 0
+        codes = int(np.clip(np.ceil(np.sqrt(most / CELL_ROWS)), CODES, MOST_CODES))
     spark = vectors.sparkSession
     books = spark.sparkContext.broadcast(fit_codebooks(copies, codes, sample))
     limit = (2 - 2 * threshold) / 4 + 1e-6
-    placed = settle(copies.select("_id", "_label", "_v", "_m").mapInArrow(_place(books, limit), _PLACED))
+    placed = settle(copies.select("_id", "_label", "_v", "_m").mapInArrow(_place(books, limit), f"_id long, _label {vectors.schema[label_col].dataType.simpleString()}, _v {kind}, _m long, _ij int, _visits binary"))
     cell = ["_label", "_size", "_ij"]
     placed = placed.withColumn("_size", F.size("_v"))
     # cells of one vector hold no pair; large cells are cut into chunks, and each pair of chunks is a cell of its own
     sizes = settle(placed.groupBy(*cell).count().where("count > 1").select(*cell, F.ceil(F.col("count") / CHUNK).cast("int").alias("_c")))
-    placed = placed.join(sizes, cell).withColumn("_a", F.pmod(F.xxhash64("_id"), F.col("_c")).cast("int"))
+    placed = placed.join(broadcast_if_small(sizes, 64), cell).withColumn("_a", F.pmod(F.xxhash64("_id"), F.col("_c")).cast("int"))
     placed = placed.withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
     placed = placed.withColumn("_cell", F.xxhash64(*cell, F.least("_a", "_b"), F.greatest("_a", "_b")))
     # a chunk meets itself in the cell (a, a); in (a, b) it meets the other one
     placed = placed.withColumn("_cross", F.col("_a") != F.col("_b"))
     rows = placed.count()
     placed = placed.withColumn("_g", F.pmod("_cell", F.lit(max(12, -(-rows * 16 // GROUP_ROWS)))))
-    placed = placed.select("_g", "_cell", "_ij", "_id", "_v", "_m", "_mask", "_a", "_cross")
+    placed = placed.select("_g", "_cell", "_ij", "_id", "_v", "_m", "_visits", "_a", "_cross")
     found = settle(placed.groupBy("_g").applyInArrow(_verify(threshold), "u long, v long, n long"))
     links = found.where("v IS NULL").groupBy(F.col("u").alias("_rep")).agg(F.sum("n").alias("_n"))
     comps = connected_components(found.where("v IS NOT NULL").select("u", "v"))
