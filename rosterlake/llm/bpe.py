@@ -3,7 +3,8 @@
 Code points become classes by one array lookup. A small automaton over the classes follows the token kinds
 of the split pattern; its per-character transition functions form a finite monoid, so the state at every
 character comes from an associative scan of function ids (blocks, then block totals), without a regex.
-Boundaries follow from neighbouring states. The slices between them feed cached pair merging.
+Boundaries follow from neighbouring states. The slices between them feed cached pair merging. Every token keeps
+the byte offset of its place in the text, and decoding writes each token's bytes at its offset.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+import zlib
 from functools import cache, lru_cache
 
 import numpy as np
@@ -32,8 +35,11 @@ START, IN_LETTERS, IN_NUMBER, IN_OTHER, AT_SPACE, AT_WHITE, A, AR, AL, C = range
 BLOCK = 64
 SLICE_BYTES = 1 << 20
 CACHE_PIECES = 400_000
-#: Longer pieces are merged one by one.
-LONG_PIECE = 40
+#: Longer pieces are merged one by one, much longer ones in rounds over arrays.
+LONG_PIECE, HUGE_PIECE = 40, 1 << 14
+#: Tokens decoded at once.
+DECODED_AT_ONCE = 1 << 17
+_BREAK = re.compile(r"(?<=[!-~])[ \n]")
 
 
 def _step(state: int, cls: int) -> int:
@@ -131,6 +137,16 @@ def boundaries(classes: np.ndarray) -> np.ndarray:
     return ~joins | (before == START)
 
 
+def text_slices(text: str, size: int = SLICE_BYTES):
+    """Slices of a long text that begin at a blank after a visible ASCII character, where a pre-token always ends."""
+    at = 0
+    while at < len(text):
+        cut = _BREAK.search(text, at + size)
+        stop = cut.start() if cut else len(text)
+        yield text[at:stop]
+        at = stop
+
+
 def pretokens(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     """All pre-tokens of the texts in order, and per text the end of its pre-tokens in that list."""
     if not texts:
@@ -164,19 +180,26 @@ class Vocabulary(dict):
         self.bytes_of: list[bytes] = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
         for x, i in [*ids.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes_of[i] = x
+        self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_ids = np.array([ids[bytes([b])] for b in range(256)], np.int64)
         keys = np.array([a << 20 | b for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ids = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
 
     def __missing__(self, piece: bytes) -> bytes:
-        self[piece] = out = np.array(self.merge(piece), "<u4").tobytes()
+        out = np.array(self.merge(piece), "<u4").tobytes()
+        if len(piece) <= HUGE_PIECE:
+            self[piece] = out
         return out
 
     def merge(self, piece: bytes) -> list[int]:
         """Pair merging of one piece with a heap and linked neighbours: n log n."""
         if self.whole and piece in self.ids:
             return [self.ids[piece]]
+        if len(piece) > HUGE_PIECE:
+            return self.merge_in_rounds(piece)
         pairs, n = self.pairs, len(piece)
         part = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -194,6 +217,26 @@ class Vocabulary(dict):
                     heapq.heappush(heap, (m, x, part[x], part[y]))
         return [x for x in part if x >= 0]
 
+    def merge_in_rounds(self, piece: bytes) -> list[int]:
+        """The same in bounded memory: each round merges all places of the lowest id, from the left without overlap.
+
+        A merged token only enters pairs of higher ids, so no place of a later round could come first.
+        """
+        part = self.byte_ids[np.frombuffer(piece, np.uint8)]
+        cost = self._looked_up(part[:-1], part[1:])
+        while len(cost) and (new := cost.min()) != NO_PAIR:
+            hit = np.flatnonzero(cost == new)
+            each = np.arange(len(hit))
+            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(hit) > 1], each, 0))
+            hit = hit[(each - run) % 2 == 0]
+            part[hit] = new
+            part, cost = np.delete(part, hit + 1), np.delete(cost, hit)
+            at = hit - np.arange(len(hit))  # where the merged tokens stand now
+            near = np.unique(np.r_[at - 1, at])
+            near = near[(near >= 0) & (near < len(cost))]
+            cost[near] = self._looked_up(part[near], part[near + 1])
+        return part.tolist()
+
     def _looked_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 20 | right
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
@@ -250,7 +293,12 @@ class Vocabulary(dict):
                 self.learn(same)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text."""
+        """The packed ids of each text; a long one goes in slices, unless a special token could span them."""
+        if any(len(t) > 2 * SLICE_BYTES for t in texts) and not any(" " in s or "\n" in s for s in self.special):
+            return [b"".join(p for s in text_slices(t) for p in self.encode_slices([s])) if len(t) > 2 * SLICE_BYTES else self.encode_slices([t])[0] for t in texts]
+        return self.encode_slices(texts)
+
+    def encode_slices(self, texts: list[str]) -> list[bytes]:
         cuts: list[tuple[int, str | None]] = []
         plain: list[str] = []
         for t in texts:
@@ -281,9 +329,28 @@ class Vocabulary(dict):
             self.clear()
         return out
 
-    def decode(self, packed: bytes) -> bytes:
-        names = self.bytes_of
-        return b"".join([names[i] for i in np.frombuffer(packed, "<u4").tolist()])
+    def offsets(self, packed: bytes) -> np.ndarray:
+        """Byte offsets of the tokens in their text, and the text's length."""
+        return np.r_[0, np.cumsum(self.sizes[np.frombuffer(packed, "<u4")])]
+
+    def encode_with_offsets(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
+        """(packed ids, byte offsets of the tokens and the end) of each text."""
+        return [(p, self.offsets(p)) for p in self.encode(texts)]
+
+    def decode(self, packed: bytes, offsets: np.ndarray | None = None) -> bytes:
+        """Write each token's bytes at its retained offset; without offsets one after the other."""
+        ids = np.frombuffer(packed, "<u4")
+        offsets = self.offsets(packed) if offsets is None else np.asarray(offsets, np.int64)
+        if len(offsets) != len(ids) + 1 or not np.array_equal(np.diff(offsets), self.sizes[ids]):
+            raise ValueError("the offsets do not belong to these ids")
+        out = np.empty(int(offsets[-1]), np.uint8)
+        for a in range(0, len(ids), DECODED_AT_ONCE):
+            part = ids[a : a + DECODED_AT_ONCE]
+            to = offsets[a : a + len(part)]
+            n = self.sizes[part]
+            inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            out[np.repeat(to, n) + inner] = self.flat[np.repeat(self.at[part], n) + inner]
+        return out.tobytes()
 
 
 def _byte_letters() -> dict[str, int]:
@@ -324,30 +391,32 @@ def _round_trip(content, with_ids: bool):
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids, row = b.column(0), 0
             for start, stop in byte_slices([len(t) for t in texts], SLICE_BYTES):
-                packed = vocab.encode(texts[start:stop])
-                decoded = [vocab.decode(p) for p in packed]
-                n = [len(p) // 4 for p in packed]
+                coded = vocab.encode_with_offsets(texts[start:stop])
+                decoded = [vocab.decode(p, at) for p, at in coded]
+                n = [len(p) // 4 for p, _ in coded]
                 if with_ids:
-                    cols = [pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in packed], pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
+                    cols = [pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p, _ in coded], pa.list_(pa.int32())), pa.array(decoded, pa.binary()), pa.array([at[:-1] for _, at in coded], pa.list_(pa.int64()))]
                 else:
                     sha = lambda x: hashlib.sha256(x).hexdigest()
-                    cols = [pa.array(map(sha, packed), pa.string()), pa.array(map(sha, decoded), pa.string())]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(n, pa.int64()), *cols], ["_id", "n", "a", "b"])
+                    cols = [pa.array((sha(p) for p, _ in coded), pa.string()), pa.array(map(sha, decoded), pa.string()), pa.array([zlib.crc32(at[:-1].astype("<i8").tobytes()) for _, at in coded], pa.int64())]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(n, pa.int64()), *cols], ["_id", "n", "a", "b", "c"])
                 row += stop - start
 
     return run
 
 
 def bpe_round_trip(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """One row per document: id, n_tokens, then ids (array<int>) and decoded (binary), or their SHA-256 if digests.
+    """One row per document: id, n_tokens, then ids (array<int>), decoded (binary) and offsets (array<long>, each token's
+    first byte), or if digests the SHA-256 of ids and decoded bytes and the CRC-32 of the offsets.
 
     Encodes each match of the split pattern separately, without special tokens for a rank file, and decodes the
-    ids back to bytes. Null text counts as empty: no ids. Ids of rows may be null or repeat; rows are independent.
-    The vocabulary file (about a megabyte) is read on the driver and broadcast.
+    ids back to bytes at their retained offsets. Null text counts as empty: no ids. Ids of rows may be of any type, be
+    null or repeat; rows are independent, and equal rows give equal rows. Texts of any length are read as a whole,
+    slice by slice between blanks. An empty table gives an empty result; other columns of docs are ignored. The vocabulary file (about a megabyte) is read on the driver and broadcast.
     """
     spark = docs.sparkSession
     content = spark.sparkContext.broadcast(read_vocabulary(vocab_path))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    tail = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
+    tail = "ids_sha256 string, decoded_sha256 string, offsets_crc32 long" if digests else "ids array<int>, decoded binary, offsets array<long>"
     rows = in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(releasing(_round_trip(content, not digests)), f"_id {kind}, n_tokens long, {tail}")
     return rows.withColumnRenamed("_id", id_col)
