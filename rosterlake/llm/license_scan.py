@@ -65,12 +65,12 @@ def licence_idf(docs: DataFrame, text_col: str, vocab: list[str]) -> dict[str, f
     return {w: log((df.get("", 0) + 1) / (df.get(w, 0) + 1)) + 1.0 for w in vocab}
 
 
-def _starts(hits: Column, words: list[str], idf: dict[str, float], rare: int) -> Column:
+def _starts(hits: Column, words: list[str], code: dict[str, int], idf: dict[str, float], rare: int) -> Column:
     """Places proposed by the template's rarest words: their positions less their offsets."""
     order = sorted(range(len(words)), key=lambda i: (-idf[words[i]], i))[:rare]
 
     def propose(word: str, offset: int) -> Column:
-        return F.transform(F.filter(hits, lambda h: h["w"] == word), lambda h: h["p"] - offset)
+        return F.transform(F.filter(hits, lambda h: h["c"] == code[word]), lambda h: h["p"] - offset)
 
     proposed = [propose(words[i], i) for i in order]
     return F.array_distinct(F.filter(F.concat(*proposed), lambda s: s >= 0))
@@ -83,28 +83,30 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the smallest and largest word index of these places, null without any. labels adds those of templates
     whose key phrase is present and whose IDF-weighted alignment reaches min_score; score is the best
     alignment of any phrase or template (0 without licence words, 1 for a full match). Null text counts as
-    empty: no words, empty labels, score 0. Ids may be null or repeat: every row is scanned alone.
+    empty: no words, empty labels, score 0. Ids may be of any type, be null or repeat: every row is scanned alone,
+    equal rows give equal rows. Texts of any length are scanned as a whole, in time linear in their words. An empty
+    table gives an empty result; other columns of docs are ignored, whatever their names.
     """
     phrases = [p for p, _ in base]
     vocab = vocabulary([*phrases, *(t.words for t in templates), *(t.key_phrase for t in templates)])
+    code = {w: i + 1 for i, w in enumerate(vocab)}
     idf = licence_idf(docs, text_col, vocab)
     rows = docs.select(F.col(id_col).alias("_id"), words_of(text_or_empty(text_col)).alias("_w"))
-    in_vocab = lambda w: w.isin(vocab)
-    hits = F.filter(F.transform("_w", lambda w, i: F.when(in_vocab(w), F.struct(i.alias("p"), w.alias("w")))), lambda h: h.isNotNull())
-    rows = rows.select("_id", F.size("_w").cast("long").alias("n_words"), hits.alias("_h"))
-    # a map from position to licence word: postings that templates are intersected with by relative position
+    # postings: the code of the licence word at each position (0: another word), so that a position is looked up at once
+    codes = F.transform("_w", lambda w: F.when(w.isin(vocab), F.array_position(F.array(*map(F.lit, vocab)), w).cast("int")).otherwise(F.lit(0)))
+    rows = rows.select("_id", F.size("_w").cast("long").alias("n_words"), codes.alias("_at"))
+    hits = F.filter(F.transform("_at", lambda c, i: F.struct(i.alias("p"), c.alias("c"))), lambda h: h["c"] > 0)
+    rows = rows.select("_id", "n_words", "_at", hits.alias("_h"))
     empty = F.size("_h") == 0
-    at_col = "_at"
-    rows = rows.withColumn(at_col, F.when(~empty, F.map_from_arrays(F.transform("_h", lambda h: h["p"]), F.transform("_h", lambda h: h["w"]))))
 
     def matched(words: list[str]) -> Column:
         """Per proposed start: the start, the aligned IDF weight and the number of aligned words."""
         def of(s: Column) -> Column:
-            same = [F.coalesce(F.element_at(at_col, s + i) == w, F.lit(False)) for i, w in enumerate(words)]
+            same = [F.coalesce(F.get("_at", s + i) == code[w], F.lit(False)) for i, w in enumerate(words)]
             weight = sum((F.when(m, idf[w]).otherwise(0.0) for m, w in zip(same, words, strict=True)), F.lit(0.0))
             return F.struct(s.alias("s"), (weight / sum(idf[w] for w in words)).alias("x"), sum((m.cast("int") for m in same), F.lit(0)).alias("n"))
 
-        return F.transform(_starts(F.col("_h"), words, idf, rare), of)
+        return F.transform(_starts(F.col("_h"), words, code, idf, rare), of)
 
     none = F.array().cast("array<struct<s:int,x:double,n:int>>")
     for i, (p, _) in enumerate(base):
@@ -135,3 +137,34 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         names([*base_names, *more]).alias("labels"),
         F.least(F.lit(1.0), F.greatest(*scores)).alias("score"),
     )
+
+
+def sql(base=BASE, templates=TEMPLATES, rare: int = 2, min_score: float = 0.8) -> str:
+    """The same in DuckDB SQL over documents, for whole tables: postings as rows, starts as joins."""
+    parts = [("b", i, p) for i, (p, _) in enumerate(base)]
+    parts += [(k, i, x) for i, t in enumerate(templates) for k, x in (("t", t.words), ("k", t.key_phrase))]
+    values = ", ".join(f"('{k}{i}', {o}, '{w}')" for k, i, p in parts for o, w in enumerate(p.split()))
+    names = ", ".join([*(f"('b{i}', '{label}')" for i, (_, label) in enumerate(base)), *(f"('t{i}', '{t.label}')" for i, t in enumerate(templates))])
+    upper = "".join(map(chr, range(65, 91)))
+    return f"""
+WITH phrase(part, o, w) AS (VALUES {values}), named(part, label) AS (VALUES {names}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{BREAK}'), lambda w: w <> '') AS ws FROM documents),
+post AS (SELECT * FROM (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS p FROM d) x WHERE w IN (SELECT w FROM phrase)),
+idf AS (SELECT v.w, ln(((SELECT count(*) FROM d) + 1) / CAST(count(DISTINCT post.rid) + 1 AS DOUBLE)) + 1.0 AS idf FROM (SELECT DISTINCT w FROM phrase) v LEFT JOIN post ON post.w = v.w GROUP BY v.w),
+rare AS (SELECT part, o, w FROM (SELECT part, o, w, row_number() OVER (PARTITION BY part ORDER BY idf DESC, o) AS rn FROM phrase JOIN idf USING (w)) x WHERE rn <= {rare}),
+start AS (SELECT DISTINCT post.rid, rare.part, post.p - rare.o AS s FROM post JOIN rare ON rare.w = post.w WHERE post.p >= rare.o),
+aligned AS (
+  SELECT a.rid, a.part, a.s, sum(idf) AS x, count(*) AS n FROM start a JOIN phrase f ON f.part = a.part
+  JOIN post ON post.rid = a.rid AND post.p = a.s + f.o AND post.w = f.w JOIN idf ON idf.w = f.w GROUP BY a.rid, a.part, a.s
+), whole AS (SELECT part, sum(idf) AS x, count(*) AS n FROM phrase JOIN idf USING (w) GROUP BY part),
+scored AS (SELECT aligned.rid, aligned.part, s, aligned.x / whole.x AS score, aligned.n = whole.n AS full_match FROM aligned JOIN whole USING (part)),
+base AS (SELECT rid, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM scored JOIN named USING (part) WHERE full_match AND part LIKE 'b%' GROUP BY rid),
+found AS (
+  SELECT rid, label FROM scored JOIN named USING (part) WHERE full_match AND part LIKE 'b%'
+  UNION SELECT t.rid, label FROM scored t JOIN named USING (part) JOIN scored k ON k.rid = t.rid AND k.part = 'k' || substr(t.part, 2) AND k.full_match WHERE t.part LIKE 't%' AND t.score >= {min_score}
+), every AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM found GROUP BY rid),
+best AS (SELECT rid, max(score) AS score FROM scored WHERE part NOT LIKE 'k%' GROUP BY rid)
+SELECT d.doc_id, len(d.ws) AS n_words, coalesce(base.n_base, 0) AS n_base, base.first_word, base.last_word, coalesce(base.base_labels, '') AS base_labels,
+  coalesce(every.labels, '') AS labels, round(least(coalesce(best.score, 0.0), 1.0), 6) AS score
+FROM d LEFT JOIN base USING (rid) LEFT JOIN every USING (rid) LEFT JOIN best USING (rid)
+"""
