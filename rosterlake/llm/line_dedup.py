@@ -21,18 +21,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line whose key has at least min_chars code points and occurs in at least min_docs documents goes from
     every document. Each row counts as one document, so a line repeated within it counts once. Null or empty
     text is one empty line, and an empty key never drops. Rows with null or repeated ids are kept apart by
-    their text; rows equal in both id and text come out once each. Keys are compared by a 128-bit hash.
+    their text; rows equal in both id and text come out once each. Keys are compared by a 128-bit hash. Texts and
+    lines of any length are read as a whole. An empty table gives an empty result; other columns of docs are
+    ignored, whatever their names.
     """
     # rows equal in id and text become one with a weight, so that the reassembly can group by the row key
     base = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_t"))
     base = base.select("_id", "_t", *row_key("_id", "_t"))
     lines = base.select("_id", "_rk1", "_rk2", F.posexplode(F.split("_t", "\n")).alias("_pos", "_line"))
     key = line_key(F.col("_line"))
-    lines = lines.select("*", F.when(F.length(key) >= min_chars, F.xxhash64(key)).alias("_h1"), F.xxhash64(F.lit("line"), key).alias("_h2"))
-    # every row is one document: its distinct hashes are formed inside the row, no distinct shuffle
-    k = lambda x: line_key(x)
-    per_doc = docs.select(F.array_distinct(F.transform(F.split(text_or_empty(text_col), "\n"), lambda x: F.when(F.length(k(x)) >= min_chars, F.struct(F.xxhash64(k(x)).alias("_h1"), F.xxhash64(F.lit("line"), k(x)).alias("_h2"))))).alias("_hs"))
-    counts = per_doc.select(F.explode("_hs").alias("_h")).where("_h IS NOT NULL").groupBy("_h._h1", "_h._h2").count()
+    lines = lines.withColumn("_key", key)
+    # lines without a key that counts have no _h2, so they match nothing; their _h1 spreads them over the tasks of a shuffle join
+    counts_in = F.length("_key") >= min_chars
+    lines = lines.select("_id", "_rk1", "_rk2", "_pos", "_line", F.when(counts_in, F.xxhash64("_key")).otherwise(F.xxhash64("_rk1", "_pos")).alias("_h1"), F.when(counts_in, F.xxhash64(F.lit("line"), "_key")).alias("_h2"))
+    # every row is one document: its distinct keys are formed inside the row, no distinct shuffle
+    per_doc = docs.select(F.array_distinct(F.split(text_or_empty(text_col), "\n")).alias("_ls"))
+    per_doc = per_doc.select(F.transform(F.transform("_ls", lambda x: F.btrim(x, F.lit(WHITE))), ascii_lower).alias("_ks"))
+    hashes = F.array_distinct(F.filter("_ks", lambda k: F.length(k) >= min_chars))
+    counts = per_doc.select(F.explode(hashes).alias("_k")).select(F.xxhash64("_k").alias("_h1"), F.xxhash64(F.lit("line"), "_k").alias("_h2")).groupBy("_h1", "_h2").count()
     common = settle(counts.where(F.col("count") >= min_docs).select("_h1", "_h2", F.lit(True).alias("_drop")))
     marked = lines.join(common, ["_h1", "_h2"], "left")
     kept = F.when(F.col("_drop").isNull(), F.struct("_pos", "_line"))
