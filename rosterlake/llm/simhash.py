@@ -24,6 +24,9 @@ from .components import connected_components, forest
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SEED = 42
+#: Characters of a long text that are looked at at once.
+SLICE_CHARS = 1 << 20
+_GAP = re.compile(r"[\x20\x09-\x0D]")
 #: Bit blocks (start, width); two of them agree when at most three bits differ.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints with one key beyond which the group is split into chunks, compared chunk by chunk.
@@ -33,9 +36,35 @@ PLANES_AT_ONCE = 8
 
 def fingerprint(text: str, shingle: int = 3) -> int:
     """Bit i is set if it is set in over half the shingle hashes; 0 without words."""
-    words = WORD.findall(text.translate(_LOWER))
+    ones, n = np.zeros(64, np.int64), 0
+    for words in word_slices(text, shingle):
+        found, m = _bit_counts(words, shingle)
+        ones += found
+        n += m
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def word_slices(text: str, shingle: int, size: int = SLICE_CHARS):
+    """Words of a text, slice by slice; a slice opens with the last words of the one before, so each shingle is in one."""
+    at, carry, some = 0, [], False
+    while at < len(text):
+        gap = _GAP.search(text, at + size) if len(text) > at + size else None
+        stop = gap.start() if gap else len(text)
+        words = carry + WORD.findall(text[at:stop].translate(_LOWER))
+        at = stop
+        if len(words) >= shingle:
+            yield words
+            some, words = True, words[len(words) - shingle + 1 :]
+        carry = words
+    if carry and not some:
+        yield carry
+
+
+def _bit_counts(words: list[str], shingle: int) -> tuple[np.ndarray, int]:
+    """How many of the shingles' hashes have each bit, and how many shingles there are."""
+    ones = np.zeros(64, np.int64)
     if not words:
-        return 0
+        return ones, 0
     joined = " ".join(words).encode("utf-8", "surrogatepass")
     blob = np.frombuffer(joined, np.uint8)
     gaps = np.flatnonzero(blob == 32)
@@ -44,10 +73,9 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     k = min(shingle, len(words))
     h, view = xxhash.xxh64_intdigest, memoryview(joined)
     hashes = np.fromiter((h(view[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, len(words) - k + 1)
-    ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         ones += np.unpackbits(hashes[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return ones, len(hashes)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -209,11 +237,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component_id is the smallest id reachable by links of at most `radius` differing bits; rows with a null id
     take the component of their fingerprint (null if no id is in it). kept marks the row that is its
     component's smallest id; rows repeating that id share the mark, and so do null ids of a component without ids. Equal fingerprints meet once, as one.
+    Ids may be of any orderable type. Texts of any length are read as a whole, slice by slice. An empty table gives an
+    empty result; other columns of docs are ignored, whatever their names.
     by_row: kept marks the rows of one (id, text) of each component, of the smallest id the one of smallest hash; the
     columns _rk1 and _rk2 of row_key are added.
     """
     key = row_key(id_col, text_col) if by_row else []
-    rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *key).mapInArrow(releasing(_fingerprints(shingle)), "_id long, _fp long" + (", _rk1 long, _rk2 long" if by_row else "")))
+    rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *key).mapInArrow(releasing(_fingerprints(shingle)), f"_id {docs.select(id_col).schema[0].dataType.simpleString()}, _fp long" + (", _rk1 long, _rk2 long" if by_row else "")))
     first = [F.min(F.struct(F.col("_id").isNull(), "_id", "_rk1", "_rk2")).alias("_first")] if by_row else []
     distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low"), *first))
     links = settle(fingerprint_links(distinct.select("_fp"), radius))  # else each task keeps two Python workers at once
