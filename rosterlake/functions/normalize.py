@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -20,22 +21,28 @@ NICKNAMES = {
     "jen": "jennifer", "jenny": "jennifer", "jenn": "jennifer", "nick": "nicholas", "nicky": "nicholas",
     "tony": "anthony", "joe": "joseph", "joey": "joseph",
 }
+# Name suffixes that are dropped, and date formats in the order they are tried.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 DOB_FORMATS = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "d/M/yyyy", "yyyyMMdd")
 ROSTER_FORMATS = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyyMMdd", "d/M/yyyy")
 
 
 @cache
-def _fold() -> tuple[str, str]:
-    """Latin letters with marks and the ASCII letter that their decomposition begins with."""
-    pairs = [(c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) for c in map(chr, range(0xA1, 0x180))]
+def _fold() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition holds one ASCII character, these characters, and those that hold several."""
+    pairs = [(c, unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()) for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.decomposition(c)]
     single = [(c, a) for c, a in pairs if len(a) == 1]
-    return "".join(c for c, _ in single), "".join(a for _, a in single)
+    return "".join(c for c, _ in single), "".join(a for _, a in single), {c: a for c, a in pairs if len(a) > 1}
 
 
 def fold_ascii(c: Column) -> Column:
-    """Letters with marks to their base letter; anything else outside ASCII goes."""
-    return F.regexp_replace(F.translate(c, *_fold()), r"[^\x00-\x7F]", "")
+    """Every character to the ASCII part of its compatibility decomposition; anything else outside ASCII goes."""
+    one, to, several = _fold()
+    table = F.str_to_map(F.lit("\x1f".join(f"{k}\x1e{v}" for k, v in several.items())), F.lit("\x1f"), F.lit("\x1e"))
+    spelt = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(table[x], x)), "")
+    rare = F.when(c.rlike("[" + "".join(several) + "]"), spelt).otherwise(c)
+    folded = F.regexp_replace(F.translate(rare, one, to), r"[^\x00-\x7F]", "")
+    return F.when(F.length(c) == F.octet_length(c), c).otherwise(folded)
 
 
 def normalize_name(c: Column) -> Column:
@@ -140,3 +147,44 @@ def partner_from_key(key: Column) -> Column:
     parts = F.split(key, "/")
     name = F.element_at(parts, -1)
     return F.when((parts[0] == "inbox") & (F.size(parts) >= 3), parts[1]).when(name.startswith("partner_"), F.split(name, "_")[1]).otherwise("unknown")
+
+
+def coerce_date(c: Column) -> Column:
+    """The roster loader's own list of date formats, as an ISO date; null if none fits."""
+    return F.date_format(parse_date(c, ROSTER_FORMATS), "yyyy-MM-dd")
+
+
+def blocking_key(last: Column, dob: Column, zip_code: Column) -> Column:
+    """The first blocking key."""
+    return F.element_at(blocking_keys(last, dob, zip_code), 1)
+
+
+def ssn_valid(c: Column) -> Column:
+    """Nine digits with or without hyphens, an assigned area, group and serial not zero, no well-known dummy; null stays null."""
+    d = F.regexp_replace(c, "-", "")
+    area = F.substring(d, 1, 3)
+    ok = c.rlike(r"^[0-9]{3}-?[0-9]{2}-?[0-9]{4}$") & ~area.isin("000", "666") & ~area.startswith("9")
+    return ok & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000") & ~d.isin(*DUMMY_SSNS)
+
+
+def row_hash(columns: list[str]) -> Column:
+    """SHA-256 of the row as JSON, nulls left out."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def surrogate_key(*parts: Column) -> Column:
+    """MD5 over the parts joined by hyphens; null has a spelling of its own."""
+    return F.md5(F.concat_ws("-", *(F.coalesce(p.cast("string"), F.lit(NULL_SPELLING)) for p in parts)))
+
+
+def parse_verdict(c: Column) -> Column:
+    """struct(match, confidence, reasoning) from an adjudicator's reply: the outermost braces, reasoning cut at 500; nulls if there is no JSON."""
+    body = F.regexp_extract(c, r"(?s)\{.*\}", 0)
+    got = F.from_json(body, "match boolean, confidence double, reasoning string")
+    fine = F.get_json_object(body, "$").isNotNull()
+    return F.when(fine, F.struct(F.coalesce(got["match"], F.lit(False)).alias("match"), F.coalesce(got["confidence"], F.lit(0.0)).alias("confidence"), F.substring(F.coalesce(got["reasoning"], F.lit("")), 1, 500).alias("reasoning")))
+
+
+# Numbers known from advertisements and examples.
+DUMMY_SSNS = ("078051120", "219099999", "123456789", "111111111", "222222222", "333333333", "444444444", "555555555", "777777777", "888888888")
+NULL_SPELLING = "_null_"

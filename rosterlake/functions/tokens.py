@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyz234567"
-NIBBLES = [f"{i:04b}" for i in range(16)]
+RADIX_32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 
 
 def hmac_sha256_hex(key: bytes, message: Column) -> Column:
@@ -19,18 +19,19 @@ def hmac_sha256_hex(key: bytes, message: Column) -> Column:
 
 
 def base32(hex_digits: Column, n: int) -> Column:
-    """n base32 letters (lower case) of a hexadecimal string, padded with zero bits."""
-    bits = hex_digits
-    for i, b in enumerate(NIBBLES):  # letters above f stand for finished nibbles
-        bits = F.replace(bits, F.lit(f"{i:x}"), F.lit(chr(ord("g") + i)))
-    for i, b in enumerate(NIBBLES):
-        bits = F.replace(bits, F.lit(chr(ord("g") + i)), F.lit(b))
-    bits = F.rpad(bits, 5 * n, "0")
-    letter = lambda i: F.substr(F.lit(ALPHABET), F.conv(F.substr(bits, F.lit(5 * i + 1), F.lit(5)), 2, 10).cast("int") + 1, F.lit(1))
-    return F.concat(*(letter(i) for i in range(n)))
+    """n base32 letters (lower case) of a hexadecimal string, padded with zero bits: five digits make four letters."""
+    groups = -(-n // 4)
+    padded = F.rpad(hex_digits, 5 * groups, "0")
+    letters = F.concat(*(F.lpad(F.conv(F.substring(padded, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(groups)))
+    return F.translate(F.substring(letters, 1, n), RADIX_32, ALPHABET)
 
 
 def tokenize(key: bytes, partner: Column, field: str, value: Column) -> Column:
     """tok_ and 26 letters; null or empty values stay null."""
     digest = hmac_sha256_hex(key, F.concat_ws("|", partner, F.lit(field), value))
     return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit("tok_"), base32(F.substring(digest, 1, 32), 26)))
+
+
+def cross_reference(key: bytes, field: str, value: Column) -> Column:
+    """A token without the partner in it, under a key of its own: equal values of all partners meet, for matching only."""
+    return tokenize(key + b"|xref", F.lit("*"), field, value)

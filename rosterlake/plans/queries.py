@@ -1,246 +1,109 @@
-"""Registry of the roster queries, each with the SQL that must give the same rows.
-
-`silver` is built by the operators from the derived roster; diagnostics over it are declarative SQL that Catalyst
-plans. Where both engines read one text it is written once and run over each engine's own silver.
-"""
+"""The roster queries: field rules, silver and simple filters here; people, feeds and checks in their own modules."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterlake.functions import normalize as N
-from rosterlake.functions import tokens as T
 from rosterlake.operators import resolve as R
-from rosterlake.operators import silver as S
 
+from . import checks, feeds, people  # noqa: F401  they register their queries
+from . import duck as D
+from .registry import ORACLE_SQL, QUERIES, query, roster, silver, table
 from .roster import AS_OF, ROSTER
 
-SECRET = b"roster queries"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ROSTER.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
-
-
-def silver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.cleanse(roster(spark, sf_dir), SECRET, AS_OF)
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
-# ---- the same silver in DuckDB
-
-def _duck_token(field: str) -> str:
-    key = SECRET.ljust(64, b"\0")
-    pad = lambda x: f"unhex('{bytes(b ^ x for b in key).hex()}')"
-    msg = f"encode(concat_ws('|', partner_id, '{field}', {field}))"
-    digest = f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || {msg})))"
-    bits = f"rpad(array_to_string(list_transform(string_split(left({digest}, 32), ''), lambda c: right(bin(('0x' || c)::INT + 16), 4)), ''), 130, '0')"
-    letters = f"list_transform(range(26), lambda i: substr('{T.ALPHABET}', 1 + list_sum(list_transform(range(5), lambda j: substr({bits}, i * 5 + j + 1, 1)::INT * (1 << (4 - j))))::INT, 1))"
-    return f"CASE WHEN coalesce({field}, '') <> '' THEN 'tok_' || array_to_string({letters}, '') END"
-
-
-def duck_name(x: str) -> str:
-    formal = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in N.NICKNAMES.items())
-    drop = ", ".join(f"'{s}'" for s in ("", *N.SUFFIXES))
-    words = f"string_split(regexp_replace(lower(strip_accents(coalesce({x}, ''))), '[^a-z\\-'' ]', ' ', 'g'), ' ')"
-    return f"array_to_string(list_transform(list_filter({words}, lambda w: w NOT IN ({drop})), lambda w: CASE w {formal} ELSE w END), ' ')"
-
-
-def duck_soundex(x: str) -> str:
-    letters = f"regexp_replace(upper(coalesce({x}, '')), '[^A-Z]', '', 'g')"
-    codes = f"translate({letters}, 'AEIOUYHWBFPVCGJKQSXZDTLMNR', '00000000111122222222334556')"
-    for d in "0123456":
-        codes = f"regexp_replace({codes}, '{d}+', '{d}', 'g')"
-    return f"CASE WHEN {letters} = '' THEN '' ELSE rpad(left(left({letters}, 1) || replace(substr({codes}, 2), '0', ''), 4), 4, '0') END"
-
-
-DUCK_DOB = "CAST(try_strptime(trim(dob), ['%Y-%m-%d', '%m/%d/%Y', '%m-%d-%Y', '%Y/%m/%d', '%d/%m/%Y', '%Y%m%d']) AS DATE)"
-_DIGITS = "regexp_replace({0}, '[^0-9]', '', 'g')".format
-DUCK_ZIP = f"CASE WHEN {_DIGITS("coalesce(zip, '')")} = '' THEN '' ELSE lpad(left({_DIGITS('zip')}, 5), 5, '0') END"
-DUCK_SILVER = f"""
-WITH roster AS ({ROSTER}), base AS (
-  SELECT silver_record_id, partner_id, partner_member_id, trim(regexp_replace(first_name, '\\s+', ' ', 'g')) AS first_name,
-    trim(regexp_replace(last_name, '\\s+', ' ', 'g')) AS last_name, dob AS dob_raw, {DUCK_DOB} AS dob,
-    CASE WHEN upper(trim(gender)) IN ('M', 'MALE') THEN 'M' WHEN upper(trim(gender)) IN ('F', 'FEMALE') THEN 'F' WHEN upper(trim(gender)) IN ('X', 'NB', 'NONBINARY') THEN 'X' ELSE 'U' END AS gender,
-    CASE WHEN coalesce({_DIGITS('ssn')}, '') <> '' THEN right({_DIGITS('ssn')}, 4) END AS ssn_last4,
-    {_duck_token('ssn')} AS ssn_token, {_duck_token('email')} AS email_token,
-    CASE trim(city) WHEN 'new york' THEN 'New York' ELSE 'Los Angeles' END AS city,
-    upper(left(regexp_replace(state, '[^A-Za-z]', '', 'g'), 2)) AS state, lpad({_DIGITS('zip')}, 5, '0') AS zip, upper(trim(plan_code)) AS plan_code,
-    CAST(try_strptime(start_date, '%Y-%m-%d') AS DATE) AS effective_start_date, CAST(try_strptime(end_date, '%Y-%m-%d') AS DATE) AS effective_end_date, updated_at
-  FROM roster
-), flagged AS (
-  SELECT *, list_filter([CASE WHEN dob IS NULL THEN 'dob_unparseable' END, CASE WHEN dob > DATE '{AS_OF}' THEN 'dob_in_future' END,
-    CASE WHEN dob < DATE '1900-01-01' THEN 'dob_pre_1900' END, CASE WHEN coalesce(last_name, '') = '' THEN 'last_name_missing' END,
-    CASE WHEN coalesce(first_name, '') = '' THEN 'first_name_missing' END, CASE WHEN NOT coalesce(regexp_full_match(zip, '[0-9]{{5}}'), FALSE) THEN 'zip_invalid' END,
-    CASE WHEN length(coalesce(state, '')) <> 2 THEN 'state_invalid' END, CASE WHEN effective_end_date < effective_start_date THEN 'end_before_start' END,
-    CASE WHEN NOT starts_with(ssn_token, 'tok_') THEN 'ssn_token_format_invalid' END], lambda f: f IS NOT NULL) AS quality_flags FROM base
-), silver AS (
-  SELECT *, CAST(greatest(1 - 0.1 * len(quality_flags), 0) AS DECIMAL(3,2)) AS quality_score,
-    list_has_any(quality_flags, ['dob_unparseable', 'last_name_missing', 'ssn_token_format_invalid']) AS is_quarantined FROM flagged
-)
-"""
-
-# ---- diagnostics: one text for both engines ({{as_of}} is a date literal)
-D = f"DATE '{AS_OF}'"
+# ---- filters and single expressions that both engines read alike: one text over each engine's own silver
+_D = f"DATE '{AS_OF}'"
 SHARED: dict[str, str] = {
     "quarantine_filter": "SELECT silver_record_id, partner_id, quality_score FROM silver WHERE NOT is_quarantined",
-    "is_active": f"SELECT silver_record_id, effective_end_date IS NULL OR effective_end_date >= {D} AS is_active FROM silver",
-    "ineligible_pred": f"SELECT silver_record_id, coalesce(effective_end_date < {D}, FALSE) AS ineligible FROM silver",
-    "lookup_key": "SELECT silver_record_id, concat_ws('#', zip, CAST(dob AS STRING), lower(trim(last_name))) AS lookup_key FROM silver WHERE dob IS NOT NULL",
-    "mask_dob": "SELECT silver_record_id, make_date(year(dob), 1, 1) AS dob_masked FROM silver",
-    "mask_token": "SELECT silver_record_id, CASE WHEN partner_id = 'partner_0' THEN ssn_token END AS ssn_token, CASE WHEN partner_id = 'partner_0' THEN email_token END AS email_token FROM silver",
-    "row_access": "SELECT s.silver_record_id, s.partner_id FROM silver s WHERE EXISTS (SELECT 1 FROM (VALUES ('partner_1', DATE '2030-01-01'), ('partner_2', DATE '2020-01-01')) g(partner, until) WHERE g.partner = s.partner_id AND g.until > " + D + ")",
-    "agg_quarantine": "SELECT partner_id, count(*) AS n_rows, count(*) FILTER (WHERE is_quarantined) AS n_quarantined, count(*) FILTER (WHERE is_quarantined) / CAST(count(*) AS DOUBLE) AS rate FROM silver GROUP BY partner_id",
-    "agg_filter_counts": f"SELECT partner_id, count(*) FILTER (WHERE effective_end_date IS NULL OR effective_end_date >= {D}) AS active, count(*) AS total, max(updated_at) AS last_updated FROM silver GROUP BY partner_id",
-    "agg_last_seen": "SELECT partner_id, partner_member_id, max(updated_at) AS last_seen FROM silver GROUP BY partner_id, partner_member_id",
-    "agg_dup_count": "SELECT partner_id, partner_member_id, count(*) AS n FROM silver GROUP BY partner_id, partner_member_id HAVING count(*) > 1",
-    "agg_missing_invalid": "SELECT count(*) FILTER (WHERE dob IS NULL) AS dob_missing, count(*) FILTER (WHERE zip IS NOT NULL AND length(zip) <> 5) AS zip_invalid, count(*) FILTER (WHERE gender NOT IN ('M', 'F', 'X', 'U')) AS gender_invalid, count(*) FILTER (WHERE first_name IS NULL) AS first_missing FROM silver",
-    "agg_row_count": "SELECT count(*) AS row_count, count(*) > 0 AS passed FROM silver",
-    "agg_freshness": "SELECT max(updated_at) AS newest, max(updated_at) >= TIMESTAMP '2024-06-28 18:00:00' AS passed FROM silver",
-    "agg_review_backlog": "SELECT count(*) AS backlog FROM silver WHERE quality_score < 0.9 HAVING count(*) > 10",
-    "agg_one_golden": "SELECT ssn_last4, dob, count(DISTINCT partner_id) AS partners FROM silver WHERE dob IS NOT NULL AND ssn_last4 IS NOT NULL GROUP BY ssn_last4, dob HAVING count(DISTINCT partner_id) > 1",
-    "agg_zero_active": f"SELECT partner_id FROM silver GROUP BY partner_id HAVING count(*) FILTER (WHERE effective_end_date IS NULL OR effective_end_date >= {D}) = 0",
-    "failed_rows": f"SELECT silver_record_id, CASE WHEN effective_end_date < effective_start_date THEN 'end_before_start' WHEN dob > effective_start_date THEN 'dob_after_start' ELSE 'token_leak' END AS reason FROM silver WHERE effective_end_date < effective_start_date OR dob > effective_start_date OR ssn_token NOT LIKE 'tok_%'",
-    "agg_scorecard": "SELECT partner_id, date_trunc('week', updated_at) AS week, avg(CASE WHEN is_quarantined THEN 0 ELSE 1 END) AS pass_rate, count(*) AS n FROM silver GROUP BY partner_id, date_trunc('week', updated_at)",
-    "agg_row_change": "SELECT partner_id, day, n, prior, abs(n - prior) / CAST(prior AS DOUBLE) <= 0.15 AS within FROM (SELECT partner_id, day, n, lag(n) OVER (PARTITION BY partner_id ORDER BY day) AS prior FROM (SELECT partner_id, CAST(updated_at AS DATE) AS day, count(*) AS n FROM silver GROUP BY partner_id, CAST(updated_at AS DATE)) a) b WHERE prior IS NOT NULL",
-    "agg_risk": "SELECT partner_id, CASE WHEN 3 * count(*) FILTER (WHERE quality_score < 0.95) > count(*) THEN 'HIGH' WHEN count(*) FILTER (WHERE quality_score < 0.95) > 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM silver GROUP BY partner_id",
-    "win_latest": "SELECT silver_record_id, partner_id, partner_member_id, updated_at FROM (SELECT *, row_number() OVER (PARTITION BY partner_id, partner_member_id ORDER BY updated_at DESC, silver_record_id) AS rn FROM silver) x WHERE rn = 1",
-    "win_topk": "SELECT partner_id, silver_record_id, rn FROM (SELECT partner_id, silver_record_id, row_number() OVER (PARTITION BY partner_id ORDER BY quality_score DESC, silver_record_id) AS rn FROM silver) x WHERE rn <= 10",
-    "sort_attrition": f"SELECT s.silver_record_id, l.last_seen, datediff_days AS days_since_seen FROM (SELECT silver_record_id, partner_id, partner_member_id FROM silver WHERE NOT is_quarantined) s LEFT JOIN (SELECT partner_id, partner_member_id, max(updated_at) AS last_seen, max(day_no) AS datediff_days FROM (SELECT *, 30 - day(updated_at) AS day_no FROM silver) q WHERE partner_member_id < 'm5' GROUP BY partner_id, partner_member_id) l ON s.partner_id = l.partner_id AND s.partner_member_id = l.partner_member_id WHERE l.last_seen IS NULL OR l.last_seen < TIMESTAMP '2024-06-23 00:00:00'",
-    "semi_grants": "SELECT silver_record_id FROM silver s WHERE EXISTS (SELECT 1 FROM silver t WHERE t.ssn_last4 = s.ssn_last4 AND t.dob = s.dob AND t.silver_record_id <> s.silver_record_id)",
-    "match_ssn4_dob_zip": "SELECT a.silver_record_id AS id, min(b.silver_record_id) AS match_id FROM silver a JOIN silver b ON a.ssn_last4 = b.ssn_last4 AND a.dob = b.dob AND a.zip = b.zip AND a.partner_id <> b.partner_id GROUP BY a.silver_record_id",
-    "prior_run_diff": "SELECT coalesce(o.silver_record_id, n.silver_record_id) AS silver_record_id, CASE WHEN n.silver_record_id IS NULL THEN 'dropped' WHEN o.silver_record_id IS NULL THEN 'added' WHEN o.zip IS DISTINCT FROM n.zip THEN 'changed' ELSE 'same' END AS change FROM (SELECT silver_record_id, zip FROM silver WHERE partner_id <> 'partner_4') o FULL OUTER JOIN (SELECT silver_record_id, CASE WHEN gender = 'U' THEN '99999' ELSE zip END AS zip FROM silver WHERE partner_id <> 'partner_3') n ON o.silver_record_id = n.silver_record_id",
-    "union_signals": "SELECT 'hard' AS signal, ssn_token AS dup_key, count(*) AS n FROM silver WHERE ssn_token IS NOT NULL GROUP BY ssn_token HAVING count(*) > 1 UNION ALL SELECT 'soft', concat_ws('|', CAST(dob AS STRING), upper(left(last_name, 4)), left(zip, 3), left(first_name, 1)), count(*) FROM silver WHERE dob IS NOT NULL AND last_name <> '' AND first_name <> '' GROUP BY concat_ws('|', CAST(dob AS STRING), upper(left(last_name, 4)), left(zip, 3), left(first_name, 1)) HAVING count(*) > 1",
-    "k_anonymity": "SELECT gender, left(zip, 3) AS zip3, count(*) AS n, count(*) >= 5 AS releasable FROM silver GROUP BY gender, left(zip, 3)",
-    "retention_delete": "SELECT s.silver_record_id FROM silver s WHERE NOT EXISTS (SELECT 1 FROM silver c WHERE c.silver_record_id = s.silver_record_id AND c.effective_end_date < DATE '2017-06-30')",
-    "idv_lookup": "SELECT r.silver_record_id AS request_id, g.silver_record_id AS match_id FROM silver r JOIN silver g ON r.dob = g.dob AND r.zip = g.zip AND lower(trim(r.last_name)) = lower(trim(g.last_name)) WHERE r.partner_id = 'partner_1' AND (r.ssn_last4 IS NULL OR g.ssn_last4 IS NULL OR r.ssn_last4 = g.ssn_last4)",
-    "idv_fuzzy": "SELECT request_id, match_id FROM (SELECT r.silver_record_id AS request_id, g.silver_record_id AS match_id, row_number() OVER (PARTITION BY r.silver_record_id ORDER BY g.silver_record_id) AS rn FROM silver r JOIN silver g ON year(r.dob) = year(g.dob) AND left(r.zip, 3) = left(g.zip, 3) WHERE r.partner_id = 'partner_1' AND r.last_name <> '' AND lower(g.last_name) LIKE concat(left(lower(r.last_name), 4), '%')) x WHERE rn <= 10",
-    "verify": f"""SELECT request_id, CASE WHEN n = 1 AND ineligible THEN 'INELIGIBLE' WHEN n = 1 THEN 'VERIFIED' WHEN n > 1 THEN 'AMBIGUOUS' WHEN f = 1 THEN 'NEEDS_REVIEW' ELSE 'NOT_FOUND' END AS status,
-      CASE WHEN n = 1 THEN 1.0 WHEN n > 1 THEN 0.5 WHEN f = 1 THEN 0.7 ELSE 0.0 END + CAST(0 AS DOUBLE) AS confidence FROM (
-      SELECT r.silver_record_id AS request_id, count(DISTINCT CASE WHEN r.dob = g.dob AND r.zip = g.zip AND lower(r.last_name) = lower(g.last_name) AND (r.ssn_last4 IS NULL OR g.ssn_last4 IS NULL OR r.ssn_last4 = g.ssn_last4) THEN g.silver_record_id END) AS n,
-        coalesce(bool_or(r.dob = g.dob AND r.zip = g.zip AND lower(r.last_name) = lower(g.last_name) AND g.effective_end_date < {D}), FALSE) AS ineligible,
-        count(DISTINCT CASE WHEN lower(g.last_name) LIKE concat(left(lower(r.last_name), 4), '%') THEN g.silver_record_id END) AS f
-      FROM silver r LEFT JOIN (SELECT * FROM silver WHERE partner_id = 'partner_2') g ON year(r.dob) = year(g.dob) AND left(r.zip, 3) = left(g.zip, 3) WHERE r.partner_id = 'partner_1' GROUP BY r.silver_record_id) v""",
-    "join_decisions": "SELECT s.silver_record_id, coalesce(d.matched, s.silver_record_id) AS golden_record_id FROM silver s LEFT JOIN (SELECT silver_record_id AS id, CASE WHEN gender = 'M' THEN 'g_' || ssn_last4 END AS matched, CASE gender WHEN 'M' THEN 'AUTO_MATCH' WHEN 'F' THEN 'REVIEW' ELSE 'NO_MATCH' END AS decision FROM silver) d ON s.silver_record_id = d.id AND d.decision IN ('AUTO_MATCH', 'NO_MATCH')",
-    "outbox_diff": "SELECT coalesce(o.silver_record_id, n.silver_record_id) AS golden_record_id, CASE WHEN n.silver_record_id IS NULL THEN 'delete' ELSE 'upsert' END AS operation FROM (SELECT silver_record_id, quality_score FROM silver WHERE partner_id <> 'partner_4') o FULL OUTER JOIN (SELECT silver_record_id, CASE WHEN gender = 'U' THEN CAST(0 AS DECIMAL(3,2)) ELSE quality_score END AS quality_score FROM silver WHERE partner_id <> 'partner_3') n ON o.silver_record_id = n.silver_record_id WHERE o.silver_record_id IS NULL OR n.silver_record_id IS NULL OR o.quality_score <> n.quality_score",
-    "merge_upsert": "SELECT silver_record_id, partner_id, version FROM (SELECT *, row_number() OVER (PARTITION BY silver_record_id ORDER BY version DESC) AS rn FROM (SELECT silver_record_id, partner_id, 1 AS version FROM silver WHERE partner_id <> 'partner_0' UNION ALL SELECT silver_record_id, partner_id, 2 AS version FROM silver WHERE gender <> 'M') a) b WHERE rn = 1",
-    "keep_latest": "SELECT partner_member_id, max(updated_at) AS updated_at, count(*) AS n FROM silver WHERE NOT is_quarantined GROUP BY partner_member_id",
+    "is_active": f"SELECT silver_record_id, effective_end_date IS NULL OR effective_end_date >= {_D} AS is_active FROM silver",
+    "ineligible_pred": f"SELECT silver_record_id, coalesce(effective_end_date < {_D}, FALSE) AS ineligible FROM silver",
+    "lookup_key": "SELECT silver_record_id, concat_ws('#', zip, CAST(dob AS STRING), lower(trim(last_name))) AS lookup_key FROM silver",
+
 }
 
 
 def _shared(sql: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        import re
-
         return spark.sql(re.sub(r"\b(FROM|JOIN) silver\b", r"\1 {silver}", sql), silver=silver(spark, sf_dir))
 
     return run
 
 
-QUERIES = {name: _shared(sql) for name, sql in SHARED.items()}
-ORACLE_SQL = {name: DUCK_SILVER + sql for name, sql in SHARED.items()}
-
+for _name, _sql in SHARED.items():
+    QUERIES[_name], ORACLE_SQL[_name] = _shared(_sql), f"{D.SILVER} {_sql}"
 
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
+# ---- silver
 
-    return add
+_TOKENS = ", ".join(f"{sql} AS {name}" for name, sql in D.TOKENS.items())
+_PLAIN = ("silver_record_id", "first_name", "middle_name", "last_name", "dob", "gender", "ssn_last4", "city", "state", "zip", "plan_code", "employer_name", "effective_start_date", "effective_end_date", "is_quarantined")
 
 
-@query(DUCK_SILVER + "SELECT silver_record_id, first_name, last_name, dob, gender, ssn_last4, ssn_token, email_token, city, state, zip, plan_code, effective_start_date, effective_end_date, array_to_string(quality_flags, ',') AS quality_flags, CAST(quality_score AS DOUBLE) AS quality_score, is_quarantined FROM silver")
+@query(f"{D.SILVER} SELECT {', '.join(_PLAIN)}, {_TOKENS}, {D.XREF} AS ssn_xref, array_to_string(quality_flags, ',') AS quality_flags, CAST(quality_score AS DOUBLE) AS quality_score FROM silver")
 def silver_member(spark, sf_dir):
-    cols = ("silver_record_id", "first_name", "last_name", "dob", "gender", "ssn_last4", "ssn_token", "email_token", "city", "state", "zip", "plan_code", "effective_start_date", "effective_end_date")
-    return silver(spark, sf_dir).select(*cols, F.array_join("quality_flags", ",").alias("quality_flags"), F.col("quality_score").cast("double").alias("quality_score"), "is_quarantined")
+    """Cleansed rows with tokens, flags, score and quarantine mark."""
+    return silver(spark, sf_dir).select(*_PLAIN, *D.TOKENS, "ssn_xref", F.array_join("quality_flags", ",").alias("quality_flags"), F.col("quality_score").cast("double").alias("quality_score"))
+
 
+@query(f"{D.SILVER}, a AS (SELECT silver_record_id, list_filter([CASE WHEN ssn_last4 IN ('0000', '1234', '9999') THEN 'ssn_last4_suspicious' END, CASE WHEN dob > {_D} THEN 'dob_in_future' END, CASE WHEN dob < DATE '1900-01-01' THEN 'dob_pre_1900' END, CASE WHEN NOT regexp_full_match(zip, '[0-9]{{5}}') THEN 'zip_invalid' END, CASE WHEN zip = '00000' THEN 'zip_placeholder' END, CASE WHEN length(state) <> 2 THEN 'state_not_two_char' END], lambda x: x IS NOT NULL) AS f FROM silver) SELECT silver_record_id, array_to_string(f, ',') AS anomalies FROM a WHERE len(f) > 0")
+def format_anomalies(spark, sf_dir):
+    rules = {
+        "ssn_last4_nondigits": ~F.col("ssn_last4").rlike("^[0-9]{4}$"), "ssn_last4_suspicious": F.col("ssn_last4").isin("0000", "1234", "9999"), "dob_in_future": F.col("dob") > F.to_date(F.lit(AS_OF)),
+        "dob_pre_1900": F.col("dob") < F.to_date(F.lit("1900-01-01")), "zip_invalid": ~F.col("zip").rlike("^[0-9]{5}$"), "zip_placeholder": F.col("zip") == "00000", "state_not_two_char": F.length("state") != 2,
+        "email_token_invalid": ~F.col("email_token").startswith("tok_"),
+    }
+    d = silver(spark, sf_dir).withColumn("_a", F.array_compact(F.array(*(F.when(r, F.lit(k)) for k, r in rules.items()))))
+    return d.where(F.size("_a") > 0).select("silver_record_id", F.array_join("_a", ",").alias("anomalies"))
 
-_BLOCKS = f"""list_distinct(list_transform(CASE WHEN {duck_name('last_name')} = '' THEN [''] ELSE list_filter(list_concat([{duck_name('last_name')}], string_split({duck_name('last_name')}, '-'), string_split({duck_name('last_name')}, ' ')), lambda x: x <> '') END, lambda x: {duck_soundex('x')}))"""
 
+# ---- field rules
 
-@query(f"""WITH roster AS ({ROSTER}) SELECT silver_record_id, {duck_name('first_name')} AS first, {duck_name('last_name')} AS last, coalesce(strftime({DUCK_DOB}, '%Y-%m-%d'), '') AS dob, {DUCK_ZIP} AS zip,
-  lpad(left({_DIGITS("coalesce(zip, '')")}, 5), 5, '0') AS zip_api, {duck_soundex('last_name')} AS soundex, upper(left(trim(state), 2)) AS state_cdc,
-  array_to_string(list_sort(list_transform({_BLOCKS}, lambda s: concat(CASE WHEN {DUCK_DOB} IS NULL THEN '????' ELSE strftime({DUCK_DOB}, '%Y') END, '|', s, '|', CASE WHEN {DUCK_ZIP} = '' THEN '???' ELSE left({DUCK_ZIP}, 3) END))), ';') AS blocks FROM roster""")
+@query(f"""WITH roster AS ({ROSTER}) SELECT silver_record_id, {D.name('first_name')} AS first, {D.name('last_name')} AS last, coalesce(strftime({D.dob()}, '%Y-%m-%d'), '') AS dob, {D.zip5()} AS zip,
+  lpad(left({D.DIGITS("coalesce(zip, '')")}, 5), 5, '0') AS zip_api, {D.soundex('last_name')} AS soundex, {D.soundex_us('last_name')} AS soundex_sql, upper(left(trim(state), 2)) AS state_cdc, array_to_string(list_sort({D.blocks('last_name', D.dob(), D.zip5())}), ';') AS blocks, ({D.all_blocks('last_name', D.dob(), D.zip5())})[1] AS block FROM roster""")
 def normalize_fields(spark, sf_dir):
-    """normalize_name, normalize_dob, normalize_zip, zip_api, soundex_py, state_norm and blocking_keys side by side."""
+    """normalize_name, normalize_dob, normalize_zip, zip_api, soundex_py, soundex_sql, state_norm, blocking_keys, blocking_key, dedupe_codes."""
     c = F.col
-    return roster(spark, sf_dir).select("silver_record_id", N.normalize_name(c("first_name")).alias("first"), N.normalize_name(c("last_name")).alias("last"), N.normalize_dob(c("dob")).alias("dob"), N.normalize_zip(c("zip")).alias("zip"), N.zip_api(c("zip")).alias("zip_api"), N.soundex_reset(c("last_name")).alias("soundex"), N.state_cdc(c("state")).alias("state_cdc"), F.array_join(F.array_sort(N.blocking_keys(c("last_name"), c("dob"), c("zip"))), ";").alias("blocks"))
+    keys = N.blocking_keys(c("last_name"), c("dob"), c("zip"))
+    rows = roster(spark, sf_dir).select("silver_record_id", N.normalize_name(c("first_name")).alias("first"), N.normalize_name(c("last_name")).alias("last"), N.normalize_dob(c("dob")).alias("dob"), N.normalize_zip(c("zip")).alias("zip"), N.zip_api(c("zip")).alias("zip_api"), N.soundex_reset(c("last_name")).alias("soundex"), F.soundex("last_name").alias("soundex_sql"), N.state_cdc(c("state")).alias("state_cdc"), keys.alias("_k"))
+    return rows.withColumn("blocks", F.array_join(F.array_sort("_k"), ";")).withColumn("block", F.element_at("_k", 1)).drop("_k")
 
 
-@query(f"WITH roster AS ({ROSTER}) SELECT silver_record_id, 'G-' || upper(left(sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(partner_id || '|' || partner_member_id)), 4)) AS short_id, sha256(concat_ws('|', partner_id, partner_member_id, coalesce(first_name, '~'))) AS row_hash, md5(concat_ws('-', partner_id, partner_member_id)) AS surrogate_key FROM roster".replace("sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(partner_id || '|' || partner_member_id))", "sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(partner_id || '|' || partner_member_id))"))
+@query(f"WITH roster AS ({ROSTER}) SELECT silver_record_id, 'G-' || upper(left(sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(partner_id || '|' || partner_member_id)), 4)) AS short_id, sha256('{{' || '\"partner_id\":\"' || partner_id || '\",\"partner_member_id\":\"' || partner_member_id || '\"' || coalesce(',\"gender\":\"' || gender || '\"', '') || coalesce(',\"middle_name\":\"' || middle_name || '\"', '') || '}}') AS row_hash, md5(concat_ws('-', partner_id, partner_member_id, load_no, coalesce(middle_name, '_null_'))) AS surrogate_key FROM roster")
 def record_ids(spark, sf_dir):
     """short_golden_id, row_hash and surrogate_key."""
     c = F.col
-    return roster(spark, sf_dir).select("silver_record_id", N.short_golden_id(c("partner_id"), c("partner_member_id")).alias("short_id"), F.sha2(F.concat_ws("|", "partner_id", "partner_member_id", F.coalesce("first_name", F.lit("~"))), 256).alias("row_hash"), F.md5(F.concat_ws("-", "partner_id", "partner_member_id")).alias("surrogate_key"))
-
-
-@query("""SELECT path, CASE lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) WHEN 'csv' THEN 'csv' WHEN 'tsv' THEN 'tsv' WHEN 'json' THEN 'json' WHEN 'jsonl' THEN 'jsonl' WHEN 'ndjson' THEN 'jsonl' WHEN 'edi' THEN 'x12_834' WHEN '834' THEN 'x12_834' WHEN 'txt' THEN 'fixed_width' ELSE 'other' END AS format,
-  CASE WHEN c_custkey % 3 = 0 THEN 'p' || c_custkey WHEN c_custkey % 3 = 1 THEN 'acme' ELSE 'unknown' END AS partner
-  FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'inbox/p' || c_custkey || '/f' WHEN 1 THEN 'drop/partner_acme_' || c_custkey ELSE 'x/file' END || '.' || CASE c_custkey % 8 WHEN 0 THEN 'csv' WHEN 1 THEN 'TSV' WHEN 2 THEN 'json' WHEN 3 THEN 'ndjson' WHEN 4 THEN 'edi' WHEN 5 THEN '834' WHEN 6 THEN 'txt' ELSE 'xlsx' END AS path FROM customer)""")
-def file_keys(spark, sf_dir):
-    """detect_format and partner_from_key."""
-    k = F.col("c_custkey")
-    stem = F.when(k % 3 == 0, F.concat(F.lit("inbox/p"), k, F.lit("/f"))).when(k % 3 == 1, F.concat(F.lit("drop/partner_acme_"), k)).otherwise("x/file")
-    ext = F.get(F.array(*map(F.lit, ("csv", "TSV", "json", "ndjson", "edi", "834", "txt", "xlsx"))), (k % 8).cast("int"))
-    df = table(spark, sf_dir, "customer").select(F.concat(stem, F.lit("."), ext).alias("path"))
-    return df.select("path", N.detect_format(F.col("path")).alias("format"), N.partner_from_key(F.col("path")).alias("partner"))
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type FROM events WHERE event_type <> 'error'")
-def json_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("event_type <> 'error'").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type")
+    return roster(spark, sf_dir).select("silver_record_id", N.short_golden_id(c("partner_id"), c("partner_member_id")).alias("short_id"), N.row_hash(["partner_id", "partner_member_id", "gender", "middle_name"]).alias("row_hash"), N.surrogate_key(c("partner_id"), c("partner_member_id"), c("load_no"), c("middle_name")).alias("surrogate_key"))
 
 
-@query("SELECT event_type AS status, count(*) AS n, sum(value) AS total, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type")
-def agg_metrics(spark, sf_dir):
-    """Counters by status with sum and an exact 95th percentile."""
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"), F.percentile("value", F.lit(0.95)).alias("p95"))
+_SSNS = "SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN '000-12-3456' WHEN 1 THEN '666-12-3456' WHEN 2 THEN '912-12-3456' WHEN 3 THEN '123-45-6789' WHEN 4 THEN '123456780' WHEN 5 THEN concat(lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), '-00-1234') WHEN 6 THEN 'n/a' WHEN 7 THEN NULL ELSE concat(lpad(CAST(c_custkey % 1000 AS STRING), 3, '0'), '-12-', lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')) END AS ssn FROM customer"
 
 
-ORACLE_SQL["agg_metrics"] = "SELECT event_type AS status, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total, quantile_cont(value, 0.95) AS p95 FROM events GROUP BY event_type"
+@query(f"WITH s AS ({_SSNS}), d AS (SELECT *, replace(ssn, '-', '') AS n FROM s) SELECT id, regexp_full_match(ssn, '[0-9]{{3}}-?[0-9]{{2}}-?[0-9]{{4}}') AND left(n, 3) NOT IN ('000', '666') AND left(n, 1) <> '9' AND substr(n, 4, 2) <> '00' AND substr(n, 6, 4) <> '0000' AND n NOT IN ({', '.join(repr(x) for x in N.DUMMY_SSNS)}) AS valid FROM d")
+def ssn_valid(spark, sf_dir):
+    rows = spark.sql(_SSNS.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+    return rows.select("id", N.ssn_valid(F.col("ssn")).alias("valid"))
 
 
-@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY user_id, CAST(ts AS DATE) HAVING count(*) > 2")
-def agg_audit_volume(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+_REPLIES = "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat('```json {\"match\": true, \"confidence\": 0.9, \"reasoning\": \"r', CAST(c_custkey AS STRING), '\"} ```') WHEN 1 THEN concat('Sure: {\"match\": false, \"reasoning\": \"', repeat('x', 600), '\"} bye') WHEN 2 THEN '{\"confidence\": 0.25}' ELSE 'no verdict' END AS reply FROM customer"
 
 
-@query(DUCK_SILVER + "SELECT ssn_last4, array_to_string(list(silver_record_id ORDER BY updated_at DESC, silver_record_id DESC), ',') AS silver_records, array_to_string(list_sort(list(DISTINCT partner_id)), ',') AS partners, count(*) AS n FROM silver WHERE ssn_last4 IS NOT NULL GROUP BY ssn_last4 HAVING count(DISTINCT partner_id || '|' || silver_record_id) > 1")
-def agg_hard_dupes(spark, sf_dir):
-    d = silver(spark, sf_dir).where("ssn_last4 IS NOT NULL").groupBy("ssn_last4").agg(F.sort_array(F.collect_list(F.struct("updated_at", "silver_record_id")), False).alias("r"), F.array_join(F.sort_array(F.collect_set("partner_id")), ",").alias("partners"), F.count(F.lit(1)).alias("n"), F.count_distinct(F.concat_ws("|", "partner_id", "silver_record_id")).alias("u"))
-    return d.where("u > 1").select("ssn_last4", F.array_join(F.transform("r", lambda x: x["silver_record_id"]), ",").alias("silver_records"), "partners", "n")
+@query(f"WITH r AS ({_REPLIES}), j AS (SELECT id, CASE WHEN contains(reply, '{{') THEN regexp_extract(reply, '\\{{.*\\}}') END AS b FROM r) SELECT id, CASE WHEN b IS NOT NULL THEN coalesce(CAST(json_extract_string(b, '$.match') AS BOOLEAN), FALSE) END AS match, CASE WHEN b IS NOT NULL THEN coalesce(CAST(json_extract_string(b, '$.confidence') AS DOUBLE), 0.0) END AS confidence, CASE WHEN b IS NOT NULL THEN left(coalesce(json_extract_string(b, '$.reasoning'), ''), 500) END AS reasoning FROM j")
+def parse_llm_json(spark, sf_dir):
+    """An adjudicator's replies, fenced or wrapped in prose."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr(_REPLIES[_REPLIES.index("CASE") : _REPLIES.index(" AS reply")]).alias("reply"))
+    return rows.select("id", N.parse_verdict(F.col("reply")).alias("v")).select("id", "v.match", "v.confidence", "v.reasoning")
 
 
-@query(DUCK_SILVER + f"SELECT dob, {duck_soundex('last_name')} AS sx, left(zip, 3) AS zip3, count(*) AS n FROM silver WHERE dob IS NOT NULL GROUP BY ALL HAVING count(*) > 1")
-def agg_soft_dupes(spark, sf_dir):
-    return silver(spark, sf_dir).where("dob IS NOT NULL").groupBy("dob", N.soundex_reset(F.col("last_name")).alias("sx"), F.left("zip", F.lit(3)).alias("zip3")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+@query(f"{D.MATCH}, t AS (SELECT DISTINCT features, lower(features) AS t FROM prep), g AS (SELECT features, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM t UNION ALL SELECT features, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM (SELECT features, list_filter(string_split(t, ' '), lambda w: w <> '') AS ws FROM t) x), v AS (SELECT features, h % 256 AS at, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS n FROM (SELECT features, ('0x' || left(sha1(g), 8))::BIGINT AS h FROM g) x GROUP BY ALL) SELECT features, CAST(sum(n * n) AS BIGINT) AS norm2, CAST(sum(v.n * v.at) AS BIGINT) AS moment FROM v GROUP BY features")
+def embed_local(spark, sf_dir):
+    """Gram counts of every distinct feature string: squared length and first moment (feature_string)."""
+    from .registry import prepared
 
-
-@query(DUCK_SILVER + "SELECT silver_record_id, array_to_string(list_filter([CASE WHEN ssn_last4 IN ('0000', '1234', '9999') THEN 'ssn_last4_suspicious' END, CASE WHEN dob > DATE '2024-06-30' THEN 'dob_in_future' END, CASE WHEN dob < DATE '1900-01-01' THEN 'dob_pre_1900' END, CASE WHEN NOT regexp_full_match(zip, '[0-9]{5}') THEN 'zip_invalid' END, CASE WHEN zip = '00000' THEN 'zip_placeholder' END, CASE WHEN length(state) <> 2 THEN 'state_not_two_char' END], lambda x: x IS NOT NULL), ',') AS anomalies FROM silver WHERE ssn_last4 IN ('0000', '1234', '9999') OR dob > DATE '2024-06-30' OR dob < DATE '1900-01-01' OR NOT regexp_full_match(zip, '[0-9]{5}') OR zip = '00000' OR length(state) <> 2")
-def format_anomalies(spark, sf_dir):
-    rules = {"ssn_last4_nondigits": "ssn_last4 NOT RLIKE '^[0-9]{4}$'", "ssn_last4_suspicious": "ssn_last4 IN ('0000', '1234', '9999')", "dob_in_future": f"dob > {D}", "dob_pre_1900": "dob < DATE '1900-01-01'", "zip_invalid": "zip NOT RLIKE '^[0-9]{5}$'", "zip_placeholder": "zip = '00000'", "state_not_two_char": "length(state) <> 2", "email_token_invalid": "NOT startswith(email_token, 'tok_')"}
-    d = silver(spark, sf_dir).withColumn("_a", F.array_compact(F.array(*(F.when(F.expr(r), F.lit(k)) for k, r in rules.items()))))
-    return d.where(F.size("_a") > 0).select("silver_record_id", F.array_join("_a", ",").alias("anomalies"))
-
-
-@query(DUCK_SILVER + "SELECT ssn_token AS golden_record_id, arg_max(silver_record_id, struct_pack(a := updated_at, b := silver_record_id)) AS silver_record_id, array_to_string(list_sort(list(DISTINCT partner_id)), ',') AS partners, count(*) AS n_sources FROM silver WHERE NOT is_quarantined AND ssn_token IS NOT NULL GROUP BY ssn_token")
-def gold_build(spark, sf_dir):
-    """Newest row of each identity with its sources (win_latest, win_distinct_arrays)."""
-    d = silver(spark, sf_dir).where("NOT is_quarantined AND ssn_token IS NOT NULL")
-    return d.groupBy(F.col("ssn_token").alias("golden_record_id")).agg(F.max_by("silver_record_id", F.struct("updated_at", "silver_record_id")).alias("silver_record_id"), F.array_join(F.sort_array(F.collect_set("partner_id")), ",").alias("partners"), F.count(F.lit(1)).alias("n_sources"))
-
-
-@query(None)
-def resolve(spark, sf_dir):
-    """The whole cascade: partner_1 rows against golden rows of the other partners."""
-    c = F.col
-    d = roster(spark, sf_dir).select("silver_record_id", "partner_id", "k", T.tokenize(SECRET, F.lit("all"), "ssn", c("ssn")).alias("ssn_token"), F.coalesce(N.ssn_last4(c("ssn")), F.lit("")).alias("ssn4"), N.normalize_dob(c("dob")).alias("dob"), N.normalize_zip(c("zip")).alias("zip"), N.normalize_name(c("first_name")).alias("first"), N.normalize_name(c("last_name")).alias("last"), N.blocking_keys(c("last_name"), c("dob"), c("zip")).alias("blocks"), N.feature_string(c("first_name"), F.lit(None).cast("string"), c("last_name"), c("dob"), F.lit(""), c("city"), c("state"), c("zip"), N.ssn_last4(c("ssn"))).alias("features"))
-    incoming = d.where("partner_id = 'partner_1'").withColumnRenamed("silver_record_id", "id")
-    golden = d.where("partner_id <> 'partner_1'").withColumnRenamed("silver_record_id", "golden_id").withColumnRenamed("k", "position")
-    return R.resolve(incoming, golden)
+    got = R.embed(prepared(spark, sf_dir))
+    moment = F.aggregate(F.zip_with("at", "n", lambda i, n: (i * n).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return got.select(F.col("text").alias("features"), "norm2", moment.alias("moment"))
