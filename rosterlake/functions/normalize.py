@@ -95,7 +95,12 @@ def soundex_reset(c: Column) -> Column:
 
 def blocking_keys(last: Column, dob: Column, zip_code: Column) -> Column:
     """year|soundex|zip3 for the whole surname and its parts at hyphens and spaces, distinct and in order."""
-    name, year, zip3 = normalize_name(last), F.substring(normalize_dob(dob), 1, 4), F.substring(normalize_zip(zip_code), 1, 3)
+    return blocking_keys_of(normalize_name(last), normalize_dob(dob), normalize_zip(zip_code))
+
+
+def blocking_keys_of(name: Column, dob: Column, zip_code: Column) -> Column:
+    """The same of normalised fields; columns made in an earlier select keep the plan small."""
+    year, zip3 = F.substring(dob, 1, 4), F.substring(zip_code, 1, 3)
     year, zip3 = F.when(year == "", "????").otherwise(year), F.when(zip3 == "", "???").otherwise(zip3)
     parts = F.filter(F.concat(F.array(name), F.split(name, "-"), F.split(name, " ")), lambda p: p != "")
     parts = F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
@@ -104,10 +109,15 @@ def blocking_keys(last: Column, dob: Column, zip_code: Column) -> Column:
 
 
 def feature_string(first: Column, middle: Column, last: Column, dob: Column, address: Column, city: Column, state: Column, zip_code: Column, ssn4: Column) -> Column:
-    n, e = normalize_name, lambda c: F.coalesce(c, F.lit(""))
-    name = F.concat(n(first), F.lit(" "), n(middle), F.lit(" "), n(last))
-    place = F.concat(F.lower(F.trim(e(address))), F.lit(", "), F.lower(F.trim(e(city))), F.lit(", "), F.upper(F.trim(e(state))), F.lit(" "), normalize_zip(zip_code))
-    return F.concat(F.lit("NAME: "), name, F.lit(" | DOB: "), normalize_dob(dob), F.lit(" | ADDR: "), place, F.lit(" | SSN4: "), e(ssn4))
+    n = normalize_name
+    return feature_string_of(n(first), n(middle), n(last), normalize_dob(dob), address, city, state, normalize_zip(zip_code), ssn4)
+
+
+def feature_string_of(first: Column, middle: Column, last: Column, dob: Column, address: Column, city: Column, state: Column, zip_code: Column, ssn4: Column) -> Column:
+    """The same of normalised names, birth date and ZIP."""
+    e = lambda c: F.coalesce(c, F.lit(""))
+    place = F.concat(F.lower(F.trim(e(address))), F.lit(", "), F.lower(F.trim(e(city))), F.lit(", "), F.upper(F.trim(e(state))), F.lit(" "), zip_code)
+    return F.concat(F.lit("NAME: "), F.concat_ws(" ", first, middle, last), F.lit(" | DOB: "), dob, F.lit(" | ADDR: "), place, F.lit(" | SSN4: "), e(ssn4))
 
 
 def clean_name(c: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from rosterlake.functions import normalize as N
 from rosterlake.functions import tokens as T
 
+from .settle import settle
+
 DIMENSIONS = 256
 #: Scores of the exact stages and weights of the adjudication.
 STAGE_SCORES = {"1a": 1.0, "1b": 0.98, "1c": 0.97}
@@ -30,14 +32,17 @@ def prepare(raw: DataFrame, id_col: str, secret: bytes, partner: Column | None =
     """
     c = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
     ssn = T.cross_reference(secret, "ssn", c("ssn")) if partner is None else T.tokenize(secret, partner, "ssn", c("ssn"))
-    return raw.select(
+    fields = raw.select(
         F.col(id_col).alias("id"), "position", ssn.alias("ssn_token"), F.coalesce(N.ssn_last4(c("ssn")), F.lit("")).alias("ssn4"),
         N.normalize_dob(c("dob")).alias("dob"), N.normalize_zip(c("zip")).alias("zip"),
-        N.normalize_name(c("first_name")).alias("first"), N.normalize_name(c("last_name")).alias("last"),
+        N.normalize_name(c("first_name")).alias("first"), N.normalize_name(c("middle_name")).alias("middle"), N.normalize_name(c("last_name")).alias("last"),
         N.soundex_reset(c("first_name")).alias("sx_first"), N.soundex_reset(c("last_name")).alias("sx_last"),
-        N.blocking_keys(c("last_name"), c("dob"), c("zip")).alias("blocks"),
-        N.feature_string(c("first_name"), c("middle_name"), c("last_name"), c("dob"), c("address_line_1"), c("city"), c("state"), c("zip"), N.ssn_last4(c("ssn"))).alias("features"),
+        c("address_line_1").alias("_address"), c("city").alias("_city"), c("state").alias("_state"),
     )
+    f = F.col
+    blocks = N.blocking_keys_of(f("last"), f("dob"), f("zip")).alias("blocks")
+    features = N.feature_string_of(f("first"), f("middle"), f("last"), f("dob"), f("_address"), f("_city"), f("_state"), f("zip"), f("ssn4")).alias("features")
+    return fields.select("id", "position", "ssn_token", "ssn4", "dob", "zip", "first", "last", "sx_first", "sx_last", blocks, features)
 
 
 def as_index(prepared: DataFrame) -> DataFrame:
@@ -125,7 +130,9 @@ def blank_blocks(df: DataFrame) -> DataFrame:
 
 def similarities(pairs: DataFrame, incoming: DataFrame, golden: DataFrame) -> DataFrame:
     """(id, golden_id, position, sim) of the pairs; each distinct feature string is embedded once."""
-    vectors = embed(incoming.select("features").unionByName(golden.select("features")))
+    pairs = settle(pairs)
+    met = incoming.join(pairs.select("id").distinct(), "id", "left_semi").select("features").unionByName(golden.join(pairs.select("golden_id").distinct(), "golden_id", "left_semi").select("features"))
+    vectors = settle(embed(met))
     a = incoming.select("id", F.col("features").alias("text")).join(vectors, "text").select("id", F.col("at").alias("a_at"), F.col("n").alias("a_n"), F.col("norm2").alias("a2"))
     b = golden.select("golden_id", "position", F.col("features").alias("text")).join(vectors, "text").select("golden_id", "position", F.col("dense").alias("b_dense"), F.col("norm2").alias("b2"))
     joined = pairs.join(a, "id").join(b, "golden_id")
@@ -189,13 +196,15 @@ def resolve(incoming: DataFrame, golden: DataFrame, least: float = 0.85, adjudic
     incoming: as prepare() gives it; golden: as_index of that. Only the best candidate is adjudicated. An external
     adjudicator sees the same pairs; rows that it leaves out or gives no score get the local one if `fallback`.
     """
+    incoming, golden = settle(incoming), settle(golden)  # each is read by several joins
     size = golden.count()
-    exact = deterministic(incoming, golden)
+    exact = settle(deterministic(incoming, golden))
     lookup = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("stage")]
     sure = exact.select("id", "golden_id", F.lit("AUTO_MATCH").alias("decision"), lookup(STAGE_SCORES).alias("score"), F.lit("deterministic").alias("stage"), lookup(STAGE_REASONS).alias("reasoning"), F.lit(size).cast("long").alias("candidates_considered"))
-    open_ = incoming.join(exact, "id", "left_anti")
+    open_ = settle(incoming.join(exact, "id", "left_anti"))
     sims = similarities(block_pairs(open_, golden), open_, golden)
     best = sims.groupBy("id").agg(F.max_by("golden_id", F.struct("sim", -F.col("position"))).alias("golden_id"), F.max("sim").alias("sim"), F.count(F.lit(1)).alias("considered"))
+    best = settle(best)
     far = best.where(F.col("sim") < least)
     low = far.select("id", F.lit(None).cast("string").alias("golden_id"), F.lit("NO_MATCH").alias("decision"), F.col("sim").alias("score"), F.lit("embedding").alias("stage"), F.format_string(f"Top embedding similarity %.3f below threshold {least:.2f}.", "sim").alias("reasoning"), F.col("considered").alias("candidates_considered"))
     near = best.where(F.col("sim") >= least)

@@ -9,11 +9,12 @@ from rosterlake.operators import cdc, infer, vault
 from rosterlake.operators import contracts as K
 from rosterlake.operators import gold as G
 from rosterlake.operators import silver as S
+from rosterlake.operators.settle import scratch
 from rosterlake.sources import files, sinks
 from rosterlake.streaming import feeds
 
 from . import duck as D
-from .registry import BUILT_AT, gold, query, roster, scratch, secret, silver, table
+from .registry import BUILT_AT, gold, query, roster, secret, silver, table
 from .roster import ROSTER
 
 # ---- files

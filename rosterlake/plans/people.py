@@ -8,6 +8,7 @@ from rosterlake.operators import gold as G
 from rosterlake.operators import govern, knn
 from rosterlake.operators import resolve as R
 from rosterlake.operators import verify as V
+from rosterlake.operators.settle import settle
 
 from . import duck as D
 from .registry import BUILT_AT, decisions, gold, prepared, query, requests, silver, table
@@ -16,7 +17,7 @@ from .roster import AS_OF
 
 def sides(spark, sf_dir):
     """Records of partner_1 and the index of all others."""
-    return prepared(spark, sf_dir, "partner_id = 'partner_1'"), R.as_index(prepared(spark, sf_dir, "partner_id <> 'partner_1'"))
+    return settle(prepared(spark, sf_dir, "partner_id = 'partner_1'")), R.as_index(settle(prepared(spark, sf_dir, "partner_id <> 'partner_1'")))
 
 
 def _stage(n: str) -> str:
@@ -40,7 +41,7 @@ def match_soundex(spark, sf_dir):
 
 def _open(spark, sf_dir):
     a, b = sides(spark, sf_dir)
-    return a.join(R.deterministic(a, b), "id", "left_anti"), b
+    return settle(a.join(R.deterministic(a, b), "id", "left_anti")), b
 
 
 @query(f"{D.MATCH} SELECT id, golden_id FROM pairs")
@@ -99,7 +100,7 @@ def request_validation(spark, sf_dir):
 
 
 def valid(spark, sf_dir):
-    return requests(spark, sf_dir).where(F.size("problems") == 0)
+    return settle(requests(spark, sf_dir).where(F.size("problems") == 0))
 
 
 @query(f"{D.VERIFY} SELECT request_id, golden_record_id, partner_id FROM exact")

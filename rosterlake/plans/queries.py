@@ -68,8 +68,7 @@ def format_anomalies(spark, sf_dir):
 def normalize_fields(spark, sf_dir):
     """normalize_name, normalize_dob, normalize_zip, zip_api, soundex_py, soundex_sql, state_norm, blocking_keys, blocking_key, dedupe_codes."""
     c = F.col
-    keys = N.blocking_keys(c("last_name"), c("dob"), c("zip"))
-    rows = roster(spark, sf_dir).select("silver_record_id", N.normalize_name(c("first_name")).alias("first"), N.normalize_name(c("last_name")).alias("last"), N.normalize_dob(c("dob")).alias("dob"), N.normalize_zip(c("zip")).alias("zip"), N.zip_api(c("zip")).alias("zip_api"), N.soundex_reset(c("last_name")).alias("soundex"), F.soundex("last_name").alias("soundex_sql"), N.state_cdc(c("state")).alias("state_cdc"), keys.alias("_k"))
+    rows = roster(spark, sf_dir).select("silver_record_id", N.normalize_name(c("first_name")).alias("first"), N.normalize_name(c("last_name")).alias("last"), N.normalize_dob(c("dob")).alias("dob"), N.normalize_zip(c("zip")).alias("zip"), N.zip_api(c("zip")).alias("zip_api"), N.soundex_reset(c("last_name")).alias("soundex"), F.soundex("last_name").alias("soundex_sql"), N.state_cdc(c("state")).alias("state_cdc")).withColumn("_k", N.blocking_keys_of(c("last"), c("dob"), c("zip")))
     return rows.withColumn("blocks", F.array_join(F.array_sort("_k"), ";")).withColumn("block", F.element_at("_k", 1)).drop("_k")
 
 

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +10,7 @@ from rosterlake.operators import gold as G
 from rosterlake.operators import resolve as R
 from rosterlake.operators import silver as S
 from rosterlake.operators import verify as V
+from rosterlake.operators.settle import settle
 
 from .duck import SECRET as QUERY_SECRET
 from .roster import AS_OF, ROSTER
@@ -61,7 +57,7 @@ def prepared(spark: SparkSession, sf_dir: str, where: str = "TRUE") -> DataFrame
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first record of each SSN; without an SSN, another record of equal birth date, name sounds and ZIP asks for review."""
-    rows = prepared(spark, sf_dir)
+    rows = settle(prepared(spark, sf_dir), "prepared")
     index = R.as_index(rows)
     sure = R.match_ssn(rows, index).select("id", "golden_id")
     alike = R.match_soundex(rows.where("ssn_token IS NULL"), index).where("golden_id <> id").select("id", F.lit(True).alias("_review"))
@@ -71,7 +67,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.gold_build(silver(spark, sf_dir), decisions(spark, sf_dir), AS_OF, BUILT_AT)
+    """The golden layer, materialised as layers are."""
+    return settle(G.gold_build(silver(spark, sf_dir), decisions(spark, sf_dir), AS_OF, BUILT_AT), "gold")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,15 +76,3 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.when(k % 11 == 5, F.concat(F.left("last_name", F.lit(4)), F.lit("zz"))).otherwise(F.col("last_name"))
     digits = F.when(F.col("ssn").isNotNull(), F.right(N.digits(F.col("ssn")), F.lit(4)))
     return V.validate_requests(roster(spark, sf_dir).select(F.col("silver_record_id").alias("request_id"), "first_name", last.alias("last_name"), N.parse_date(F.col("dob")).alias("dob"), F.when(k % 13 == 6, "1").otherwise(F.col("zip")).alias("zip"), F.when(k % 3 == 0, F.lit(None)).when(k % 7 == 2, "12a4").otherwise(digits).alias("ssn_last4")))
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder for files that a query writes and reads again: below the shared checkpoint folder, else (local masters only) a temporary one."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if sc.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="rosterlake-")
-        atexit.register(shutil.rmtree, base, True)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
