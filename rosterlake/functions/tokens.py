@@ -19,10 +19,10 @@ def hmac_sha256_hex(key: bytes, message: Column) -> Column:
 
 
 def base32(hex_digits: Column, n: int) -> Column:
-    """n base32 letters (lower case) of a hexadecimal string, padded with zero bits: five digits make four letters."""
-    groups = -(-n // 4)
-    padded = F.rpad(hex_digits, 5 * groups, "0")
-    letters = F.concat(*(F.lpad(F.conv(F.substring(padded, 5 * i + 1, 5), 16, 32), 4, "0") for i in range(groups)))
+    """n base32 letters (lower case) of a hexadecimal string, padded with zero bits: fifteen digits make twelve letters at once."""
+    groups = -(-n // 12)
+    padded = F.rpad(hex_digits, 15 * groups, "0")
+    letters = F.concat(*(F.lpad(F.conv(F.substring(padded, 15 * i + 1, 15), 16, 32), 12, "0") for i in range(groups)))
     return F.translate(F.substring(letters, 1, n), RADIX_32, ALPHABET)
 
 
