@@ -5,6 +5,9 @@ two of five bit blocks agree: a pair that differs in at most three bits leaves a
 so no link is lost. Within such a group the bits are stored vertically (one bit plane per position, one bit
 per fingerprint); distances of many fingerprints are summed at once by carry-save counters over the XORed
 planes, and a block of them is abandoned as soon as all its distances exceed the radius.
+
+near_duplicates takes a wide radius for candidates, found by tables of sampled bits, and verifies each candidate by
+the similarity of its word shingles.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GROUP_ROWS, in_small_batches, releasing, row_key, settle
+from .common import GROUP_ROWS, broadcast_if_small, in_small_batches, releasing, row_key, settle
 from .components import connected_components, forest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -32,6 +35,10 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints with one key beyond which the group is split into chunks, compared chunk by chunk.
 CHUNK = 4096
 PLANES_AT_ONCE = 8
+#: Fingerprints that a key of a sampled table holds on average.
+TABLE_ROWS = 16
+#: Bits in which the fingerprints of near duplicates may differ, and how surely a pair at that distance meets.
+WIDE_RADIUS, RECALL = 12, 0.95
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -62,9 +69,16 @@ def word_slices(text: str, shingle: int, size: int = SLICE_CHARS):
 
 def _bit_counts(words: list[str], shingle: int) -> tuple[np.ndarray, int]:
     """How many of the shingles' hashes have each bit, and how many shingles there are."""
-    ones = np.zeros(64, np.int64)
+    ones, hashes = np.zeros(64, np.int64), _hashes(words, shingle)
+    for i in range(0, len(hashes), 8192):
+        ones += np.unpackbits(hashes[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones, len(hashes)
+
+
+def _hashes(words: list[str], shingle: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, joined by a space; of fewer words one hash."""
     if not words:
-        return ones, 0
+        return np.zeros(0, np.uint64)
     joined = " ".join(words).encode("utf-8", "surrogatepass")
     blob = np.frombuffer(joined, np.uint8)
     gaps = np.flatnonzero(blob == 32)
@@ -72,10 +86,7 @@ def _bit_counts(words: list[str], shingle: int) -> tuple[np.ndarray, int]:
     ends = [*gaps.tolist(), len(joined)]
     k = min(shingle, len(words))
     h, view = xxhash.xxh64_intdigest, memoryview(joined)
-    hashes = np.fromiter((h(view[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, len(words) - k + 1)
-    for i in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return ones, len(hashes)
+    return np.fromiter((h(view[a:b], SEED) for a, b in zip(starts, ends[k - 1 :], strict=False)), np.uint64, len(words) - k + 1)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -100,32 +111,31 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within(diff, n_words: int, radius: int) -> np.ndarray:
-    """Bitmask of the places with at most `radius` (<= 3) set planes. diff(planes, words) gives XORed planes of some words."""
+    """Bitmask of the places with at most `radius` set planes. diff(planes, words) gives XORed planes of some words."""
     live = np.arange(n_words)
-    low = np.zeros(n_words, np.uint64)
-    high, over = low.copy(), low.copy()
+    over = np.zeros(n_words, np.uint64)
+    count = [over.copy() for _ in range(max(1, radius.bit_length()))]
     for first in range(0, 64, PLANES_AT_ONCE):
         x = diff(slice(first, first + PLANES_AT_ONCE), live)
-        for plane in x:  # carry-save: a two-bit counter and a sticky overflow
-            carry = low & plane
-            low = low ^ plane
-            over |= high & carry
-            high = high ^ carry
+        for carry in x:  # carry-save: a counter of a few bit planes and a sticky overflow
+            for b in range(len(count)):
+                carry, count[b] = count[b] & carry, count[b] ^ carry
+            over |= carry
         done = over == ~np.uint64(0)
         if done.any():
             keep = ~done
-            live, low, high, over = live[keep], low[keep], high[keep], over[keep]
+            live, over, count = live[keep], over[keep], [c[keep] for c in count]
             if not len(live):
                 break
     out = np.zeros(n_words, np.uint64)
-    if radius == 3:
-        ok = ~over
-    else:
-        limit_low, limit_high = radius & 1, radius >> 1
-        ok = ~over & (~high if not limit_high else (~(high & low) if not limit_low else ~np.uint64(0)))
-        if radius == 0:
-            ok &= ~low
-    out[live] = ok
+    less, equal = np.zeros(len(live), np.uint64), ~over
+    for b in reversed(range(len(count))):  # compare the counters with the radius, highest bit first
+        if radius >> b & 1:
+            less |= equal & ~count[b]
+            equal &= count[b]
+        else:
+            equal &= ~count[b]
+    out[live] = less | equal
     return out
 
 
@@ -175,9 +185,13 @@ def links_in_group(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _compare(radius: int):
+def _compare(radius: int, every: bool = False):
     def run(table: pa.Table) -> pa.Table:
-        """Rows of many keys: spanning links of each key's fingerprints."""
+        """Rows of many keys: spanning links of each key's fingerprints.
+
+        every: all links of keys of up to 64 fingerprints, and of larger ones spanning links at radii that widen to the
+        full one, so that each fingerprint is linked to near ones before far ones.
+        """
         fps = table.column("_fp").to_numpy().view(np.uint64)
         keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("_table", "_key", "_cell")])
         order = np.lexsort((fps, *keys[::-1]))
@@ -191,9 +205,14 @@ def _compare(radius: int):
         u, v = [fps[at[a]]], [fps[at[b]]]
         for c, m in zip(cuts[lengths > 64], lengths[lengths > 64], strict=True):
             group = fps[c : c + m]
-            a, b = links_in_group(group, radius)
-            u.append(group[a])
-            v.append(group[b])
+            for r in sorted({radius // 4, radius // 2, 3 * radius // 4, radius}) if every else (radius,):
+                a, b = links_in_group(group, r)
+                u.append(group[a])
+                v.append(group[b])
+        if every:
+            x, y = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
+            pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+            return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
         x, y = forest(np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64))
         return pa.table({"u": pa.array(x, pa.int64()), "v": pa.array(y, pa.int64())})
 
@@ -216,7 +235,28 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
             key = key.bitwiseOR(F.shiftleft(piece(*BLOCKS[k]), shift))
             shift += BLOCKS[k][1]
         keys.append(key)
+    return _meet(fps, keys, fps.count(), _compare(radius))
+
+
+def sampled_tables(n: int, radius: int, recall: float, seed: int = 11) -> list[int]:
+    """Masks of so many sampled bits that a key holds about TABLE_ROWS of n fingerprints, and so many of them that a pair at the radius agrees in one with that probability."""
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / TABLE_ROWS)), 6, 48))
+    agree = np.prod([(64 - radius - i) / (64 - i) for i in range(bits)])
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agree)))
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+
+
+def candidate_links(fps: DataFrame, radius: int, recall: float) -> DataFrame:
+    """fps: distinct, settled (_fp long). Distinct links (u, v), u > v, at `radius` or fewer differing bits, each met with probability `recall` or more; of crowded keys spanning links."""
     n = fps.count()
+    masks = sampled_tables(n, radius, recall)
+    keys = [F.col("_fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks]
+    return _meet(fps, keys, n, _compare(radius, every=True)).distinct()
+
+
+def _meet(fps: DataFrame, keys: list, n: int, compare) -> DataFrame:
+    """Links of the fingerprints that share the key of a table."""
     placed = fps.select("_fp", F.posexplode(F.array(*keys)).alias("_table", "_key"))
     hot = settle(placed.groupBy("_table", "_key").count().where(F.col("count") > CHUNK).select("_table", "_key", F.ceil(F.col("count") / CHUNK).cast("int").alias("_c")))
     # a hot key is cut into chunks; each pair of chunks is a cell of its own
@@ -224,12 +264,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     placed = placed.withColumn("_a", F.pmod(F.xxhash64("_fp"), F.col("_c")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda b: F.least(F.col("_a"), b) * F.col("_c") + F.greatest(F.col("_a"), b))
     placed = placed.select("_fp", "_table", "_key", F.explode(cell).alias("_cell"))
-    groups = max(12, -(-n * len(tables) // GROUP_ROWS))
+    groups = max(12, -(-n * len(keys) // GROUP_ROWS))
     placed = placed.withColumn("_g", F.pmod(F.xxhash64("_table", "_key", "_cell"), F.lit(groups)))
-    return placed.groupBy("_g").applyInArrow(_compare(radius), "u long, v long")
+    return placed.groupBy("_g").applyInArrow(compare, "u long, v long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3, by_row: bool = False) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id, kept.
 
     A-Z is lower-cased, words are runs of [^\\x20\\x09-\\x0D], shingles are joined by one space; a text of fewer
@@ -239,23 +279,67 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component's smallest id; rows repeating that id share the mark, and so do null ids of a component without ids. Equal fingerprints meet once, as one.
     Ids may be of any orderable type. Texts of any length are read as a whole, slice by slice. An empty table gives an
     empty result; other columns of docs are ignored, whatever their names.
-    by_row: kept marks the rows of one (id, text) of each component, of the smallest id the one of smallest hash; the
-    columns _rk1 and _rk2 of row_key are added.
     """
-    key = row_key(id_col, text_col) if by_row else []
-    rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), *key).mapInArrow(releasing(_fingerprints(shingle)), f"_id {docs.select(id_col).schema[0].dataType.simpleString()}, _fp long" + (", _rk1 long, _rk2 long" if by_row else "")))
-    first = [F.min(F.struct(F.col("_id").isNull(), "_id", "_rk1", "_rk2")).alias("_first")] if by_row else []
-    distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low"), *first))
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(releasing(_fingerprints(shingle)), f"_id {kind}, _fp long"))
+    distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low")))
     links = settle(fingerprint_links(distinct.select("_fp"), radius))  # else each task keeps two Python workers at once
     nodes = connected_components(links)
     classes = distinct.join(nodes.select(F.col("node").alias("_fp"), F.col("component").alias("_root")), "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
-    lows = classes.groupBy("_root").agg(F.min("_low").alias("_comp"), *([F.min("_first").alias("_one")] if by_row else []))
-    of_fp = classes.join(lows, "_root").select("_fp", "_comp", *(["_one"] if by_row else []))
-    out = rows.join(of_fp, "_fp")
+    lows = classes.groupBy("_root").agg(F.min("_low").alias("_comp"))
+    out = rows.join(classes.join(lows, "_root").select("_fp", "_comp"), "_fp")
     return out.select(
         F.col("_id").alias(id_col),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
         F.col("_comp").alias("component_id"),
-        ((F.col("_rk1") == F.col("_one._rk1")) & (F.col("_rk2") == F.col("_one._rk2")) if by_row else F.col("_id").eqNullSafe(F.col("_comp"))).alias("kept"),
-        *(["_rk1", "_rk2"] if by_row else []),
+        F.col("_id").eqNullSafe(F.col("_comp")).alias("kept"),
     )
+
+
+def _shingle_sets(shingle: int):
+    def run(batches):
+        for b in batches:
+            sets = []
+            for t in b.column(1).to_pylist():
+                parts = [_hashes(words, shingle) for words in word_slices(t or "", shingle)]
+                sets.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_n", "_s"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = WIDE_RADIUS, recall: float = RECALL) -> DataFrame:
+    """One row per input row: id, component (the number of its class), kept, and _rk1, _rk2 of row_key.
+
+    Two texts link when the Jaccard similarity of their sets of `shingle`-word shingles (A-Z lower-cased) is at least
+    `least`; a text of fewer words is one shingle, texts without words are alike. Candidates are texts whose SimHash
+    fingerprints (of three-word shingles) differ in at most `radius` bits; each is verified by its whole sets. The
+    search is not exact: a pair at the radius meets with probability `recall`, nearer ones more surely, and pairs of a
+    similarity just above `least` may lie beyond the radius; of groups of over 64 alike texts spanning links are
+    verified, near ones first. kept marks the rows of one (id, text) of each class, of the smallest id the one of
+    smallest hash; null ids come last. Equal texts are one node, known by a 64-bit hash. Null text counts as empty.
+    An empty table gives an empty result; other columns of docs are ignored, whatever their names.
+    """
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = in_small_batches(docs).select(F.col(id_col).alias("_id"), text.alias("_t"), *row_key(id_col, text_col), F.xxhash64(text).alias("_n"))
+    made = settle(rows.mapInArrow(releasing(_fingerprints(3)), f"_id {kind}, _fp long, _rk1 long, _rk2 long, _n long"))
+    nodes = settle(made.groupBy("_fp").agg(F.min("_n").alias("_low"), F.count_distinct("_n").alias("_k")))
+    far = candidate_links(nodes.select("_fp"), radius, recall)
+    lows = nodes.select("_fp", "_low")
+    far = far.join(lows.select(F.col("_fp").alias("u"), F.col("_low").alias("a")), "u").join(lows.select(F.col("_fp").alias("v"), F.col("_low").alias("b")), "v").select("a", "b")
+    equal = made.join(nodes.where("_k > 1").select("_fp", "_low"), "_fp").where("_n <> _low").select(F.col("_low").alias("a"), F.col("_n").alias("b")).distinct()
+    links = settle(far.unionByName(equal))
+    met = settle(links.select(F.col("a").alias("_n")).unionByName(links.select(F.col("b").alias("_n"))).distinct())
+    wanted = rows.join(broadcast_if_small(met, 16), "_n", "left_semi").groupBy("_n").agg(F.first("_t").alias("_t"))
+    sets = settle(wanted.select("_n", "_t").mapInArrow(releasing(_shingle_sets(shingle)), "_n long, _s array<long>"))
+    both = links.join(sets.select(F.col("_n").alias("a"), F.col("_s").alias("_sa")), "a").join(sets.select(F.col("_n").alias("b"), F.col("_s").alias("_sb")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("_i"), (F.size("_sa") + F.size("_sb")).alias("_z"))
+    similar = settle(shared.where((F.col("_z") == 0) | (F.col("_i") / F.nullif(F.col("_z") - F.col("_i"), F.lit(0)) >= least)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    classes = connected_components(similar)
+    named = made.join(classes.select(F.col("node").alias("_n"), F.col("component").alias("_c")), "_n", "left").withColumn("_c", F.coalesce("_c", "_n"))
+    named = settle(named)
+    first = named.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_rk1", "_rk2")).alias("_one"))
+    out = named.join(first, "_c")
+    mine = (F.col("_rk1") == F.col("_one._rk1")) & (F.col("_rk2") == F.col("_one._rk2"))
+    return out.select(F.col("_id").alias(id_col), F.col("_c").alias("component"), mine.alias("kept"), "_rk1", "_rk2")

@@ -284,3 +284,68 @@ def test_nothing_is_rejected_without_both_kinds_of_labels(spark):
     for toxic in (0, 1):
         given = spark.createDataFrame([(i, toxic) for i in range(20)], "doc_id long, toxic int")
         assert toxicity.score_toxicity(d, given).where("rejected").count() == 0
+
+
+def shingles(t, k=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(120, 300))] for _ in range(25)]
+    rows = []
+    for ws in base:
+        for edits in (0, 1, 2, 3, 6, 15, 40):
+            new = list(ws)
+            for _ in range(edits):
+                new[rng.randrange(len(new))] = f"x{rng.randint(0, 9999)}"
+            rows.append(" ".join(new))
+    rows += [base[0][0] + " short text", (base[0][0] + " short text").upper(), "", None, " \n", rows[3], "a b c d e", "a b c d e f"]
+    docs = [(i if i % 9 else None, t) for i, t in enumerate(rows, 1)]
+    d = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, _n long, component string").repartition(3)
+    sets = [shingles(t) for _, t in docs]
+    similar = lambda a, b: len(a & b) / len(a | b) >= 0.8 if a | b else True
+    low = list(range(len(docs)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(docs)):
+            for j in range(i):
+                if low[i] != low[j] and similar(sets[i], sets[j]):
+                    low[i] = low[j] = min(low[i], low[j])
+                    changed = True
+    got = simhash.near_duplicates(d, radius=14, recall=0.999999).withColumn("t", F.lit(1))
+    key = spark.createDataFrame([(*r, n) for r, n in zip(docs, low, strict=True)], "doc_id long, text string, want int")
+    from rosterlake.llm.common import row_key
+
+    pairs = {(r.want, r.component) for r in key.select("*", *row_key("doc_id", "text")).join(got.drop("doc_id"), ["_rk1", "_rk2"]).collect()}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({c for _, c in pairs}) == len(set(low))
+    assert got.where("kept").count() >= len(set(low)) and got.count() == len(docs)
+    assert simhash.near_duplicates(d.limit(0)).count() == 0
+
+
+def test_crowded_keys_link_near_fingerprints_first():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = np.uint64(rng.integers(0, 2**63))
+    fps = np.unique(np.array([base] + [base ^ np.uint64(sum(1 << int(b) for b in rng.choice(63, 5, replace=False))) for _ in range(300)], np.uint64))
+    n = len(fps)
+    table = pa.table({"_fp": pa.array(fps.view(np.int64)), "_table": pa.array([0] * n), "_key": pa.array([0] * n), "_cell": pa.array([0] * n)})
+    out = simhash._compare(12, every=True)(table)
+    assert n - 1 <= out.num_rows <= 4 * n
+    near = {int(x) for x in fps if 0 < (int(x) ^ int(base)).bit_count() <= 6}
+    linked = {x for u, v in zip(out.column(0).to_numpy().view(np.uint64), out.column(1).to_numpy().view(np.uint64), strict=True) for x in (int(u), int(v)) if int(base) in (int(u), int(v))}
+    assert len(near) > 250 and len(near & linked) > 0.8 * len(near)  # the others hang on a copy that is as near
+
+
+def test_sampled_tables_meet_pairs_as_surely_as_promised():
+    rng = np.random.default_rng(5)
+    for n in (1000, 300_000):
+        masks = np.array(simhash.sampled_tables(n, 12, 0.95), np.uint64)
+        met = 0
+        for _ in range(400):
+            flip = np.uint64(sum(1 << int(b) for b in rng.choice(64, 12, replace=False)))
+            met += bool(((masks & flip) == 0).any())
+        assert met >= 0.9 * 400

@@ -179,11 +179,12 @@ def test_simhash(docs, empty):
     assert simhash.simhash_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 3])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6, 12])
 def test_bit_sliced_links(radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 2**63, 12).astype(np.uint64)
-    fps = np.unique(np.concatenate([base ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a, b in rng.integers(0, 63, (30, 2))]))
+    flips = [sum(1 << int(b) for b in set(row.tolist())) for row in rng.integers(0, 63, (30, 2 + 2 * (radius > 3)))]
+    fps = np.unique(np.concatenate([base ^ np.uint64(f) for f in flips]))
     brute = reach(range(len(fps)), lambda a, b: int(fps[a] ^ fps[b]).bit_count() <= radius)
     for links in (simhash.links_in_group(fps, radius), simhash.links_in_runs(fps, np.zeros(len(fps), int), radius)):
         pairs = set(zip(*(x.tolist() for x in links), strict=True))
