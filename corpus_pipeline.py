@@ -56,9 +56,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, of the smallest doc_id."""
+    """Of documents alike in five-word shingles (similarity 0.8 or more, candidates by SimHash) the smallest doc_id stays."""
     keys = common.unused([*docs.columns, "kept"], "_rk1", "_rk2")
-    verdicts = simhash.simhash_dedup(docs.select("doc_id", "text"), by_row=True).select(F.col("_rk1").alias(keys[0]), F.col("_rk2").alias(keys[1]), F.col("kept").alias("_kept"))
+    verdicts = simhash.near_duplicates(docs.select("doc_id", "text")).select(F.col("_rk1").alias(keys[0]), F.col("_rk2").alias(keys[1]), F.col("kept").alias("_kept"))
     return _one_of_each(docs, common.row_key("doc_id", "text"), verdicts, keys, 64)
 
 
