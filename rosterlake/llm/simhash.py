@@ -37,8 +37,10 @@ CHUNK = 4096
 PLANES_AT_ONCE = 8
 #: Fingerprints that a key of a sampled table holds on average.
 TABLE_ROWS = 16
-#: Bits in which the fingerprints of near duplicates may differ, and how surely a pair at that distance meets.
-WIDE_RADIUS, RECALL = 12, 0.95
+#: Spanning forests without common links that are verified of each key: more of them lose fewer links between texts that others join.
+FORESTS = 3
+#: Bits in which the fingerprints of near duplicates may differ, and how surely a pair at a somewhat smaller distance meets.
+WIDE_RADIUS, SURE_RADIUS, RECALL = 12, 10, 0.95
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -185,40 +187,71 @@ def links_in_group(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _compare(radius: int, every: bool = False):
-    def run(table: pa.Table) -> pa.Table:
-        """Rows of many keys: spanning links of each key's fingerprints.
+def _linked_groups(fps: np.ndarray, keys: np.ndarray, radius: int):
+    """(left, right) index arrays of linked fingerprints of each key: all links of keys of up to 64, spanning ones of larger keys, one pair of arrays per such key."""
+    run_of = np.cumsum(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if len(fps) else np.array([], int)
+    cuts = np.flatnonzero(np.diff(run_of, prepend=0))
+    lengths = np.diff(np.r_[cuts, len(fps)])
+    small = np.repeat(lengths <= 64, lengths) if len(fps) else np.array([], bool)
+    at = np.flatnonzero(small)
+    a, b = links_in_runs(fps[at], run_of[at], radius)
+    yield at[a], at[b]
+    for c, m in zip(cuts[lengths > 64], lengths[lengths > 64], strict=True):
+        a, b = links_in_group(fps[c : c + m], radius)
+        yield c + a, c + b
+
 
-        every: all links of keys of up to 64 fingerprints, and of larger ones spanning links at radii that widen to the
-        full one, so that each fingerprint is linked to near ones before far ones.
-        """
+def _compare(radius: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Rows of many keys: spanning links of each key's fingerprints."""
         fps = table.column("_fp").to_numpy().view(np.uint64)
         keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("_table", "_key", "_cell")])
         order = np.lexsort((fps, *keys[::-1]))
         fps, keys = fps[order], keys[:, order]
-        run_of = np.cumsum(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if len(fps) else np.array([], int)
-        cuts = np.flatnonzero(np.diff(run_of, prepend=0))
-        lengths = np.diff(np.r_[cuts, len(fps)])
-        small = np.repeat(lengths <= 64, lengths) if len(fps) else np.array([], bool)
-        at = np.flatnonzero(small)
-        a, b = links_in_runs(fps[at], run_of[at], radius)
-        u, v = [fps[at[a]]], [fps[at[b]]]
-        for c, m in zip(cuts[lengths > 64], lengths[lengths > 64], strict=True):
-            group = fps[c : c + m]
-            for r in sorted({radius // 4, radius // 2, 3 * radius // 4, radius}) if every else (radius,):
-                a, b = links_in_group(group, r)
-                u.append(group[a])
-                v.append(group[b])
-        if every:
-            x, y = np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64)
-            pairs = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
-            return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+        u, v = zip(*((fps[a], fps[b]) for a, b in _linked_groups(fps, keys, radius)), strict=True)
         x, y = forest(np.concatenate(u).view(np.int64), np.concatenate(v).view(np.int64))
         return pa.table({"u": pa.array(x, pa.int64()), "v": pa.array(y, pa.int64())})
 
     return run
 
 
+def nearest_forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the links of a minimum spanning forest over nodes 0..n-1: every tree takes its shortest link out, until none is left."""
+    number = np.argsort(d, kind="stable")
+    u, v, label, kept = u[number], v[number], np.arange(n), []
+    while True:
+        a, b = label[u], label[v]
+        open_ = a != b
+        if not open_.any():
+            return np.concatenate(kept) if kept else np.zeros(0, np.int64)
+        u, v, a, b, number = u[open_], v[open_], a[open_], b[open_], number[open_]
+        first = np.full(n, len(u))
+        at = np.arange(len(u))
+        np.minimum.at(first, a, at)
+        np.minimum.at(first, b, at)
+        chosen = np.unique(first[first < len(u)])
+        kept.append(number[chosen])
+        nodes, low = forest(a[chosen], b[chosen])
+        root = np.arange(n)
+        root[nodes] = low
+        label = root[label]
+
+
+def _near_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(u, v) of the shortest links that hold each key's fingerprints together at the radius, FORESTS times over. Rows in order of their keys."""
+    parts = [p for r in sorted({radius // 4, radius // 2, 3 * radius // 4, radius}) for p in _linked_groups(fps, keys, r)]
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    d, rest, picked = np.bitwise_count(fps[a] ^ fps[b]), np.arange(len(a)), []
+    for _ in range(FORESTS):
+        pick = rest[nearest_forest(a[rest], b[rest], d[rest], len(fps))]
+        picked.append(pick)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        rest = rest[~np.isin(low[rest] * len(fps) + high[rest], low[pick] * len(fps) + high[pick])]
+    pick = np.concatenate(picked)
+    u, v = fps[a[pick]].view(np.int64), fps[b[pick]].view(np.int64)
+    return np.maximum(u, v), np.minimum(u, v)
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """fps: distinct, settled (_fp long). Spanning links (u, v) of the graph of all pairs at `radius` or fewer differing bits."""
     if not 0 <= radius <= 3:
@@ -235,7 +268,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
             key = key.bitwiseOR(F.shiftleft(piece(*BLOCKS[k]), shift))
             shift += BLOCKS[k][1]
         keys.append(key)
-    return _meet(fps, keys, fps.count(), _compare(radius))
+    n = fps.count()
+    placed = fps.select("_fp", F.posexplode(F.array(*keys)).alias("_table", "_key"))
+    hot = settle(placed.groupBy("_table", "_key").count().where(F.col("count") > CHUNK).select("_table", "_key", F.ceil(F.col("count") / CHUNK).cast("int").alias("_c")))
+    # a hot key is cut into chunks; each pair of chunks is a cell of its own
+    placed = placed.join(hot, ["_table", "_key"], "left").withColumn("_c", F.coalesce("_c", F.lit(1)))
+    return _in_cells(placed, F.lit(max(12, -(-n * len(tables) // GROUP_ROWS)))).applyInArrow(_compare(radius), "u long, v long")
 
 
 def sampled_tables(n: int, radius: int, recall: float, seed: int = 11) -> list[int]:
@@ -247,26 +285,85 @@ def sampled_tables(n: int, radius: int, recall: float, seed: int = 11) -> list[i
     return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
 
 
-def candidate_links(fps: DataFrame, radius: int, recall: float) -> DataFrame:
-    """fps: distinct, settled (_fp long). Distinct links (u, v), u > v, at `radius` or fewer differing bits, each met with probability `recall` or more; of crowded keys spanning links."""
-    n = fps.count()
-    masks = sampled_tables(n, radius, recall)
-    keys = [F.col("_fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks]
-    return _meet(fps, keys, n, _compare(radius, every=True)).distinct()
+def _deal(masks: list[int], groups: int):
+    def run(batches):
+        """Fingerprints with their tables, packed by a group of their keys."""
+        for b in batches:
+            fps = b.column(0).to_numpy().view(np.uint64)
+            if not len(fps):
+                continue
+            table = np.repeat(np.arange(len(masks), dtype=np.uint16), len(fps))
+            every = np.tile(fps, len(masks))
+            h = (every & np.repeat(np.array(masks, np.uint64), len(fps))) + table * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            g = ((h ^ (h >> np.uint64(32))) % np.uint64(groups)).astype(np.int32)
+            order = np.lexsort((table, g))
+            g, table, every = g[order], table[order], every[order]
+            cuts = np.flatnonzero(np.diff(g, prepend=-1)).tolist()
+            ends = [*cuts[1:], len(g)]
+            yield pa.RecordBatch.from_arrays([pa.array(g[cuts]), *(pa.array([x[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()) for x in (table, every))], ["_g", "_tables", "_fps"])
 
+    return run
 
-def _meet(fps: DataFrame, keys: list, n: int, compare) -> DataFrame:
-    """Links of the fingerprints that share the key of a table."""
-    placed = fps.select("_fp", F.posexplode(F.array(*keys)).alias("_table", "_key"))
-    hot = settle(placed.groupBy("_table", "_key").count().where(F.col("count") > CHUNK).select("_table", "_key", F.ceil(F.col("count") / CHUNK).cast("int").alias("_c")))
-    # a hot key is cut into chunks; each pair of chunks is a cell of its own
-    placed = placed.join(hot, ["_table", "_key"], "left").withColumn("_c", F.coalesce("_c", F.lit(1)))
+
+def _compare_dealt(masks: list[int], radius: int, chunk: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links of a group's keys; a key of over `chunk` fingerprints comes out as its table, itself and its number instead."""
+        of = np.frombuffer(b"".join(table.column("_tables").to_pylist()), np.uint16)
+        fps = np.frombuffer(b"".join(table.column("_fps").to_pylist()), np.uint64)
+        key = fps & np.array(masks, np.uint64)[of]
+        order = np.lexsort((fps, key, of))
+        of, fps, key = of[order], fps[order], key[order]
+        start = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (key[1:] != key[:-1])])
+        size = np.diff(np.r_[start, len(fps)])
+        hot = size > chunk
+        mine = np.repeat(~hot, size)
+        u, v = _near_links(fps[mine], np.stack([of[mine].astype(np.int64), key[mine].view(np.int64)]), radius)
+        none = lambda kind: pa.nulls(len(u), kind)
+        links = pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "_table": none(pa.int32()), "_key": none(pa.int64()), "_c": none(pa.int32())})
+        at = start[hot]
+        rest = pa.table({"u": pa.nulls(len(at), pa.int64()), "v": pa.nulls(len(at), pa.int64()), "_table": pa.array(of[at].astype(np.int32)), "_key": pa.array(key[at].view(np.int64)), "_c": pa.array(-(-size[hot] // chunk), pa.int32())})
+        return pa.concat_tables([links, rest])
+
+    return run
+
+
+def _compare_cells(radius: int):
+    def run(table: pa.Table) -> pa.Table:
+        fps = table.column("_fp").to_numpy().view(np.uint64)
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("_table", "_key", "_cell")])
+        order = np.lexsort((fps, *keys[::-1]))
+        u, v = _near_links(fps[order], keys[:, order], radius)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def candidate_links(fps: DataFrame, radius: int, sure: int, recall: float) -> DataFrame:
+    """fps: distinct, settled (_fp long). Distinct links (u, v), u > v, at `radius` or fewer differing bits: of each key of sampled bits those of FORESTS spanning forests, the shortest first.
+
+    A pair at `sure` bits shares a key with probability `recall`. Fingerprints are dealt packed, tens of tables in one
+    pass; only keys of over CHUNK of them are dealt again, chunk by chunk.
+    """
+    n = fps.count()
+    masks = sampled_tables(n, sure, recall)
+    groups = max(12, -(-n * len(masks) // GROUP_ROWS))
+    dealt = fps.select("_fp").mapInArrow(releasing(_deal(masks, groups)), "_g int, _tables binary, _fps binary")
+    found = settle(dealt.groupBy("_g").applyInArrow(_compare_dealt(masks, radius, CHUNK), "u long, v long, _table int, _key long, _c int"))
+    links, hot = found.where("u IS NOT NULL").select("u", "v"), found.where("u IS NULL").select("_table", "_key", "_c")
+    if not hot.isEmpty():
+        keys = [F.col("_fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks]
+        placed = fps.select("_fp", F.posexplode(F.array(*keys)).alias("_table", "_key")).join(broadcast_if_small(hot, 32), ["_table", "_key"])
+        links = links.unionByName(_in_cells(placed, F.lit(groups)).applyInArrow(_compare_cells(radius), "u long, v long"))
+    return links.distinct()
+
+
+def _in_cells(placed: DataFrame, groups):
+    """Rows of keys of _c chunks, each pair of chunks a cell of its own, grouped for comparison."""
     placed = placed.withColumn("_a", F.pmod(F.xxhash64("_fp"), F.col("_c")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda b: F.least(F.col("_a"), b) * F.col("_c") + F.greatest(F.col("_a"), b))
     placed = placed.select("_fp", "_table", "_key", F.explode(cell).alias("_cell"))
-    groups = max(12, -(-n * len(keys) // GROUP_ROWS))
-    placed = placed.withColumn("_g", F.pmod(F.xxhash64("_table", "_key", "_cell"), F.lit(groups)))
-    return placed.groupBy("_g").applyInArrow(compare, "u long, v long")
+    return placed.withColumn("_g", F.pmod(F.xxhash64("_table", "_key", "_cell"), groups)).groupBy("_g")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, shingle: int = 3) -> DataFrame:
@@ -308,15 +405,15 @@ def _shingle_sets(shingle: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = WIDE_RADIUS, recall: float = RECALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = WIDE_RADIUS, sure: int = SURE_RADIUS, recall: float = RECALL) -> DataFrame:
     """One row per input row: id, component (the number of its class), kept, and _rk1, _rk2 of row_key.
 
     Two texts link when the Jaccard similarity of their sets of `shingle`-word shingles (A-Z lower-cased) is at least
     `least`; a text of fewer words is one shingle, texts without words are alike. Candidates are texts whose SimHash
     fingerprints (of three-word shingles) differ in at most `radius` bits; each is verified by its whole sets. The
-    search is not exact: a pair at the radius meets with probability `recall`, nearer ones more surely, and pairs of a
-    similarity just above `least` may lie beyond the radius; of groups of over 64 alike texts spanning links are
-    verified, near ones first. kept marks the rows of one (id, text) of each class, of the smallest id the one of
+    search is not exact: a pair at `sure` bits meets with probability `recall`, nearer ones more surely, and pairs of a
+    similarity just above `least` may lie beyond the radius; of texts that meet, those links are verified that hold
+    them together by the shortest distances, three times over. kept marks the rows of one (id, text) of each class, of the smallest id the one of
     smallest hash; null ids come last. Equal texts are one node, known by a 64-bit hash. Null text counts as empty.
     An empty table gives an empty result; other columns of docs are ignored, whatever their names.
     """
@@ -325,7 +422,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = in_small_batches(docs).select(F.col(id_col).alias("_id"), text.alias("_t"), *row_key(id_col, text_col), F.xxhash64(text).alias("_n"))
     made = settle(rows.mapInArrow(releasing(_fingerprints(3)), f"_id {kind}, _fp long, _rk1 long, _rk2 long, _n long"))
     nodes = settle(made.groupBy("_fp").agg(F.min("_n").alias("_low"), F.count_distinct("_n").alias("_k")))
-    far = candidate_links(nodes.select("_fp"), radius, recall)
+    far = candidate_links(nodes.select("_fp"), radius, sure, recall)
     lows = nodes.select("_fp", "_low")
     far = far.join(lows.select(F.col("_fp").alias("u"), F.col("_low").alias("a")), "u").join(lows.select(F.col("_fp").alias("v"), F.col("_low").alias("b")), "v").select("a", "b")
     equal = made.join(nodes.where("_k > 1").select("_fp", "_low"), "_fp").where("_n <> _low").select(F.col("_low").alias("a"), F.col("_n").alias("b")).distinct()

@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+from rosterlake.llm.components import connected_components
 from rosterlake.llm import bpe, embed_dedup, exact_dedup, license_scan, line_dedup, packing, pii, queries, simhash, suffix_dedup, toxicity
 
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
@@ -315,7 +316,7 @@ def test_near_duplicates_equal_brute_force(spark):
                 if low[i] != low[j] and similar(sets[i], sets[j]):
                     low[i] = low[j] = min(low[i], low[j])
                     changed = True
-    got = simhash.near_duplicates(d, radius=14, recall=0.999999).withColumn("t", F.lit(1))
+    got = simhash.near_duplicates(d, radius=14, sure=14, recall=0.999999).withColumn("t", F.lit(1))
     key = spark.createDataFrame([(*r, n) for r, n in zip(docs, low, strict=True)], "doc_id long, text string, want int")
     from rosterlake.llm.common import row_key
 
@@ -326,16 +327,14 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_crowded_keys_link_near_fingerprints_first():
-    import pyarrow as pa
-
     rng = np.random.default_rng(2)
     base = np.uint64(rng.integers(0, 2**63))
     fps = np.unique(np.array([base] + [base ^ np.uint64(sum(1 << int(b) for b in rng.choice(63, 5, replace=False))) for _ in range(300)], np.uint64))
-    n = len(fps)
-    table = pa.table({"_fp": pa.array(fps.view(np.int64)), "_table": pa.array([0] * n), "_key": pa.array([0] * n), "_cell": pa.array([0] * n)})
-    out = simhash._compare(12, every=True)(table)
-    assert n - 1 <= out.num_rows <= 4 * n
-    u, v = (out.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+    for keys in (np.zeros((2, len(fps)), np.int64), np.arange(len(fps))[None] // 50):
+        pairs = simhash._near_links(fps, keys, 12)
+        assert len(pairs[0]) <= 3 * (len(fps) - 1)
+    pairs = simhash._near_links(fps, np.zeros((2, len(fps)), np.int64), 12)
+    u, v = (x.view(np.uint64) for x in pairs)
     close = [(int(a), int(b)) for a, b in zip(u, v, strict=True) if (int(a) ^ int(b)).bit_count() <= 6]
     low = {int(x): int(x) for x in fps}  # the links of half the radius alone hold the group together
 
@@ -358,3 +357,37 @@ def test_sampled_tables_meet_pairs_as_surely_as_promised():
             flip = np.uint64(sum(1 << int(b) for b in rng.choice(64, 12, replace=False)))
             met += bool(((masks & flip) == 0).any())
         assert met >= 0.9 * 400
+
+
+def test_nearest_forest_is_a_minimum_spanning_forest():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n = 25
+        u, v = rng.integers(0, n, 60), rng.integers(0, n, 60)
+        d = rng.integers(0, 9, 60)
+        u, v, d = u[u != v], v[u != v], d[u != v]
+        root, want = list(range(n)), 0
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in np.argsort(d, kind="stable"):  # Kruskal
+            a, b = find(u[i]), find(v[i])
+            if a != b:
+                root[a], want = b, want + d[i]
+        got = simhash.nearest_forest(u, v, d, n)
+        assert d[got].sum() == want and len(got) == n - len({find(x) for x in range(n)})
+
+
+def test_hot_keys_are_dealt_again(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**62, 3).astype(np.uint64)
+    fps = sorted({int(b) ^ sum(1 << int(x) for x in rng.choice(62, 3, replace=False)) for b in base for _ in range(60)})
+    d = spark.createDataFrame([(x,) for x in fps], "_fp long").repartition(3)
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    edges = [tuple(r) for r in simhash.candidate_links(d, 6, 6, 0.9999).collect()]
+    assert all((a ^ b).bit_count() <= 6 for a, b in edges)
+    classes = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert len(classes) == len(fps) and len(set(classes.values())) == 3
