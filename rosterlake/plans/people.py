@@ -246,20 +246,20 @@ def win_latest(spark, sf_dir):
 
 # ---- governance
 
-GRANTS = "SELECT n_name AS engineer, concat('partner_', CAST(n_nationkey % 6 AS STRING)) AS partner_id, CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '2030-01-01 00:00:00' ELSE TIMESTAMP '2020-01-01 00:00:00' END AS granted_until FROM nation"
+GRANTS = "SELECT concat('e', CAST(n_nationkey % 4 AS STRING)) AS engineer, concat('partner_', CAST(n_nationkey % 6 AS STRING)) AS partner_id, CASE WHEN n_nationkey % 2 = 0 THEN TIMESTAMP '2030-01-01 00:00:00' ELSE TIMESTAMP '2020-01-01 00:00:00' END AS granted_until FROM nation"
 
 
 def grants(spark, sf_dir):
     return spark.sql(GRANTS.replace("FROM nation", "FROM {nation}"), nation=table(spark, sf_dir, "nation"))
 
 
-_GRANTED = f"{D.GOLD}, grants AS ({GRANTS}) SELECT golden_record_id, primary_partner_id FROM gold WHERE primary_partner_id IN (SELECT partner_id FROM grants WHERE engineer = 'BRAZIL' AND granted_until > TIMESTAMP '{BUILT_AT}')"
+_GRANTED = f"{D.GOLD}, grants AS ({GRANTS}) SELECT golden_record_id, primary_partner_id FROM gold WHERE primary_partner_id IN (SELECT partner_id FROM grants WHERE engineer = 'e2' AND granted_until > TIMESTAMP '{BUILT_AT}')"
 
 
 @query(_GRANTED)
 def row_access(spark, sf_dir):
     """Golden records of the partners that an engineer holds unexpired grants for (semi_grants)."""
-    return govern.row_access(gold(spark, sf_dir), grants(spark, sf_dir), "BRAZIL", "ENGINEER", BUILT_AT).select("golden_record_id", "primary_partner_id")
+    return govern.row_access(gold(spark, sf_dir), grants(spark, sf_dir), "e2", "ENGINEER", BUILT_AT).select("golden_record_id", "primary_partner_id")
 
 
 @query(f"{D.GOLD} SELECT golden_record_id, 'ENGINEER' AS role, make_date(year(dob), 1, 1) AS dob, CAST(NULL AS VARCHAR) AS ssn_token, CAST(NULL AS VARCHAR) AS phone_token, address_line_1_token FROM (SELECT *, {D.TOKENS['address_line_1_token']} AS address_line_1_token FROM (SELECT *, primary_partner_id AS partner_id FROM gold) x) y UNION ALL SELECT golden_record_id, 'PII_ELEVATED', dob, {D.TOKENS['ssn_token']}, {D.TOKENS['phone_token']}, {D.TOKENS['address_line_1_token']} FROM (SELECT *, primary_partner_id AS partner_id FROM gold) x")
