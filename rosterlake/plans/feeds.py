@@ -70,6 +70,33 @@ def scan_fixed_width(spark, sf_dir):
     return files.scan_fixed_width(spark, path, [("member", 1, 12), ("name", 13, 20), ("segment", 33, 10)])
 
 
+@query("SELECT n_nationkey, n_name, CAST(DATE '2024-01-01' + n_nationkey AS DATE) AS since FROM nation")
+def seed_load(spark, sf_dir):
+    """A JSON array of records, read with their types."""
+    path = f"{scratch(spark, 'seed')}/records.json"
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.date_add(F.to_date(F.lit("2024-01-01")), F.col("n_nationkey")).alias("since"))  # 25 rows
+    rows.groupBy().agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "since"))).alias("value")).coalesce(1).write.text(path)
+    return files.seed_load(spark, path, "n_nationkey int, n_name string, since date")
+
+
+_NAMES = {"a.csv": True, "b.TSV": True, "c.json": True, "d.jsonl": True, "e.ndjson": True, "f.edi": False, "g.txt": False, "h.xlsx": False, "noextension": False}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', {r})" for n, r in _NAMES.items()) + ") x(file, sampled)")
+def scan_unsupported(spark, sf_dir):
+    """Which files the sample reader takes; the others are errors."""
+    folder = scratch(spark, "samples")
+    rows = []
+    for name in _NAMES:
+        try:
+            if name.rsplit(".", 1)[-1].lower() in ("csv", "tsv", "json", "jsonl", "ndjson"):
+                table(spark, sf_dir, "region").limit(1).select(F.lit('{"a": 1}').alias("value")).coalesce(1).write.text(f"{folder}/{name}")
+            rows.append((name, files.load_sample(spark, f"{folder}/{name}").count() >= 0))
+        except files.UnsupportedFormat:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "file string, sampled boolean")
+
+
 _EDI = "CASE WHEN k % 4 = 1 THEN NULL ELSE lpad(CAST(k AS VARCHAR), 9, '1') END"
 
 
@@ -253,6 +280,23 @@ def agg_risk(spark, sf_dir):
     return infer.risk(_sniffed(spark, sf_dir), ["tab"])
 
 
+_INFERRED = (
+    ("EmployeeID", "partner_member_id", 0.92, "TIER_4_NONE"), ("FirstName", "first_name", 0.92, "TIER_1_DIRECT"), ("LastName", "last_name", 0.92, "TIER_1_DIRECT"), ("DOB", "dob", 0.92, "TIER_1_DIRECT"), ("SSN", "ssn", 0.92, "TIER_1_DIRECT"),
+    ("Email", "email", 0.92, "TIER_1_DIRECT"), ("PostalCode", "zip", 0.92, "TIER_2_QUASI"), ("State", "state", 0.92, "TIER_2_QUASI"), ("EligStartDate", "effective_start_date", 0.92, "TIER_3_SENSITIVE"), ("EligEndDate", "effective_end_date", 0.92, "TIER_3_SENSITIVE"),
+    ("PlanCode", "plan_code", 0.92, "TIER_3_SENSITIVE"), ("Unmapped", "ignore", 0.4, "TIER_4_NONE"),
+)
+
+
+@query("SELECT source_column, canonical_field, CAST(confidence AS DOUBLE) AS confidence, pii_tier, 'MEDIUM' AS risk, 'EligStartDate' AS partition_column, TRUE AS in_yaml FROM (VALUES " + ", ".join(map(str, _INFERRED)) + ") x(source_column, canonical_field, confidence, pii_tier)")
+def infer_schema(spark, sf_dir):
+    """The draft contract of a landed file (infer_modes, suggest_partition, contract_yaml, limit_sniff, limit_prompt)."""
+    path = csv_roster(spark, sf_dir, True)
+    got = infer.infer_schema("roster.csv", files.load_sample(spark, path), BUILT_AT)
+    text = got.to_yaml()
+    rows = [(c.source_column, c.canonical_field, c.confidence, c.pii_tier, got.overall_quality_risk, got.suggested_partition_column, f'source_column: "{c.source_column}"' in text) for c in got.columns]
+    return spark.createDataFrame(rows, "source_column string, canonical_field string, confidence double, pii_tier string, risk string, partition_column string, in_yaml boolean")
+
+
 # ---- change feeds: operations from event types, rows from users
 
 _MAPPING = {"emp": "partner_member_id", "given": "first_name", "family": "last_name", "born": "dob", "social": "ssn", "mail": "email", "post": "zip", "region": "state", "junk": "ignore"}

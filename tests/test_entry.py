@@ -6,7 +6,7 @@ EXPECTED = (
     "block_join knn_topk knn_index contract_lookup trigram_lookup prior_run_diff agg_hard_dupes agg_soft_dupes agg_last_seen agg_filter_counts agg_quarantine_rate agg_dup_count agg_review_backlog agg_one_golden agg_zero_active "
     "agg_risk agg_metrics failed_rows dbt_tests contract_thresholds layer_gates agg_quantile agg_scorecard agg_row_change agg_audit_volume win_latest win_refresh sample_stratified union_signals normalize_fields record_ids "
     "ssn_valid parse_llm_json embed_local tokenize detokenize policy_match audit cdc_process header_classify value_sniff adjudicate_local resolve cleansing_rules field_standards schema_drift silver_member format_anomalies "
-    "merge_upsert gold_build verify request_validation outbox_diff retention_delete k_anonymity stream_latest stream_dedupe"
+    "infer_schema seed_load scan_unsupported merge_upsert gold_build verify request_validation outbox_diff retention_delete k_anonymity stream_latest stream_dedupe"
 )
 
 
