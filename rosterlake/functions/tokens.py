@@ -28,8 +28,9 @@ def base32(hex_digits: Column, n: int) -> Column:
 
 def tokenize(key: bytes, partner: Column, field: str, value: Column) -> Column:
     """tok_ and 26 letters; null or empty values stay null."""
-    digest = hmac_sha256_hex(key, F.concat_ws("|", partner, F.lit(field), value))
-    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit("tok_"), base32(F.substring(digest, 1, 32), 26)))
+    # nulls run through instead of a CASE, inside which common parts would be computed again for each use
+    digest = hmac_sha256_hex(key, F.concat(F.coalesce(partner, F.lit("")), F.lit(f"|{field}|"), F.nullif(value, F.lit(""))))
+    return F.concat(F.lit("tok_"), base32(F.substring(digest, 1, 32), 26))
 
 
 def cross_reference(key: bytes, field: str, value: Column) -> Column:
