@@ -37,8 +37,10 @@ CHUNK = 4096
 PLANES_AT_ONCE = 8
 #: Fingerprints that a key of a sampled table holds on average.
 TABLE_ROWS = 16
-#: Spanning forests without common links that are verified of each key: more of them lose fewer links between texts that others join.
+#: Spanning forests without common links that are verified of each key first; links that still span two classes follow.
 FORESTS = 3
+#: Bits of the parity sketch of a shingle set: bit i is set if an odd number of hashes fall on it.
+ODD_BITS = 256
 #: Bits in which the fingerprints of near duplicates may differ, and how surely a pair at a somewhat smaller distance meets.
 WIDE_RADIUS, SURE_RADIUS, RECALL = 12, 10, 0.95
 
@@ -237,8 +239,8 @@ def nearest_forest(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> np.nd
         label = root[label]
 
 
-def _near_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(u, v) of the shortest links that hold each key's fingerprints together at the radius, FORESTS times over. Rows in order of their keys."""
+def _near_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v) of the shortest links that hold each key's fingerprints together at the radius, FORESTS times over, and a row of each key that may have further links. Rows in order of their keys."""
     parts = [p for r in sorted({radius // 4, radius // 2, 3 * radius // 4, radius}) for p in _linked_groups(fps, keys, r)]
     a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
     d, rest, picked = np.bitwise_count(fps[a] ^ fps[b]), np.arange(len(a)), []
@@ -249,7 +251,13 @@ def _near_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndar
         rest = rest[~np.isin(low[rest] * len(fps) + high[rest], low[pick] * len(fps) + high[pick])]
     pick = np.concatenate(picked)
     u, v = fps[a[pick]].view(np.int64), fps[b[pick]].view(np.int64)
-    return np.maximum(u, v), np.minimum(u, v)
+    first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]) if len(fps) else np.zeros(0, np.int64)
+    run = np.searchsorted(first, a, side="right") - 1
+    large = np.diff(np.r_[first, len(fps)]) > 64  # of these _linked_groups gives spanning links only
+    more = np.zeros(len(first), bool)
+    more[run[rest]] = True
+    more[run[large[run]]] = True
+    return np.maximum(u, v), np.minimum(u, v), first[more]
 
 
 def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
@@ -308,7 +316,7 @@ def _deal(masks: list[int], groups: int):
 
 def _compare_dealt(masks: list[int], radius: int, chunk: int):
     def run(table: pa.Table) -> pa.Table:
-        """Links of a group's keys; a key of over `chunk` fingerprints comes out as its table, itself and its number instead."""
+        """Links of a group's keys. Keys with further links come out as table, key and number of chunks; of those of over `chunk` fingerprints nothing else does."""
         of = np.frombuffer(b"".join(table.column("_tables").to_pylist()), np.uint16)
         fps = np.frombuffer(b"".join(table.column("_fps").to_pylist()), np.uint64)
         key = fps & np.array(masks, np.uint64)[of]
@@ -318,11 +326,12 @@ def _compare_dealt(masks: list[int], radius: int, chunk: int):
         size = np.diff(np.r_[start, len(fps)])
         hot = size > chunk
         mine = np.repeat(~hot, size)
-        u, v = _near_links(fps[mine], np.stack([of[mine].astype(np.int64), key[mine].view(np.int64)]), radius)
+        u, v, more = _near_links(fps[mine], np.stack([of[mine].astype(np.int64), key[mine].view(np.int64)]), radius)
         none = lambda kind: pa.nulls(len(u), kind)
         links = pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "_table": none(pa.int32()), "_key": none(pa.int64()), "_c": none(pa.int32())})
-        at = start[hot]
-        rest = pa.table({"u": pa.nulls(len(at), pa.int64()), "v": pa.nulls(len(at), pa.int64()), "_table": pa.array(of[at].astype(np.int32)), "_key": pa.array(key[at].view(np.int64)), "_c": pa.array(-(-size[hot] // chunk), pa.int32())})
+        at = np.r_[start[hot], np.flatnonzero(mine)[more]]
+        chunks = np.r_[-(-size[hot] // chunk), np.ones(len(more), np.int64)]
+        rest = pa.table({"u": pa.nulls(len(at), pa.int64()), "v": pa.nulls(len(at), pa.int64()), "_table": pa.array(of[at].astype(np.int32)), "_key": pa.array(key[at].view(np.int64)), "_c": pa.array(chunks, pa.int32())})
         return pa.concat_tables([links, rest])
 
     return run
@@ -333,36 +342,110 @@ def _compare_cells(radius: int):
         fps = table.column("_fp").to_numpy().view(np.uint64)
         keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("_table", "_key", "_cell")])
         order = np.lexsort((fps, *keys[::-1]))
-        u, v = _near_links(fps[order], keys[:, order], radius)
+        u, v, _ = _near_links(fps[order], keys[:, order], radius)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def candidate_links(fps: DataFrame, radius: int, sure: int, recall: float) -> DataFrame:
+def _compare_classes(radius: int, least: float):
+    def run(table: pa.Table) -> pa.Table:
+        """All pairs of a key's texts of different classes within the radius whose sketches allow the similarity.
+
+        Of two sets at the similarity at most (1 - least) / (1 + least) of their sizes' sum lies in one alone, and each
+        bit in which the parity sketches differ stands for one such hash or more: no pair at it is left out.
+        """
+        columns = {c: table.column(c).to_numpy() for c in ("_table", "_key", "_cell", "_fp", "_n", "_label", "_size")}
+        order = np.lexsort([columns[c] for c in ("_fp", "_cell", "_key", "_table")])
+        fps, ids, label, size = (columns[c][order] for c in ("_fp", "_n", "_label", "_size"))
+        fps = fps.view(np.uint64)
+        odd = np.frombuffer(b"".join(table.column("_odd").to_pylist()), np.uint64).reshape(len(fps), -1)[order]
+        keys = np.stack([columns[c][order].astype(np.int64) for c in ("_table", "_key", "_cell")])
+        first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        lengths = np.diff(np.r_[first, len(fps)])
+        run_of = np.repeat(np.arange(len(first)), lengths)
+        found = []
+
+        def keep(a, b):
+            a, b = a[label[a] != label[b]], b[label[a] != label[b]]
+            both = size[a] + size[b]
+            apart = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+            fits = (apart <= both * (1 - least) / (1 + least) + 1e-6) & (np.minimum(size[a], size[b]) >= np.maximum(size[a], size[b]) * least - 1e-6)
+            found.append((np.maximum(ids[a[fits]], ids[b[fits]]), np.minimum(ids[a[fits]], ids[b[fits]])))
+
+        at = np.flatnonzero(np.repeat(lengths <= 64, lengths))
+        a, b = links_in_runs(fps[at], run_of[at], radius)
+        keep(at[a], at[b])
+        ones = ~np.uint64(0)
+        for c, m in zip(first[lengths > 64], lengths[lengths > 64], strict=True):
+            planes = bit_planes(fps[c : c + m])
+            bits = ((fps[c : c + m, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(bool)
+            for i in range(m - 1):
+                flip = np.where(bits[i], ones, np.uint64(0))[:, None]
+                hit = np.flatnonzero(_unpack(within(lambda p, w, f=flip, all_=planes: all_[p][:, w] ^ f[p], planes.shape[1], radius), m)[i + 1 :]) + c + i + 1
+                keep(np.full(len(hit), c + i), hit)
+        u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}).group_by(["u", "v"]).aggregate([])
+
+    return run
+
+
+def _keys_of(fp: str, masks: list[int]):
+    return F.array(*(F.col(fp).bitwiseAND(_as_long(m)) for m in masks))
+
+
+def _as_long(m: int):
+    return F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+
+
+def candidate_links(fps: DataFrame, radius: int, sure: int, recall: float) -> tuple[DataFrame, DataFrame, list[int]]:
     """fps: distinct, settled (_fp long). Distinct links (u, v), u > v, at `radius` or fewer differing bits: of each key of sampled bits those of FORESTS spanning forests, the shortest first.
 
     A pair at `sure` bits shares a key with probability `recall`. Fingerprints are dealt packed, tens of tables in one
-    pass; only keys of over CHUNK of them are dealt again, chunk by chunk.
+    pass; only keys of over CHUNK of them are dealt again, chunk by chunk. Also the keys that may have further links
+    (_table, _key and _c, their number of chunks), and the masks of the tables.
     """
     n = fps.count()
     masks = sampled_tables(n, sure, recall)
     groups = max(12, -(-n * len(masks) // GROUP_ROWS))
     dealt = fps.select("_fp").mapInArrow(releasing(_deal(masks, groups)), "_g int, _tables binary, _fps binary")
     found = settle(dealt.groupBy("_g").applyInArrow(_compare_dealt(masks, radius, CHUNK), "u long, v long, _table int, _key long, _c int"))
-    links, hot = found.where("u IS NOT NULL").select("u", "v"), found.where("u IS NULL").select("_table", "_key", "_c")
+    links, more = found.where("u IS NOT NULL").select("u", "v"), found.where("u IS NULL").select("_table", "_key", "_c")
+    hot = more.where("_c > 1")
     if not hot.isEmpty():
-        keys = [F.col("_fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")) for m in masks]
-        placed = fps.select("_fp", F.posexplode(F.array(*keys)).alias("_table", "_key")).join(broadcast_if_small(hot, 32), ["_table", "_key"])
+        placed = fps.select("_fp", F.posexplode(_keys_of("_fp", masks)).alias("_table", "_key")).join(broadcast_if_small(hot, 32), ["_table", "_key"])
         links = links.unionByName(_in_cells(placed, F.lit(groups)).applyInArrow(_compare_cells(radius), "u long, v long"))
-    return links.distinct()
+    return links.distinct(), more, masks
 
 
-def _in_cells(placed: DataFrame, groups):
+def remaining_links(links: DataFrame, more: DataFrame, masks: list[int], texts: DataFrame, radius: int, least: float) -> DataFrame:
+    """Pairs (u, v) of texts of different classes that meet in a table within the radius, less those that can't be at `least`.
+
+    links: verified links (a, b) of texts by number. more: keys that may have further ones. texts: settled (_n, _fp,
+    _many: the fingerprint has several texts, _label: class by the verified links, _size, _odd). A key whose links all
+    lie within classes has nothing left to find: its forests span it. So only keys with a link between two classes are
+    dealt again.
+    """
+    side = lambda c: texts.select(F.col("_n").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("_fp", "_many", "_label")))
+    cross = links.join(side("a"), "a").join(side("b"), "b").where("_label_a <> _label_b")
+    cross = cross.select(F.col("_fp_a").alias("_fp"), F.col("_fp_a").bitwiseXOR(F.col("_fp_b")).alias("_diff"), (F.col("_many_a") | F.col("_many_b")).alias("_many"))
+    tables = F.array(*(F.struct(F.lit(t).alias("t"), _as_long(m).alias("m")) for t, m in enumerate(masks)))
+    met = cross.select("_fp", "_diff", "_many", F.explode(tables).alias("_tm")).where(F.col("_diff").bitwiseAND(F.col("_tm.m")) == 0)
+    met = met.select(F.col("_tm.t").alias("_table"), F.col("_fp").bitwiseAND(F.col("_tm.m")).alias("_key"), "_many").groupBy("_table", "_key").agg(F.max("_many").alias("_many"))
+    keys = settle(met.join(more.withColumnRenamed("_c", "_chunks"), ["_table", "_key"], "left").where("_many OR _chunks IS NOT NULL").select("_table", "_key"))
+    placed = texts.select("_n", "_fp", F.posexplode(_keys_of("_fp", masks)).alias("_table", "_key")).join(broadcast_if_small(keys, 32), ["_table", "_key"])
+    placed = settle(placed)
+    counted = placed.groupBy("_table", "_key").count().select("_table", "_key", F.ceil(F.col("count") / CHUNK).cast("int").alias("_c"))
+    placed = placed.join(counted, ["_table", "_key"]).join(texts.select("_n", "_label", "_size", "_odd"), "_n")
+    groups = max(12, -(-placed.count() // GROUP_ROWS))
+    return _in_cells(placed, F.lit(groups), "_n", "_label", "_size", "_odd").applyInArrow(_compare_classes(radius, least), "u long, v long").distinct()
+
+
+def _in_cells(placed: DataFrame, groups, *more: str):
     """Rows of keys of _c chunks, each pair of chunks a cell of its own, grouped for comparison."""
-    placed = placed.withColumn("_a", F.pmod(F.xxhash64("_fp"), F.col("_c")).cast("int"))
+    placed = placed.withColumn("_a", F.pmod(F.xxhash64(more[0] if more else "_fp"), F.col("_c")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda b: F.least(F.col("_a"), b) * F.col("_c") + F.greatest(F.col("_a"), b))
-    placed = placed.select("_fp", "_table", "_key", F.explode(cell).alias("_cell"))
+    placed = placed.select("_fp", *more, "_table", "_key", F.explode(cell).alias("_cell"))
     return placed.withColumn("_g", F.pmod(F.xxhash64("_table", "_key", "_cell"), groups)).groupBy("_g")
 
 
@@ -400,11 +483,19 @@ def _shingle_sets(shingle: int):
             for t in b.column(1).to_pylist():
                 parts = [_hashes(words, shingle) for words in word_slices(t or "", shingle)]
                 sets.append(np.unique(np.concatenate(parts)).view(np.int64) if parts else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["_n", "_s"])
+            odd = [np.packbits(np.bincount(s & (ODD_BITS - 1), minlength=ODD_BITS) & 1).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(odd, pa.binary())], ["_n", "_s", "_odd"])
 
     return run
 
 
+def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links (a, b) whose sets have at least that Jaccard similarity, as (u, v)."""
+    both = links.join(sets.select(F.col("_n").alias("a"), F.col("_s").alias("_sa")), "a").join(sets.select(F.col("_n").alias("b"), F.col("_s").alias("_sb")), "b")
+    shared = both.select("a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("_i"), (F.size("_sa") + F.size("_sb")).alias("_z"))
+    return settle(shared.where((F.col("_z") == 0) | (F.col("_i") / F.nullif(F.col("_z") - F.col("_i"), F.lit(0)) >= least)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = WIDE_RADIUS, sure: int = SURE_RADIUS, recall: float = RECALL) -> DataFrame:
     """One row per input row: id, component (the number of its class), kept, and _rk1, _rk2 of row_key.
 
@@ -412,8 +503,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     `least`; a text of fewer words is one shingle, texts without words are alike. Candidates are texts whose SimHash
     fingerprints (of three-word shingles) differ in at most `radius` bits; each is verified by its whole sets. The
     search is not exact: a pair at `sure` bits meets with probability `recall`, nearer ones more surely, and pairs of a
-    similarity just above `least` may lie beyond the radius; of texts that meet, those links are verified that hold
-    them together by the shortest distances, three times over. kept marks the rows of one (id, text) of each class, of the smallest id the one of
+    similarity just above `least` may lie beyond the radius. Of texts that meet no link is lost: first those are
+    verified that hold them together by the shortest distances, three times over, then all between texts that are still
+    of different classes, less those whose sketches exclude the similarity. kept marks the rows of one (id, text) of each class, of the smallest id the one of
     smallest hash; null ids come last. Equal texts are one node, known by a 64-bit hash. Null text counts as empty.
     An empty table gives an empty result; other columns of docs are ignored, whatever their names.
     """
@@ -422,18 +514,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = in_small_batches(docs).select(F.col(id_col).alias("_id"), text.alias("_t"), *row_key(id_col, text_col), F.xxhash64(text).alias("_n"))
     made = settle(rows.mapInArrow(releasing(_fingerprints(3)), f"_id {kind}, _fp long, _rk1 long, _rk2 long, _n long"))
     nodes = settle(made.groupBy("_fp").agg(F.min("_n").alias("_low"), F.count_distinct("_n").alias("_k")))
-    far = candidate_links(nodes.select("_fp"), radius, sure, recall)
+    far, more, masks = candidate_links(nodes.select("_fp"), radius, sure, recall)
     lows = nodes.select("_fp", "_low")
     far = far.join(lows.select(F.col("_fp").alias("u"), F.col("_low").alias("a")), "u").join(lows.select(F.col("_fp").alias("v"), F.col("_low").alias("b")), "v").select("a", "b")
     equal = made.join(nodes.where("_k > 1").select("_fp", "_low"), "_fp").where("_n <> _low").select(F.col("_low").alias("a"), F.col("_n").alias("b")).distinct()
     links = settle(far.unionByName(equal))
     met = settle(links.select(F.col("a").alias("_n")).unionByName(links.select(F.col("b").alias("_n"))).distinct())
     wanted = rows.join(broadcast_if_small(met, 16), "_n", "left_semi").groupBy("_n").agg(F.first("_t").alias("_t"))
-    sets = settle(wanted.select("_n", "_t").mapInArrow(releasing(_shingle_sets(shingle)), "_n long, _s array<long>"))
-    both = links.join(sets.select(F.col("_n").alias("a"), F.col("_s").alias("_sa")), "a").join(sets.select(F.col("_n").alias("b"), F.col("_s").alias("_sb")), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("_sa", "_sb")).alias("_i"), (F.size("_sa") + F.size("_sb")).alias("_z"))
-    similar = settle(shared.where((F.col("_z") == 0) | (F.col("_i") / F.nullif(F.col("_z") - F.col("_i"), F.lit(0)) >= least)).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    sets = settle(wanted.select("_n", "_t").mapInArrow(releasing(_shingle_sets(shingle)), "_n long, _s array<long>, _odd binary"))
+    similar = _similar(links, sets, least)
     classes = connected_components(similar)
+    label = classes.select(F.col("node").alias("_n"), F.col("component").alias("_label"))
+    texts = sets.select("_n", F.size("_s").cast("long").alias("_size"), "_odd").join(made.select("_n", "_fp").distinct(), "_n")
+    texts = texts.join(nodes.select("_fp", (F.col("_k") > 1).alias("_many")), "_fp").join(label, "_n", "left").withColumn("_label", F.coalesce("_label", "_n"))
+    left = settle(remaining_links(links, more, masks, settle(texts), radius, least).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    if not left.isEmpty():
+        again = _similar(left, sets, least)
+        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(again))
     named = made.join(classes.select(F.col("node").alias("_n"), F.col("component").alias("_c")), "_n", "left").withColumn("_c", F.coalesce("_c", "_n"))
     named = settle(named)
     first = named.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_rk1", "_rk2")).alias("_one"))

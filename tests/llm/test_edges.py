@@ -326,6 +326,37 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [4096, 40])
+def test_no_link_of_texts_that_meet_is_lost(spark, monkeypatch, chunk):
+    rng = random.Random(31)
+    rows = []
+    for length, n in ((400, 110), (60, 40), (3000, 20)):
+        base = [f"w{rng.randint(0, 50_000)}" for _ in range(length)]
+        for _ in range(n):
+            new = list(base)
+            for _ in range(rng.randint(1, 4)):
+                size = rng.randint(1, max(2, length // 14))
+                at = rng.randrange(length - size)
+                new[at : at + size] = [f"y{rng.randint(0, 50_000)}" for _ in range(size)]
+            rows.append(" ".join(new))
+    rows += [" ".join(["same"] * 40 + [f"end{i}"]) for i in range(6)]  # one fingerprint, or nearly so
+    sets, fps = [shingles(t) for t in rows], [simhash.fingerprint(t) for t in rows]
+    masks = simhash.sampled_tables(len(set(fps)), simhash.SURE_RADIUS, simhash.RECALL)
+    meet = lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 12 and any(not (fps[i] ^ fps[j]) & m for m in masks)
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if meet(i, j) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [(i, j) for i in range(len(rows)) for j in range(i) if meet(i, j) and len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j])]
+    assert len(far) > 200 and len(links) > 200
+    low = list(range(len(rows)))
+    while any(low[i] != low[j] for i, j in links):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component for r in simhash.near_duplicates(d).collect()}
+    pairs = {(low[i], got[i]) for i in range(len(rows))}
+    assert len(pairs) == len(set(low)) == len(set(got.values()))
+
+
 def test_crowded_keys_link_near_fingerprints_first():
     rng = np.random.default_rng(2)
     base = np.uint64(rng.integers(0, 2**63))
@@ -334,7 +365,8 @@ def test_crowded_keys_link_near_fingerprints_first():
         pairs = simhash._near_links(fps, keys, 12)
         assert len(pairs[0]) <= 3 * (len(fps) - 1)
     pairs = simhash._near_links(fps, np.zeros((2, len(fps)), np.int64), 12)
-    u, v = (x.view(np.uint64) for x in pairs)
+    assert len(pairs[2]) == 1  # links of the key are left for the second look
+    u, v = (x.view(np.uint64) for x in pairs[:2])
     close = [(int(a), int(b)) for a, b in zip(u, v, strict=True) if (int(a) ^ int(b)).bit_count() <= 6]
     low = {int(x): int(x) for x in fps}  # the links of half the radius alone hold the group together
 
@@ -387,7 +419,7 @@ def test_hot_keys_are_dealt_again(spark, monkeypatch):
     fps = sorted({int(b) ^ sum(1 << int(x) for x in rng.choice(62, 3, replace=False)) for b in base for _ in range(60)})
     d = spark.createDataFrame([(x,) for x in fps], "_fp long").repartition(3)
     monkeypatch.setattr(simhash, "CHUNK", 8)
-    edges = [tuple(r) for r in simhash.candidate_links(d, 6, 6, 0.9999).collect()]
+    edges = [tuple(r) for r in simhash.candidate_links(d, 6, 6, 0.9999)[0].collect()]
     assert all((a ^ b).bit_count() <= 6 for a, b in edges)
     classes = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert len(classes) == len(fps) and len(set(classes.values())) == 3
