@@ -42,7 +42,7 @@ FORESTS = 3
 #: Bits of the parity sketch of a shingle set: bit i is set if an odd number of hashes fall on it.
 ODD_BITS = 256
 #: Bits in which the fingerprints of near duplicates may differ, and how surely a pair at a somewhat smaller distance meets.
-WIDE_RADIUS, SURE_RADIUS, RECALL = 12, 10, 0.95
+WIDE_RADIUS, SURE_RADIUS, RECALL = 12, 10, 0.99
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
