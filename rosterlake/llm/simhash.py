@@ -37,8 +37,8 @@ CHUNK = 4096
 PLANES_AT_ONCE = 8
 #: Fingerprints that a key of a sampled table holds on average.
 TABLE_ROWS = 16
-#: Spanning forests without common links that are verified of each key first; links that still span two classes follow.
-FORESTS = 3
+#: Spanning forests without common links that are verified of each key first. All links that still span two classes follow, so the number changes the work alone.
+FORESTS = 1
 #: Bits of the parity sketch of a shingle set: bit i is set if an odd number of hashes fall on it.
 ODD_BITS = 256
 #: Bits in which the fingerprints of near duplicates may differ, and how surely a pair at a somewhat smaller distance meets.
@@ -504,7 +504,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints (of three-word shingles) differ in at most `radius` bits; each is verified by its whole sets. The
     search is not exact: a pair at `sure` bits meets with probability `recall`, nearer ones more surely, and pairs of a
     similarity just above `least` may lie beyond the radius. Of texts that meet no link is lost: first those are
-    verified that hold them together by the shortest distances, three times over, then all between texts that are still
+    verified that hold them together by the shortest distances, then all between texts that are still
     of different classes, less those whose sketches exclude the similarity. kept marks the rows of one (id, text) of each class, of the smallest id the one of
     smallest hash; null ids come last. Equal texts are one node, known by a 64-bit hash. Null text counts as empty.
     An empty table gives an empty result; other columns of docs are ignored, whatever their names.
