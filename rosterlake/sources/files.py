@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # File formats by suffix.
@@ -57,17 +57,19 @@ def _element(segment: Column, i: int) -> Column:
 def scan_834(spark: SparkSession, path: str) -> DataFrame:
     """One row per member loop of X12 834 files: the fields of the roster, source_file and member_no (from 1 in each file).
 
-    Files are read whole (a loop's segments belong together in one file), each by one task; segments end with ~, a
-    member's begin with INS. The loop of a segment is the number of INS before it, a running count inside the row.
+    Segments end with ~, a member's begin with INS. Each is a row of its own, so large files are split and none is held
+    whole. The loop of a segment is the number of INS before it: those of earlier blocks of its file and a running count
+    inside its block. The work grows with the size of the files.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.split("value", "~").alias("_segments"))
-    clean = F.filter(F.transform("_segments", lambda s: F.split(F.btrim(s, F.lit(" \r\n\t")), r"\*")), lambda e: F.get(e, F.lit(0)) != "")
-    loops = F.aggregate(
-        clean,
-        F.array().cast("array<array<array<string>>>"),
-        lambda done, e: F.when(F.get(e, F.lit(0)) == "INS", F.concat(done, F.array(F.array(e)))).when(F.size(done) > 0, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.array(e))))).otherwise(done),
-    )
-    rows = files.select("source_file", F.posexplode(loops).alias("_no", "_loop"))
+    rows = spark.read.option("lineSep", "~").text(path).select(F.btrim("value", F.lit(" \r\n\t")).alias("_s"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    rows = rows.where((F.col("_s") != "") & ~F.startswith("_s", F.lit("*")))
+    opens = (F.col("_s") == "INS") | F.startswith("_s", F.lit("INS*"))
+    counts = rows.groupBy("source_file", "_block").agg(F.count_if(opens).alias("_n"))
+    before = counts.select("source_file", "_block", (F.sum("_n").over(Window.partitionBy("source_file").orderBy("_block")) - F.col("_n")).alias("_before"))
+    here = F.sum(opens.cast("int")).over(Window.partitionBy("source_file", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_here", here).join(before, ["source_file", "_block"]).withColumn("_no", (F.col("_before") + F.col("_here")).cast("int")).where("_no > 0")
+    rows = rows.groupBy("source_file", "_no").agg(F.sort_array(F.collect_list(F.struct("_block", "_at", "_s"))).alias("_loop"))
+    rows = rows.select("source_file", "_no", F.transform("_loop", lambda x: F.split(x["_s"], r"\*")).alias("_loop"))
 
     def first(tag: str, i: int, *where: tuple[int, str]) -> Column:
         """Element i of the loop's first segment of this tag (and these elements)."""
@@ -83,7 +85,7 @@ def scan_834(spark: SparkSession, path: str) -> DataFrame:
     date = lambda c: F.date_format(F.try_to_date(c, "yyyyMMdd"), "yyyy-MM-dd")
     start = F.coalesce(first("DTP", 3, (1, "348")), first("DTP", 3, (1, "356")))
     return rows.select(
-        "source_file", (F.col("_no") + 1).alias("member_no"), first("INS", 3).alias("maintenance_type"),
+        "source_file", F.col("_no").alias("member_no"), first("INS", 3).alias("maintenance_type"),
         first("REF", 2, (1, "0F")).alias("partner_member_id"), first("REF", 2, (1, "1L")).alias("plan_code"),
         first("NM1", 4, (1, "IL")).alias("first_name"), first("NM1", 5, (1, "IL")).alias("middle_name"), first("NM1", 3, (1, "IL")).alias("last_name"),
         F.when(first("NM1", 8, (1, "IL")) == "34", first("NM1", 9, (1, "IL"))).alias("ssn"), first("PER", 4, (3, "HP")).alias("phone"),

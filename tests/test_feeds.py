@@ -5,6 +5,7 @@ import hashlib
 import hmac
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,32 @@ SE*99*0001~"""
     assert n.declared == 99 and n.segments == 18
 
 
+def test_834_work_grows_with_the_file(spark, tmp_path):
+    n = 12_000
+    loops = "".join(f"\nINS*Y*18*021~\nREF*0F*M{i}~REF*1L*P~NM1*IL*1*COLLINS*F{i}~\n* ~~N4*Atlanta*GA*30303~DTP*356*D8*20260101~" for i in range(1, n + 1))
+    p = put(tmp_path / "big.834", f"ISA*00*~{loops}SE*1*1~")
+    began = time.time()
+    got = files.scan_834(spark, p).select("member_no", "partner_member_id", "first_name", "zip", "start_date").collect()
+    assert time.time() - began < 30  # of copies for every segment it took minutes
+    assert sorted(map(tuple, got)) == [(i, f"M{i}", f"F{i}", "30303", "2026-01-01") for i in range(1, n + 1)]
+
+
+def test_834_loops_go_over_blocks(spark, tmp_path):
+    loops = "".join(f"INS*Y*18*021~REF*0F*M{i}~" + "HD*030**HLT~" * 40 + f"N3*{i} Main St~" for i in range(1, 41))
+    p = put(tmp_path / "cut.834", f"ISA*00*~{loops}INS~ INS *x~")
+    conf = {"spark.sql.files.maxPartitionBytes": "300", "spark.sql.files.openCostInBytes": "1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert spark.read.option("lineSep", "~").text(p).rdd.getNumPartitions() > 40  # blocks shorter than a loop
+        got = files.scan_834(spark, p).select("member_no", "partner_member_id", "address_line_1").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [*((i, f"M{i}", f"{i} Main St") for i in range(1, 41)), (41, None, None)]
+
+
 def test_fixed_width(spark, tmp_path):
     p = put(tmp_path / "x.txt", "001  Ann  \n002       \n")
     assert [tuple(r) for r in files.scan_fixed_width(spark, p, [("id", 1, 5), ("name", 6, 5)]).collect()] == [("001", "Ann"), ("002", None)]
