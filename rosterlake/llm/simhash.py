@@ -41,6 +41,12 @@ TABLE_ROWS = 16
 FORESTS = 1
 #: Bits of the parity sketch of a shingle set: bit i is set if an odd number of hashes fall on it.
 ODD_BITS = 256
+#: Words of a text's record when it is dealt: number, class, size, cell, fingerprint and the sketch.
+RECORD = 5 + ODD_BITS // 64
+#: Records that are made at once.
+DEAL_ROWS = 1 << 16
+#: Bits of a segment of a key filter, and the bytes that a filter may take.
+SEGMENT_BITS, FILTER_BYTES = 4096, 32 << 20
 #: Bits in which the fingerprints of near duplicates may differ, and how surely a pair at a somewhat smaller distance meets.
 WIDE_RADIUS, SURE_RADIUS, RECALL = 12, 10, 0.99
 
@@ -348,22 +354,116 @@ def _compare_cells(radius: int):
     return run
 
 
-def _compare_classes(radius: int, least: float):
+def _key_hashes(table, key: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each table and key (uint64)."""
+    h = key + np.uint64(0x9E3779B97F4A7C15) * np.atleast_1d(np.asarray(table, np.uint64))
+    for shift, factor in ((29, 0xBF58476D1CE4E5B9), (32, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(31))
+
+
+def _places(h: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The segment of a key filter that a hash belongs to, and its two bits there."""
+    bits = np.uint64(SEGMENT_BITS)
+    return ((h >> np.uint64(32)) % np.uint64(segments)).astype(np.int64), (h % bits).astype(np.int64), (h // bits % bits).astype(np.int64)
+
+
+def _segment_of(segments: int):
+    def run(batches):
+        for b in batches:
+            h = _key_hashes(b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(_places(h, segments)[0], pa.int64()), _signed(h)], ["_segment", "_h"])
+
+    return run
+
+
+def _fill_segment(segments: int):
+    def run(table: pa.Table) -> pa.Table:
+        _, x, y = _places(table.column("_h").to_numpy().view(np.uint64), segments)
+        bits = np.zeros(SEGMENT_BITS, np.uint8)
+        bits[x] = bits[y] = 1
+        return pa.table({"_segment": table.column("_segment")[:1], "_bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    return run
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """keys: settled (_table int, _key long). Bits by segment that say of each of the keys that it is there, and of few others.
+
+    A key takes 16 bits; from FILTER_BYTES on there are no more, and others pass more often.
+    """
+    segments = int(np.clip(-(-keys.count() * 16 // SEGMENT_BITS), 1, FILTER_BYTES * 8 // SEGMENT_BITS))
+    dealt = keys.select("_table", "_key").mapInArrow(_segment_of(segments), "_segment long, _h long")
+    out = np.zeros((segments, SEGMENT_BITS // 8), np.uint8)
+    got = dealt.groupBy("_segment").applyInArrow(_fill_segment(segments), "_segment long, _bits binary").toArrow()
+    for k, bits in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+        out[k] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    k, x, y = _places(h, len(filter_))
+    return (filter_[k, x >> 3] >> (x & 7) & filter_[k, y >> 3] >> (y & 7) & 1).astype(bool)
+
+
+def _deal_texts(masks: list[int], groups: int, filter_: np.ndarray | None, hot: tuple[np.ndarray, np.ndarray] | None):
+    """filter_: of the keys whose texts are dealt. hot instead: sorted hashes of keys and their numbers of chunks; each pair of chunks is a cell of its own."""
+
+    def run(batches):
+        """Records of RECORD words (number, class, size, cell, fingerprint, sketch) of the texts of those keys, packed by a group of keys."""
+        at_once = max(1, DEAL_ROWS // len(masks))
+        for b in (b.slice(k, at_once) for b in batches for k in range(0, b.num_rows, at_once)):
+            n, fps, label, size = (b.column(k).to_numpy().view(np.uint64) for k in range(4))
+            odd = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(len(n), -1)
+            rows, tables, cells, at = [], [], [], []
+            for t, m in enumerate(masks):
+                h = _key_hashes(t, fps & np.uint64(m))
+                if hot is None:
+                    i = np.flatnonzero(_passes(filter_, h))
+                    cell = np.zeros(len(i), np.uint64)
+                else:
+                    k = np.minimum(np.searchsorted(hot[0], h), len(hot[0]) - 1)
+                    i = np.flatnonzero(hot[0][k] == h)
+                    c = hot[1][k[i]]
+                    other = (np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint64)
+                    i, c = np.repeat(i, c), np.repeat(c, c).astype(np.uint64)
+                    mine = _key_hashes(0, n[i]) % c
+                    cell = np.minimum(mine, other) * c + np.maximum(mine, other)
+                rows.append(i)
+                tables.append(np.full(len(i), t, np.uint16))
+                cells.append(cell)
+                at.append((_key_hashes(cell, h[i]) % np.uint64(groups)).astype(np.int32))
+            i, table, cell, g = (np.concatenate(x) for x in (rows, tables, cells, at))
+            if not len(i):
+                continue
+            order = np.argsort(g, kind="stable")
+            i, table, cell, g = i[order], table[order], cell[order], g[order]
+            records = np.column_stack([n[i], label[i], size[i], cell, fps[i], odd[i]])
+            cuts = np.flatnonzero(np.diff(g, prepend=-1)).tolist()
+            ends = [*cuts[1:], len(g)]
+            yield pa.RecordBatch.from_arrays([pa.array(g[cuts]), *(pa.array([x[a:z].tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary()) for x in (table, records))], ["_g", "_tables", "_records"])
+
+    return run
+
+
+def _compare_classes(masks: list[int], radius: int, least: float, chunk: int | None):
     def run(table: pa.Table) -> pa.Table:
-        """All pairs of a key's texts of different classes within the radius whose sketches allow the similarity.
+        """All pairs of a key's texts of different classes within the radius whose sketches allow the similarity. Keys of over `chunk` texts come out as table, key and number of chunks instead.
 
         Of two sets at the similarity at most (1 - least) / (1 + least) of their sizes' sum lies in one alone, and each
         bit in which the parity sketches differ stands for one such hash or more: no pair at it is left out.
         """
-        columns = {c: table.column(c).to_numpy() for c in ("_table", "_key", "_cell", "_fp", "_n", "_label", "_size")}
-        order = np.lexsort([columns[c] for c in ("_fp", "_cell", "_key", "_table")])
-        fps, ids, label, size = (columns[c][order] for c in ("_fp", "_n", "_label", "_size"))
-        fps = fps.view(np.uint64)
-        odd = np.frombuffer(b"".join(table.column("_odd").to_pylist()), np.uint64).reshape(len(fps), -1)[order]
-        keys = np.stack([columns[c][order].astype(np.int64) for c in ("_table", "_key", "_cell")])
-        first = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+        of = np.frombuffer(b"".join(table.column("_tables").to_pylist()), np.uint16)
+        records = np.frombuffer(b"".join(table.column("_records").to_pylist()), np.uint64).reshape(len(of), RECORD)
+        key = records[:, 4] & np.array(masks, np.uint64)[of]
+        order = np.lexsort((records[:, 4], records[:, 3], key, of))
+        of, key, records = of[order], key[order], records[order]
+        ids, label, size = (records[:, k].view(np.int64) for k in range(3))
+        cell, fps, odd = records[:, 3], np.ascontiguousarray(records[:, 4]), records[:, 5:]
+        first = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])])
         lengths = np.diff(np.r_[first, len(fps)])
         run_of = np.repeat(np.arange(len(first)), lengths)
+        hot = lengths > (chunk or len(fps))
         found = []
 
         def keep(a, b):
@@ -373,11 +473,12 @@ def _compare_classes(radius: int, least: float):
             fits = (apart <= both * (1 - least) / (1 + least) + 1e-6) & (np.minimum(size[a], size[b]) >= np.maximum(size[a], size[b]) * least - 1e-6)
             found.append((np.maximum(ids[a[fits]], ids[b[fits]]), np.minimum(ids[a[fits]], ids[b[fits]])))
 
-        at = np.flatnonzero(np.repeat(lengths <= 64, lengths))
+        at = np.flatnonzero(np.repeat((lengths <= 64) & ~hot, lengths))
         a, b = links_in_runs(fps[at], run_of[at], radius)
         keep(at[a], at[b])
         ones = ~np.uint64(0)
-        for c, m in zip(first[lengths > 64], lengths[lengths > 64], strict=True):
+        large = (lengths > 64) & ~hot
+        for c, m in zip(first[large], lengths[large], strict=True):
             planes = bit_planes(fps[c : c + m])
             bits = ((fps[c : c + m, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(bool)
             for i in range(m - 1):
@@ -385,7 +486,12 @@ def _compare_classes(radius: int, least: float):
                 hit = np.flatnonzero(_unpack(within(lambda p, w, f=flip, all_=planes: all_[p][:, w] ^ f[p], planes.shape[1], radius), m)[i + 1 :]) + c + i + 1
                 keep(np.full(len(hit), c + i), hit)
         u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}).group_by(["u", "v"]).aggregate([])
+        none = lambda n, kind: pa.nulls(n, kind)
+        pairs = pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())}).group_by(["u", "v"]).aggregate([])
+        pairs = pairs.append_column("_table", none(len(pairs), pa.int32())).append_column("_key", none(len(pairs), pa.int64())).append_column("_c", none(len(pairs), pa.int32()))
+        again = first[hot]
+        rest = pa.table({"u": none(len(again), pa.int64()), "v": none(len(again), pa.int64()), "_table": pa.array(of[again].astype(np.int32)), "_key": pa.array(key[again].view(np.int64)), "_c": pa.array((-(-lengths[hot] // chunk) if len(again) else again).astype(np.int32))})
+        return pa.concat_tables([pairs, rest])
 
     return run
 
@@ -424,7 +530,8 @@ def remaining_links(links: DataFrame, more: DataFrame, masks: list[int], texts:
     links: verified links (a, b) of texts by number. more: keys that may have further ones. texts: settled (_n, _fp,
     _many: the fingerprint has several texts, _label: class by the verified links, _size, _odd). A key whose links all
     lie within classes has nothing left to find: its forests span it. So only keys with a link between two classes are
-    dealt again.
+    dealt again; a filter that reaches every task tells them, and what passes it by chance finds nothing. Texts are
+    dealt packed with what is compared, so no join makes a row of each text and table.
     """
     side = lambda c: texts.select(F.col("_n").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("_fp", "_many", "_label")))
     cross = links.join(side("a"), "a").join(side("b"), "b").where("_label_a <> _label_b")
@@ -433,19 +540,29 @@ def remaining_links(links: DataFrame, more: DataFrame, masks: list[int], texts:
     met = cross.select("_fp", "_diff", "_many", F.explode(tables).alias("_tm")).where(F.col("_diff").bitwiseAND(F.col("_tm.m")) == 0)
     met = met.select(F.col("_tm.t").alias("_table"), F.col("_fp").bitwiseAND(F.col("_tm.m")).alias("_key"), "_many").groupBy("_table", "_key").agg(F.max("_many").alias("_many"))
     keys = settle(met.join(more.withColumnRenamed("_c", "_chunks"), ["_table", "_key"], "left").where("_many OR _chunks IS NOT NULL").select("_table", "_key"))
-    placed = texts.select("_n", "_fp", F.posexplode(_keys_of("_fp", masks)).alias("_table", "_key")).join(broadcast_if_small(keys, 32), ["_table", "_key"])
-    placed = settle(placed)
-    counted = placed.groupBy("_table", "_key").count().select("_table", "_key", F.ceil(F.col("count") / CHUNK).cast("int").alias("_c"))
-    placed = placed.join(counted, ["_table", "_key"]).join(texts.select("_n", "_label", "_size", "_odd"), "_n")
-    groups = max(12, -(-placed.count() // GROUP_ROWS))
-    return _in_cells(placed, F.lit(groups), "_n", "_label", "_size", "_odd").applyInArrow(_compare_classes(radius, least), "u long, v long").distinct()
+    if keys.isEmpty():
+        return links.sparkSession.createDataFrame([], "u long, v long")
+    groups = max(12, -(-texts.count() * len(masks) // GROUP_ROWS))
+
+    def compared(filter_, hot, chunk):
+        dealt = texts.select("_n", "_fp", "_label", "_size", "_odd").mapInArrow(releasing(_deal_texts(masks, groups, filter_, hot)), "_g int, _tables binary, _records binary")
+        return settle(dealt.groupBy("_g").applyInArrow(_compare_classes(masks, radius, least, chunk), "u long, v long, _table int, _key long, _c int"))
+
+    found = compared(key_filter(keys), None, CHUNK)
+    pairs = found.where("u IS NOT NULL").select("u", "v")
+    hot = found.where("u IS NULL").select("_table", "_key", "_c").toArrow()  # each stands for over CHUNK texts
+    if hot.num_rows:
+        h = _key_hashes(hot.column(0).to_numpy().astype(np.uint64), hot.column(1).to_numpy().view(np.uint64))
+        order = np.argsort(h)
+        pairs = pairs.unionByName(compared(None, (h[order], hot.column(2).to_numpy().astype(np.int64)[order]), None).select("u", "v"))
+    return pairs.distinct()
 
 
-def _in_cells(placed: DataFrame, groups, *more: str):
+def _in_cells(placed: DataFrame, groups):
     """Rows of keys of _c chunks, each pair of chunks a cell of its own, grouped for comparison."""
-    placed = placed.withColumn("_a", F.pmod(F.xxhash64(more[0] if more else "_fp"), F.col("_c")).cast("int"))
+    placed = placed.withColumn("_a", F.pmod(F.xxhash64("_fp"), F.col("_c")).cast("int"))
     cell = F.transform(F.sequence(F.lit(0), F.col("_c") - 1), lambda b: F.least(F.col("_a"), b) * F.col("_c") + F.greatest(F.col("_a"), b))
-    placed = placed.select("_fp", *more, "_table", "_key", F.explode(cell).alias("_cell"))
+    placed = placed.select("_fp", "_table", "_key", F.explode(cell).alias("_cell"))
     return placed.withColumn("_g", F.pmod(F.xxhash64("_table", "_key", "_cell"), groups)).groupBy("_g")
 
 

@@ -357,6 +357,45 @@ def test_no_link_of_texts_that_meet_is_lost(spark, monkeypatch, chunk):
     assert len(pairs) == len(set(low)) == len(set(got.values()))
 
 
+@pytest.mark.parametrize("chunk", [4096, 30])
+def test_second_look_makes_no_row_of_each_text_and_table(spark, monkeypatch, chunk):
+    rng = np.random.default_rng(6)
+    fps = [0, *(sum(1 << int(x) for x in rng.choice(64, 4, replace=False)) for _ in range(149))]
+    n, radius = len(fps), 8
+    masks = simhash.sampled_tables(n, radius, 0.99)
+    odd = [rng.integers(0, 2, simhash.ODD_BITS) for _ in range(3)]
+    label = [i % 3 + 1000 for i in range(n)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, signed(f), False, label[i], 40 + i % 20, bytearray(np.packbits(odd[i % 3 if i % 7 else 0]).tobytes())) for i, f in enumerate(fps)]
+    texts = simhash.settle(spark.createDataFrame(rows, "_n long, _fp long, _many boolean, _label long, _size long, _odd binary").repartition(3))
+    links = spark.createDataFrame([(i, 0) for i in range(1, n)], "a long, b long")
+    keys = {(t, f & m) for f in fps for t, m in enumerate(masks) if not f & m}  # of links to 0
+    more = spark.createDataFrame([(t, signed(k), 1) for t, k in keys], "_table int, _key long, _c int")
+
+    def fits(i, j):
+        apart = sum((a ^ b).bit_count() for a, b in zip(rows[i][5], rows[j][5], strict=True))
+        return apart <= (rows[i][4] + rows[j][4]) / 9 and min(rows[i][4], rows[j][4]) >= 0.8 * max(rows[i][4], rows[j][4])
+
+    want = {(i, j) for i in range(n) for j in range(i) if label[i] != label[j] and (fps[i] ^ fps[j]).bit_count() <= radius and any(not (fps[i] | fps[j]) & m for m in masks) and fits(i, j)}
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    got = simhash.remaining_links(links, more, masks, texts, radius, 0.8)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {tuple(r) for r in got.collect()}
+    assert len(want) > 100 and want <= found
+    assert all(label[i] != label[j] and (fps[i] ^ fps[j]).bit_count() <= radius and fits(i, j) for i, j in found)
+    assert {p for p in found if any(not (fps[p[0]] | fps[p[1]]) & m for m in masks)} == want
+
+
+def test_key_filter_loses_no_key(spark):
+    rng = np.random.default_rng(9)
+    keys = [(int(t), int(k)) for t, k in zip(rng.integers(0, 60, 3000), rng.integers(-(2**63), 2**63 - 1, 3000), strict=True)]
+    got = simhash.key_filter(simhash.settle(spark.createDataFrame(keys, "_table int, _key long").repartition(3)))
+    hashes = lambda ks: simhash._key_hashes(np.array([t for t, _ in ks]), np.array([k for _, k in ks]).view(np.uint64))
+    assert simhash._passes(got, hashes(keys)).all()
+    others = [(t, k) for t, k in zip(rng.integers(0, 60, 20_000).tolist(), rng.integers(-(2**63), 2**63 - 1, 20_000).tolist(), strict=True)]
+    assert simhash._passes(got, hashes(others)).mean() < 0.04
+
+
 def test_crowded_keys_link_near_fingerprints_first():
     rng = np.random.default_rng(2)
     base = np.uint64(rng.integers(0, 2**63))
