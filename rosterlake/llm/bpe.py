@@ -3,8 +3,8 @@
 Code points become classes by one array lookup. A small automaton over the classes follows the token kinds
 of the split pattern; its per-character transition functions form a finite monoid, so the state at every
 character comes from an associative scan of function ids (blocks, then block totals), without a regex.
-Boundaries follow from neighbouring states. The slices between them feed cached pair merging. Every token keeps
-the byte offset of its place in the text, and decoding writes each token's bytes at its offset.
+Boundaries follow from neighbouring states. The slices between them are looked up, all of a batch at once, in a
+table of pieces whose pairs were merged before; unknown ones are merged and added. Every token keeps the byte offset of its place in the text, and decoding writes each token's bytes at its offset.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ _LETTERS = (LETTER, STMD, R, V, E, L)
 START, IN_LETTERS, IN_NUMBER, IN_OTHER, AT_SPACE, AT_WHITE, A, AR, AL, C = range(10)
 BLOCK = 64
 SLICE_BYTES = 1 << 20
-CACHE_PIECES = 400_000
+#: Merged pieces that are kept, and bytes of their ids and of those outside the table; beyond either all are forgotten.
+CACHE_PIECES, CACHE_BYTES = 1_000_000, 32 << 20
+#: Longest piece in bytes that the table holds as two 64-bit words.
+SHORT_PIECE = 16
 #: Longer pieces are merged one by one, much longer ones in rounds over arrays.
 LONG_PIECE, HUGE_PIECE = 40, 1 << 14
 #: Tokens decoded at once.
@@ -147,10 +150,8 @@ def text_slices(text: str, size: int = SLICE_BYTES):
         at = stop
 
 
-def pretokens(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
-    """All pre-tokens of the texts in order, and per text the end of its pre-tokens in that list."""
-    if not texts:
-        return [], np.zeros(0, np.int64)
+def pretokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts in one string of bytes, where its pre-tokens start and it ends, and per text the end of its pre-tokens among them."""
     joined = "\0".join(texts) + "\0"
     points = np.frombuffer(joined.encode("utf-32-le"), "<u4")
     classes = _classes()[points]
@@ -158,24 +159,102 @@ def pretokens(texts: list[str]) -> tuple[list[bytes], np.ndarray]:
     classes[ends] = END
     starts = np.flatnonzero(boundaries(classes))
     at = np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), dtype=np.int64)
-    at = np.r_[0, at]
-    blob = joined.encode()
-    offsets = at[starts].tolist()
-    pieces = [blob[a:b] for a, b in zip(offsets, [*offsets[1:], len(blob)], strict=True)]
-    return pieces, np.searchsorted(starts, ends)
+    return joined.encode(), np.r_[0, at][np.r_[starts, len(points)]], np.searchsorted(starts, ends)
 
 
 NO_PAIR = 1 << 40
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # the first n bytes of a word
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 
 
-class Vocabulary(dict):
-    """A cache of pre-token bytes to their ids (packed little-endian unsigned 32-bit).
+def words_of(blob: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the next 8 bytes of the pieces, zeros after their end."""
+    every = np.ndarray((len(blob) + 1,), "<u8", blob + bytes(8), 0, (1,))  # a word at each byte
+    return every[at] & _BYTES[np.minimum(size, 8)], every[np.minimum(at + 8, len(blob))] & _BYTES[np.clip(size - 8, 0, 8)]
+
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """a with n rows; memory that is never written stays unused."""
+    out = np.zeros((n, *a.shape[1:]), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
+class Pieces:
+    """Known pieces and their ids: short ones in an open-addressing table by their very bytes and length, longer ones by a dict."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.full(1 << 12, -1, np.int32)
+        self.rows = np.zeros((1 << 11, 4), np.uint64)  # two words, length, first id << 32 | number of ids
+        self.n, self.n_ids, self.held = 0, 0, 0
+        self.ids = np.zeros(1 << 12, np.uint32)
+        self.longer: dict[bytes, int] = {}
+
+    def _slot(self, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+        h = (one * _MIX[0] ^ two) * _MIX[1] + size
+        h = (h ^ h >> np.uint64(29)) * _MIX[2]
+        return (h >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def find(self, one: np.ndarray, two: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Row of each short piece, -1 if it is unknown."""
+        slot = self._slot(one, two, size)
+        out = self.slots[slot].astype(np.int64)
+        todo = np.flatnonzero(out >= 0)
+        while len(todo):
+            row = self.rows[out[todo]]
+            todo = todo[(row[:, 0] != one[todo]) | (row[:, 1] != two[todo]) | (row[:, 2] != size[todo])]
+            slot[todo] = slot[todo] + 1 & len(self.slots) - 1
+            out[todo] = self.slots[slot[todo]]
+            todo = todo[out[todo] >= 0]
+        return out
+
+    def add(self, pieces: list[bytes], ids: np.ndarray, n: int) -> None:
+        """Unknown, distinct pieces of one length, with n ids each, one piece's after the other's."""
+        first, k, size = self.n_ids, len(pieces), len(pieces[0])
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = _grown(self.ids, 2 * (self.n_ids + len(ids)))
+        self.ids[first : first + len(ids)] = ids
+        self.n_ids += len(ids)
+        self.held += 4 * len(ids) + (size > SHORT_PIECE) * k * size
+        if self.n + k > len(self.rows):
+            self.rows = _grown(self.rows, 2 * (self.n + k))
+        row = np.arange(self.n, self.n + k)
+        self.n += k
+        self.rows[row, 3] = first + n * np.arange(k) << 32 | n
+        if size > SHORT_PIECE:
+            self.longer.update(zip(pieces, row.tolist(), strict=True))
+            return
+        self.rows[row, 0], self.rows[row, 1] = words_of(b"".join(pieces), size * np.arange(k), np.full(k, size))
+        self.rows[row, 2] = size
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(2 << self.n.bit_length(), -1, np.int32)
+            row = np.flatnonzero(self.rows[: self.n, 2])  # the longer ones say no length here
+        slot = self._slot(*self.rows[row, :3].T)
+        while len(row):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = row[free]
+            lost = self.slots[slot] != row
+            row, slot = row[lost], slot[lost] + 1 & len(self.slots) - 1
+
+    def ids_of(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces of these rows, and where each piece's begin among them and end."""
+        place = self.rows[:, 3][row].astype(np.int64)
+        n = place & 0xFFFFFFFF
+        at = np.r_[0, np.cumsum(n)]
+        return self.ids[np.repeat((place >> 32) - at[:-1], n) + np.arange(at[-1])], at
+
+
+class Vocabulary:
+    """Ids of pre-tokens, which are kept as Pieces.
 
     pairs maps two adjacent ids to the id that they merge into; a lower id merges first, the leftmost of equals.
     """
 
     def __init__(self, ids: dict[bytes, int], pairs: dict[tuple[int, int], int], whole_pieces: bool, special: dict[str, int] | None = None):
-        super().__init__()
+        self.known = Pieces()
         self.ids, self.pairs, self.whole, self.special = ids, pairs, whole_pieces, special or {}
         self.bytes_of: list[bytes] = [b""] * (max([*ids.values(), *self.special.values()]) + 1)
         for x, i in [*ids.items(), *((s.encode(), i) for s, i in self.special.items())]:
@@ -187,12 +266,7 @@ class Vocabulary(dict):
         keys = np.array([a << 20 | b for a, b in pairs], np.int64)
         order = np.argsort(keys)
         self.pair_keys, self.pair_ids = keys[order], np.fromiter(pairs.values(), np.int64, len(pairs))[order]
-
-    def __missing__(self, piece: bytes) -> bytes:
-        out = np.array(self.merge(piece), "<u4").tobytes()
-        if len(piece) <= HUGE_PIECE:
-            self[piece] = out
-        return out
+        self.byte_pairs = self._looked_up(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))  # by two bytes
 
     def merge(self, piece: bytes) -> list[int]:
         """Pair merging of one piece with a heap and linked neighbours: n log n."""
@@ -245,19 +319,17 @@ class Vocabulary(dict):
     def learn(self, pieces: list[bytes]) -> None:
         """Pair merging of many pieces of one length at once: each round merges one pair of every piece."""
         if self.whole:
-            rest = []
-            for x in pieces:
-                if x in self.ids:
-                    self[x] = self.ids[x].to_bytes(4, "little")
-                else:
-                    rest.append(x)
-            pieces = rest
+            whole = [x for x in pieces if x in self.ids]
+            if whole:
+                self.known.add(whole, np.array([self.ids[x] for x in whole], np.uint32), 1)
+                pieces = [x for x in pieces if x not in self.ids]
         if not pieces:
             return
         width = len(pieces[0])
-        parts = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, width)]
+        chars = np.frombuffer(b"".join(pieces), np.uint8).reshape(-1, width)
+        parts = self.byte_ids[chars]
         row = np.arange(len(pieces))
-        cost = self._looked_up(parts[:, :-1], parts[:, 1:])
+        cost = self.byte_pairs[chars[:, :-1].astype(np.int64) << 8 | chars[:, 1:]]
         while len(row):
             width = parts.shape[1]
             at = cost.argmin(axis=1) if width > 1 else np.zeros(len(row), int)
@@ -265,32 +337,51 @@ class Vocabulary(dict):
             new = cost[each, at] if width > 1 else np.full(len(row), NO_PAIR)
             done = new == NO_PAIR
             if done.any():
-                blob = parts[done].astype("<u4").tobytes()
-                for k, r in enumerate(row[done].tolist()):
-                    self[pieces[r]] = blob[4 * width * k : 4 * width * (k + 1)]
+                self.known.add([pieces[r] for r in row[done].tolist()], parts[done].ravel(), width)
                 go = ~done
                 row, parts, cost, at, new = row[go], parts[go], cost[go], at[go], new[go]
                 each = np.arange(len(row))
                 if not len(row):
                     break
-            cols = np.arange(width - 1)
             parts[each, at] = new
-            parts = np.take_along_axis(parts, cols + (cols > at[:, None]), axis=1)
-            cols = cols[:-1]
-            cost = np.take_along_axis(cost, cols + (cols >= at[:, None]), axis=1)
-            has = at > 0
-            cost[each[has], at[has] - 1] = self._looked_up(parts[each[has], at[has] - 1], new[has])
-            has = at < width - 2
-            cost[each[has], at[has]] = self._looked_up(new[has], parts[each[has], at[has] + 1])
-
-    def know(self, pieces: list[bytes]) -> None:
-        """Bring all pieces into the cache: short unknown ones by length, long ones by the heap."""
+            stays = np.ones(parts.shape, bool)
+            stays[each, at + 1] = False
+            parts = parts[stays].reshape(len(row), width - 1)
+            cost = cost[stays[:, 1:]].reshape(len(row), width - 2)
+            has = np.flatnonzero(at > 0)
+            cost[has, at[has] - 1] = self._looked_up(parts[has, at[has] - 1], new[has])
+            has = np.flatnonzero(at < width - 2)
+            cost[has, at[has]] = self._looked_up(new[has], parts[has, at[has] + 1])
+
+    def know(self, pieces: set[bytes]) -> None:
+        """Merge unknown pieces and keep them: most by length, long ones by the heap."""
         by_length: dict[int, list[bytes]] = {}
-        for x in set(pieces).difference(self):
+        for x in pieces:
             by_length.setdefault(len(x), []).append(x)
         for n, same in by_length.items():
             if n <= LONG_PIECE:
                 self.learn(same)
+                continue
+            for x in same:
+                ids = self.merge(x)
+                self.known.add([x], np.array(ids, np.uint32), len(ids))
+
+    def look_up(self, blob: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces that start at these bytes (the last is the end of all), and where each piece's begin among them and end."""
+        size = np.diff(at)
+        row = np.full(len(size), -1)
+        short = np.flatnonzero(size <= SHORT_PIECE)
+        keys = (*words_of(blob, at[short], size[short]), size[short].astype(np.uint64))
+        row[short] = found = self.known.find(*keys)
+        longer = np.flatnonzero(size > SHORT_PIECE)
+        texts = [blob[a:b] for a, b in zip(at[longer].tolist(), at[longer + 1].tolist(), strict=True)]
+        unknown = np.flatnonzero(found < 0)
+        lost = short[unknown]
+        new = {blob[a:b] for a, b in zip(at[lost].tolist(), at[lost + 1].tolist(), strict=True)}
+        self.know(new.union(texts) - self.known.longer.keys())
+        row[lost] = self.known.find(*(k[unknown] for k in keys))
+        row[longer] = [self.known.longer[x] for x in texts]
+        return self.known.ids_of(row)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text; a long one goes in slices, unless a special token could span them."""
@@ -299,6 +390,8 @@ class Vocabulary(dict):
         return self.encode_slices(texts)
 
     def encode_slices(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         cuts: list[tuple[int, str | None]] = []
         plain: list[str] = []
         for t in texts:
@@ -312,21 +405,19 @@ class Vocabulary(dict):
             else:
                 plain.append(t)
                 cuts.append((1, None))
-        pieces, ends = pretokens(plain)
-        self.know(pieces)
+        blob, starts, ends = pretokens(plain)
+        ids, at = self.look_up(blob, starts)
         # END characters are pre-tokens of their own: skip them
-        packed = list(map(self.__getitem__, pieces))
-        out, held, start = [], [], 0
-        for end, (_, special) in zip(ends.tolist(), cuts, strict=True):
-            held.append(b"".join(packed[start:end]))
-            start = end + 1
+        out, held = [], []
+        for start, end, (_, special) in zip(at[np.r_[0, ends[:-1] + 1]].tolist(), at[ends].tolist(), cuts, strict=True):
+            held.append(ids[start:end].astype("<u4").tobytes())
             if special is not None:
                 held.append(self.special[special].to_bytes(4, "little"))
             else:
                 out.append(b"".join(held))
                 held = []
-        if len(self) > CACHE_PIECES:
-            self.clear()
+        if self.known.n > CACHE_PIECES or self.known.held > CACHE_BYTES:
+            self.known.clear()
         return out
 
     def offsets(self, packed: bytes) -> np.ndarray:

@@ -11,6 +11,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rosterlake.llm.components import connected_components
 from rosterlake.llm import bpe, embed_dedup, exact_dedup, license_scan, line_dedup, packing, pii, queries, simhash, suffix_dedup, toxicity
@@ -129,6 +130,38 @@ def test_long_pieces_merge_in_rounds():
         vocab.decode(packed, at + 1 - np.arange(len(at)))
 
 
+def test_pieces_are_merged_once(monkeypatch):
+    """A corpus has more distinct pieces than a small cache holds; merging them again is what packing's CPU budget went to."""
+    vocab, merged, learn = bpe.Vocabulary(*_model(JSON)), [], bpe.Vocabulary.learn
+    monkeypatch.setattr(bpe.Vocabulary, "learn", lambda self, pieces: merged.append(len(pieces)) or learn(self, pieces))
+    texts = ["".join(f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}{w}" for i in range(17_576)) for w in "abcdefghijklmnopqrstuvwxyz"]
+    first = [vocab.encode([t])[0] for t in texts]
+    once = sum(merged)
+    assert [vocab.encode([t])[0] for t in texts] == first and sum(merged) == once
+
+
+def _model(path):
+    v = bpe.vocabulary(bpe.read_vocabulary(path))
+    return v.ids, v.pairs, v.whole, v.special
+
+
+def test_pieces_that_collide_or_are_forgotten(monkeypatch):
+    lib, rng = Tokenizer.from_file(JSON), random.Random(8)
+    texts = ["".join(rng.choice(["ab", "é", "漢", "\0", "z" * 7, "q" * 16, " ", "'s"]) for _ in range(rng.randint(0, 12))) for _ in range(400)] + ["", "\0", "\0\0", "y\0", "y", *("w" * n for n in range(6, 20)), "v" * 40, "u" * 41]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    for fixed in ("none", "slot", "memory"):
+        vocab = bpe.Vocabulary(*_model(JSON))
+        if fixed == "slot":  # all in one
+            monkeypatch.setattr(bpe.Pieces, "_slot", lambda self, one, two, size: np.full(len(one), len(self.slots) - 2))
+        if fixed == "memory":
+            monkeypatch.undo()
+            monkeypatch.setattr(bpe, "CACHE_BYTES", 100)
+        for k in (1, 7, len(texts), len(texts)):
+            got = [p for i in range(0, len(texts), k) for p in vocab.encode(texts[i : i + k])]
+            assert [np.frombuffer(p, "<u4").tolist() for p in got] == want
+        assert vocab.encode([]) == [] and (vocab.known.n == 0) == (fixed == "memory")
+
+
 def test_fragments_of_repetitive_texts_cover_every_window_once():
     rng = random.Random(4)
     for t in (b"a" * 3000, b"ab" * 1500, b"abcde " * 400 + b"a" * 700, bytes(rng.choice(b"ab") for _ in range(3000))):
