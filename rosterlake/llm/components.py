@@ -54,9 +54,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges: (u long, v long). One row per node of an edge: node, component (the smallest node reachable)."""
+def _at_once(edges: DataFrame) -> DataFrame:
+    """The components of edges that are few enough for the driver."""
+    got = edges.select("u", "v").toArrow()
+    node, low = forest(got.column("u").to_numpy(), got.column("v").to_numpy())
+    centres = np.unique(low)
+    table = pa.table({"node": pa.array(np.r_[node, centres], pa.int64()), "component": pa.array(np.r_[low, centres], pa.int64())})
+    return edges.sparkSession.createDataFrame(table, "node long, component long")
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 60, at_once: int = 0) -> DataFrame:
+    """edges: (u long, v long). One row per node of an edge: node, component (the smallest node reachable).
+
+    Up to at_once edges (settled ones, as they are counted first) are gathered and solved without a round; of more, every round is settled.
+    """
     clean = edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    if at_once and clean.count() <= at_once:
+        return _at_once(clean)
     stars = clean.mapInArrow(_reduce, "u long, v long").distinct()
     state, seen = settle(stars), None
     for _ in range(max_rounds):

@@ -35,6 +35,8 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints with one key beyond which the group is split into chunks, compared chunk by chunk.
 CHUNK = 4096
 PLANES_AT_ONCE = 8
+#: Links up to which the driver finds the classes by itself (16 bytes each); more take rounds of joins.
+LINKS_AT_ONCE = 1 << 18
 #: Fingerprints that a key of a sampled table holds on average.
 TABLE_ROWS = 16
 #: Spanning forests without common links that are verified of each key first. All links that still span two classes follow, so the number changes the work alone.
@@ -266,6 +268,11 @@ def _near_links(fps: np.ndarray, keys: np.ndarray, radius: int) -> tuple[np.ndar
     return np.maximum(u, v), np.minimum(u, v), first[more]
 
 
+def groups_of(rows: int) -> int:
+    """Groups of about GROUP_ROWS, 12 at least."""
+    return max(12, -(-rows // GROUP_ROWS))
+
+
 def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """fps: distinct, settled (_fp long). Spanning links (u, v) of the graph of all pairs at `radius` or fewer differing bits."""
     if not 0 <= radius <= 3:
@@ -282,12 +289,13 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
             key = key.bitwiseOR(F.shiftleft(piece(*BLOCKS[k]), shift))
             shift += BLOCKS[k][1]
         keys.append(key)
-    n = fps.count()
+    groups = groups_of(fps.count() * len(tables))
     placed = fps.select("_fp", F.posexplode(F.array(*keys)).alias("_table", "_key"))
-    hot = settle(placed.groupBy("_table", "_key").count().where(F.col("count") > CHUNK).select("_table", "_key", F.ceil(F.col("count") / CHUNK).cast("int").alias("_c")))
+    hot = placed.groupBy("_table", "_key").count().where(F.col("count") > CHUNK).select("_table", "_key", F.ceil(F.col("count") / CHUNK).cast("int").alias("_c"))
+    hot = settle(hot.coalesce(groups))
     # a hot key is cut into chunks; each pair of chunks is a cell of its own
     placed = placed.join(hot, ["_table", "_key"], "left").withColumn("_c", F.coalesce("_c", F.lit(1)))
-    return _in_cells(placed, F.lit(max(12, -(-n * len(tables) // GROUP_ROWS)))).applyInArrow(_compare(radius), "u long, v long")
+    return _in_cells(placed, F.lit(groups)).applyInArrow(_compare(radius), "u long, v long").coalesce(4 * groups)  # most partitions have no group; a few more than groups, so that few tasks get two
 
 
 def sampled_tables(n: int, radius: int, recall: float, seed: int = 11) -> list[int]:
@@ -579,9 +587,10 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     rows = settle(in_small_batches(docs).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(releasing(_fingerprints(shingle)), f"_id {kind}, _fp long"))
-    distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low")))
+    # a settled partition is a file and each file of a local store starts processes, so no more of them than the rows need
+    distinct = settle(rows.groupBy("_fp").agg(F.min("_id").alias("_low")).coalesce(groups_of(rows.count())))
     links = settle(fingerprint_links(distinct.select("_fp"), radius))  # else each task keeps two Python workers at once
-    nodes = connected_components(links)
+    nodes = connected_components(links, at_once=LINKS_AT_ONCE)
     classes = distinct.join(nodes.select(F.col("node").alias("_fp"), F.col("component").alias("_root")), "_fp", "left").withColumn("_root", F.coalesce("_root", "_fp"))
     lows = classes.groupBy("_root").agg(F.min("_low").alias("_comp"))
     out = rows.join(classes.join(lows, "_root").select("_fp", "_comp"), "_fp")

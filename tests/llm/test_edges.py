@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rosterlake.llm.components import connected_components
-from rosterlake.llm import bpe, embed_dedup, exact_dedup, license_scan, line_dedup, packing, pii, queries, simhash, suffix_dedup, toxicity
+from rosterlake.llm import bpe, components, embed_dedup, exact_dedup, license_scan, line_dedup, packing, pii, queries, simhash, suffix_dedup, toxicity
 
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 KEY = b"edge key"
@@ -495,3 +495,37 @@ def test_hot_keys_are_dealt_again(spark, monkeypatch):
     assert all((a ^ b).bit_count() <= 6 for a, b in edges)
     classes = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert len(classes) == len(fps) and len(set(classes.values())) == 3
+
+
+def test_components_at_once_are_those_of_the_rounds(spark):
+    rng = np.random.default_rng(9)
+    edges = [tuple(int(x) for x in r) for r in rng.integers(-300, 300, (250, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(7, None), (None, 8), (5, 5)]
+    for rows in (edges, [(5, 5)], []):
+        d = spark.createDataFrame(rows, "u long, v long")
+        one, other = ([tuple(r) for r in connected_components(d, at_once=k).collect()] for k in (1000, 0))
+        assert sorted(one) == sorted(other)
+    assert connected_components(spark.createDataFrame(edges, "u long, v long"), at_once=10).count() == len(set(connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))
+
+
+def test_simhash_settles_few_files(spark, monkeypatch):
+    """Each file of a local store starts processes (chmod), so a short table must not be settled in a file for each of many partitions, round after round."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(words[: 200 + i % 40])) for i in range(120)] + [(1000 + i, f"alone {i} {i * 7} {i * 11}") for i in range(30)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = sorted(map(tuple, simhash.simhash_dedup(d).collect()))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    parts = []
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "settle", lambda df, f=module.settle: parts.append((out := f(df)).rdd.getNumPartitions()) or out)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 97)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = sorted(map(tuple, simhash.simhash_dedup(d).collect()))
+        assert sum(parts) < 97
+        monkeypatch.setattr(simhash, "LINKS_AT_ONCE", 1)  # too many for the driver: rounds
+        spark.conf.set("spark.sql.shuffle.partitions", 5)
+        assert sorted(map(tuple, simhash.simhash_dedup(d).collect())) == got == before
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert len({c for _, _, c, _ in got}) < len(got)
