@@ -523,7 +523,8 @@ def candidate_links(fps: DataFrame, radius: int, sure: int, recall: float) -> tu
     masks = sampled_tables(n, sure, recall)
     groups = max(12, -(-n * len(masks) // GROUP_ROWS))
     dealt = fps.select("_fp").mapInArrow(releasing(_deal(masks, groups)), "_g int, _tables binary, _fps binary")
-    found = settle(dealt.groupBy("_g").applyInArrow(_compare_dealt(masks, radius, CHUNK), "u long, v long, _table int, _key long, _c int"))
+    found = dealt.groupBy("_g").applyInArrow(_compare_dealt(masks, radius, CHUNK), "u long, v long, _table int, _key long, _c int")
+    found = settle(found.coalesce(4 * groups))  # as in fingerprint_links
     links, more = found.where("u IS NOT NULL").select("u", "v"), found.where("u IS NULL").select("_table", "_key", "_c")
     hot = more.where("_c > 1")
     if not hot.isEmpty():
@@ -545,16 +546,17 @@ def remaining_links(links: DataFrame, more: DataFrame, masks: list[int], texts:
     cross = links.join(side("a"), "a").join(side("b"), "b").where("_label_a <> _label_b")
     cross = cross.select(F.col("_fp_a").alias("_fp"), F.col("_fp_a").bitwiseXOR(F.col("_fp_b")).alias("_diff"), (F.col("_many_a") | F.col("_many_b")).alias("_many"))
     tables = F.array(*(F.struct(F.lit(t).alias("t"), _as_long(m).alias("m")) for t, m in enumerate(masks)))
-    met = cross.select("_fp", "_diff", "_many", F.explode(tables).alias("_tm")).where(F.col("_diff").bitwiseAND(F.col("_tm.m")) == 0)
+    met = cross.select("_fp", "_many", F.explode(F.filter(tables, lambda tm: F.col("_diff").bitwiseAND(tm["m"]) == 0)).alias("_tm"))
     met = met.select(F.col("_tm.t").alias("_table"), F.col("_fp").bitwiseAND(F.col("_tm.m")).alias("_key"), "_many").groupBy("_table", "_key").agg(F.max("_many").alias("_many"))
-    keys = settle(met.join(more.withColumnRenamed("_c", "_chunks"), ["_table", "_key"], "left").where("_many OR _chunks IS NOT NULL").select("_table", "_key"))
+    groups = max(12, -(-texts.count() * len(masks) // GROUP_ROWS))
+    keys = met.join(more.withColumnRenamed("_c", "_chunks"), ["_table", "_key"], "left").where("_many OR _chunks IS NOT NULL").select("_table", "_key")
+    keys = settle(keys.coalesce(groups))
     if keys.isEmpty():
         return links.sparkSession.createDataFrame([], "u long, v long")
-    groups = max(12, -(-texts.count() * len(masks) // GROUP_ROWS))
 
     def compared(filter_, hot, chunk):
         dealt = texts.select("_n", "_fp", "_label", "_size", "_odd").mapInArrow(releasing(_deal_texts(masks, groups, filter_, hot)), "_g int, _tables binary, _records binary")
-        return settle(dealt.groupBy("_g").applyInArrow(_compare_classes(masks, radius, least, chunk), "u long, v long, _table int, _key long, _c int"))
+        return settle(dealt.groupBy("_g").applyInArrow(_compare_classes(masks, radius, least, chunk), "u long, v long, _table int, _key long, _c int").coalesce(4 * groups))
 
     found = compared(key_filter(keys), None, CHUNK)
     pairs = found.where("u IS NOT NULL").select("u", "v")
@@ -639,26 +641,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = in_small_batches(docs).select(F.col(id_col).alias("_id"), text.alias("_t"), *row_key(id_col, text_col), F.xxhash64(text).alias("_n"))
     made = settle(rows.mapInArrow(releasing(_fingerprints(3)), f"_id {kind}, _fp long, _rk1 long, _rk2 long, _n long"))
-    nodes = settle(made.groupBy("_fp").agg(F.min("_n").alias("_low"), F.count_distinct("_n").alias("_k")))
+    # the driver keeps a record of each task, so frames of short rows are settled in no more partitions than the rows need
+    few = groups_of(made.count())
+    nodes = settle(made.groupBy("_fp").agg(F.min("_n").alias("_low"), F.count_distinct("_n").alias("_k")).coalesce(few))
     far, more, masks = candidate_links(nodes.select("_fp"), radius, sure, recall)
     lows = nodes.select("_fp", "_low")
     far = far.join(lows.select(F.col("_fp").alias("u"), F.col("_low").alias("a")), "u").join(lows.select(F.col("_fp").alias("v"), F.col("_low").alias("b")), "v").select("a", "b")
     equal = made.join(nodes.where("_k > 1").select("_fp", "_low"), "_fp").where("_n <> _low").select(F.col("_low").alias("a"), F.col("_n").alias("b")).distinct()
-    links = settle(far.unionByName(equal))
-    met = settle(links.select(F.col("a").alias("_n")).unionByName(links.select(F.col("b").alias("_n"))).distinct())
+    links = settle(far.unionByName(equal).coalesce(few))
+    met = settle(links.select(F.col("a").alias("_n")).unionByName(links.select(F.col("b").alias("_n"))).distinct().coalesce(few))
     wanted = rows.join(broadcast_if_small(met, 16), "_n", "left_semi").groupBy("_n").agg(F.first("_t").alias("_t"))
     sets = settle(wanted.select("_n", "_t").mapInArrow(releasing(_shingle_sets(shingle)), "_n long, _s array<long>, _odd binary"))
     similar = _similar(links, sets, least)
-    classes = connected_components(similar)
+    classes = settle(connected_components(similar, at_once=LINKS_AT_ONCE).coalesce(few))  # settled, as the driver would else keep its rows
     label = classes.select(F.col("node").alias("_n"), F.col("component").alias("_label"))
     texts = sets.select("_n", F.size("_s").cast("long").alias("_size"), "_odd").join(made.select("_n", "_fp").distinct(), "_n")
     texts = texts.join(nodes.select("_fp", (F.col("_k") > 1).alias("_many")), "_fp").join(label, "_n", "left").withColumn("_label", F.coalesce("_label", "_n"))
-    left = settle(remaining_links(links, more, masks, settle(texts), radius, least).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    texts = settle(texts.coalesce(few))
+    left = settle(remaining_links(links, more, masks, texts, radius, least).select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(few))
     if not left.isEmpty():
         again = _similar(left, sets, least)
-        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(again))
+        classes = connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(again), at_once=LINKS_AT_ONCE)
     named = made.join(classes.select(F.col("node").alias("_n"), F.col("component").alias("_c")), "_n", "left").withColumn("_c", F.coalesce("_c", "_n"))
-    named = settle(named)
+    named = settle(named.coalesce(few))
     first = named.groupBy("_c").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_rk1", "_rk2")).alias("_one"))
     out = named.join(first, "_c")
     mine = (F.col("_rk1") == F.col("_one._rk1")) & (F.col("_rk2") == F.col("_one._rk2"))

@@ -318,7 +318,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     keys = docs.sparkSession.createDataFrame(keys, f"_id {kind}, _h long")
     used = picked.join(F.broadcast(keys), ["_id", "_h"]).select("_id", "_t", "lang", "toxic", "_h")
     found = used.mapInArrow(releasing(_bucket_rows), f"_id {kind}, ids binary, lang string, toxic int, _h long")
-    return found.orderBy("_id", "_h").collect()
+    return found.orderBy("_id", "_h").toArrow().to_pylist()  # collect() would hold each row several times in the driver
 
 
 def is_held_out(id_column):

@@ -529,3 +529,25 @@ def test_simhash_settles_few_files(spark, monkeypatch):
         for k, v in held.items():
             spark.conf.set(k, v)
     assert len({c for _, _, c, _ in got}) < len(got)
+
+
+def test_near_duplicates_take_few_tasks(spark):
+    """The driver's JVM keeps a record of every task."""
+    docs = [(20 * i + k, " ".join(f"w{i * 1000 + j if j != 7 * k else k}" for j in range(300))) for i in range(12) for k in range(4)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    settings = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few-tasks", "near_duplicates")
+        classes = {r.doc_id: r.component for r in simhash.near_duplicates(d).collect()}
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup("few-tasks")]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({(i // 20, c) for i, c in classes.items()}) == len(set(classes.values())) == 12
+    stages = [sc.statusTracker().getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
+    ran = sum(s.numCompletedTasks for s in stages if s)
+    assert ran < 60 * 97
