@@ -53,8 +53,7 @@ def op8_license_scan(spark, sf_dir):
 
 
 def op9_line_dedup(spark, sf_dir):
-    out = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return line_dedup.line_dedup(_table(spark, sf_dir, "documents"), digest=True)
 
 
 def op10_simhash(spark, sf_dir):

@@ -1,13 +1,16 @@
 """Edge cases of every operator and stage: clashing column names, empty tables, repeated ids, colliding hashes, long texts; and brute-force twins of op1, op3 and op8."""
 
+import hashlib
 import math
 import random
 import re
 import time
+from collections import Counter
 
 import corpus_pipeline as C
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -551,3 +554,52 @@ def test_near_duplicates_take_few_tasks(spark):
     stages = [sc.statusTracker().getStageInfo(s) for s in {s for j in jobs for s in j.stageIds}]
     ran = sum(s.numCompletedTasks for s in stages if s)
     assert ran < 60 * 97
+
+
+def test_line_dedup_leaves_texts_in_place(spark):
+    """Whole lines in two shuffles filled the executors' heap."""
+    d = spark.createDataFrame([(i, f"own {i}\nshared footer\n") for i in range(30)], "doc_id int, text string").repartition(3)
+    got = line_dedup.line_dedup(d.localCheckpoint())
+    assert {(r.n_lines, r.n_dropped, r.kept_text == f"own {r.doc_id}\n") for r in got.collect()} == {(3, 1, True)}
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("held", [262_144, 0])
+@pytest.mark.parametrize("min_chars", [1, 3])
+def test_line_dedup_of_odd_rows_by_broadcast_and_join(spark, monkeypatch, held, min_chars):
+    rng = random.Random(4)
+    line = lambda: rng.choice(["", " ", "\t\x0b", "é", "Éa", "éA", "éa ", "\xa0ab", "ABC\r", " abc", "K12", "k12", "\x00ab", "ß" * 3, f"own {rng.random()}", "x" * 50])
+    rows = [(rng.choice([None, 1, i]), "\n".join(line() for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    rows += [(7, "abc\nabc\nzz\n")] * 12 + [(None, None), (None, None), (8, ""), (9, "\n\n")]
+    monkeypatch.setattr(line_dedup, "KEYS_AT_ONCE", held)
+    key = lambda x: x.strip(" \t\n\x0b\f\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    lines = [(i, (t or "").split("\n")) for i, t in rows]
+    count = Counter(k for _, ls in lines for k in {key(x) for x in ls} if len(k) >= min_chars)
+    want = [(i, len(ls), sum(count[key(x)] >= 10 for x in ls), "\n".join(x for x in ls if count[key(x)] < 10)) for i, ls in lines]
+    d = spark.createDataFrame(rows, "doc_id int, text string")
+    got = [tuple(r) for r in line_dedup.line_dedup(d, min_chars=min_chars).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and any(n for _, _, n, _ in want)
+    digests = [tuple(r) for r in line_dedup.line_dedup(d, min_chars=min_chars, digest=True).collect()]
+    assert sorted(digests, key=str) == sorted(((*r, hashlib.sha256(t.encode()).hexdigest()) for *r, t in want), key=str)
+
+
+def test_line_dedup_slices_agree_with_whole_texts(monkeypatch):
+    rng = random.Random(9)
+    texts = ["\n".join(rng.choice(["", "a", "B ", "long line"]) for _ in range(rng.randint(1, 12))).encode() for _ in range(50)] + [b"", b"\n", b"\n\n\n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), *[pa.array(range(len(texts)), pa.int64())] * 2], names=["_t", "_rk1", "_rk2"])
+
+    def everything():
+        kept = [line_dedup.without(t, lambda ls, at: [x == b"a" or (at + i) % 3 == 1 for i, x in enumerate(ls)]) for t in texts]
+        hashes = [{h[i : i + 16] for i in range(0, len(h), 16)} for h in (line_dedup.text_hashes(t, 1) for t in texts)]
+        runs = [[tuple(r.values()) for b in run([batch]) for r in b.to_pylist()] for run in (line_dedup._distinct(1), line_dedup._positions(1))]
+        return kept, hashes, sorted(runs[0]), runs[1]
+
+    whole = everything()
+    assert [len(h) for h in whole[1]] == [len({x.strip().lower() for x in t.split(b"\n")} - {b""}) for t in texts]
+    for t, (n, dropped, kept) in zip(texts, whole[0], strict=True):
+        stay = [x for i, x in enumerate(t.split(b"\n")) if x != b"a" and i % 3 != 1]
+        assert (n, dropped, kept) == (t.count(b"\n") + 1, t.count(b"\n") + 1 - len(stay), b"\n".join(stay))
+    monkeypatch.setattr(line_dedup, "ROWS", 2)
+    for size in (1, 2, 7):
+        monkeypatch.setattr(line_dedup, "SLICE", size)
+        assert everything() == whole
